@@ -1,10 +1,13 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import substring
+from . import decontaminate, licenses, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
+    "op7_license_scan": licenses.query,
+    "op8_decontamination": decontaminate.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
+    "op8_decontamination": decontaminate.SQL,
 }
