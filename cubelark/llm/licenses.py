@@ -119,7 +119,7 @@ proprietary | (?:confidential|trade secret)s? (?:and|or) proprietary | proprieta
 #: The shapes in which a family is named, the strongest first; {s}: SPDX words, {n}: name.
 SHAPES = (
     ("tag", 1.0, r"spdx license identifier {s}", "spdx"),
-    ("grant", 0.95, r"(?:licensed|released|distributed|available|published|covered|provided) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{n}", None),
+    ("grant", 0.95, r"(?:licensed|released|distributed|available|published|covered|provided) under (?:an? )?(?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{n}|{s})", "licensed|released|distributed|available|published|covered|provided"),
     ("terms", 0.9, r"(?:subject to|governed by|under) the (?:terms (?:and conditions )?of the )?{n}", None),
     ("link", 0.85, r"(?:opensource org|spdx org|choosealicense com|gnu org|creativecommons org) licenses? {s}", "licenses"),
     ("name", 0.7, r"{n}", None),
@@ -130,16 +130,16 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 
 @cache
-def rules() -> list[tuple[int, float, str, bytes, re.Pattern]]:
-    """(kind, weight, label, keyword, pattern), in order of priority."""
+def rules() -> list[tuple[int, float, str, str, re.Pattern]]:
+    """(kind, weight, label, keywords, pattern), in order of priority."""
     rows = lambda table: [[x.strip() for x in line.split(" | ")] for line in table.strip().splitlines()]
     out = []
     for kind, (_, weight, shape, gate) in enumerate(SHAPES):
         for label, spdx, name, keyword in rows(FAMILIES):
             pattern = shape.format(s=spdx, n=f"(?:{name})")
-            out.append((kind, weight, label, (gate or keyword).encode(), re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
+            out.append((kind, weight, label, gate or keyword, re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
     for label, pattern, keyword in rows(SENTENCES):
-        out.append((1, SENTENCE, label, keyword.encode(), re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
+        out.append((1, SENTENCE, label, keyword, re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
     return sorted(out, key=lambda r: r[0])
 
 
@@ -158,11 +158,12 @@ class Scanner:
     def __init__(self):
         self.rules = rules()
         self.gates = ahocorasick.Automaton()
-        by: dict[bytes, list[int]] = {}
+        by: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
-            by.setdefault(r[3], []).append(i)
+            for keyword in r[3].split("|"):
+                by.setdefault(keyword, []).append(i)
         for keyword, own in by.items():
-            self.gates.add_word(f" {keyword.decode()} ", own)
+            self.gates.add_word(f" {keyword} ", own)
         self.gates.make_automaton()
         self.base = [(f" {p} ".encode(), label) for p, label in BASE]
 

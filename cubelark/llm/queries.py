@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, licenses, substring
+from . import decontaminate, licenses, media, pii, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
+    "op2_media_columns": media.query,
     "op7_license_scan": licenses.query,
     "op8_decontamination": decontaminate.query,
+    "op9_pii": pii.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
