@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, licenses, media, pii, substring
+from . import decontaminate, licenses, media, minhash, pii, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op7_license_scan": licenses.query,
     "op8_decontamination": decontaminate.query,
     "op9_pii": pii.query,
+    "op10_minhash_dedup": minhash.query,
 }
 SQL = {
     "op1_substring_dedup": substring.SQL,
