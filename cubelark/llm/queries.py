@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, licenses, media, minhash, pii, substring
+from . import decontaminate, licenses, lm, media, minhash, pii, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
     "op2_media_columns": media.query,
+    "op5_lm_scoring": lm.query,
     "op7_license_scan": licenses.query,
     "op8_decontamination": decontaminate.query,
     "op9_pii": pii.query,
