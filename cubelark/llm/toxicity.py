@@ -38,31 +38,28 @@ def text_features(raw: bytes | None) -> np.ndarray:
     return np.fromiter(found, np.int64, len(found))
 
 
-def train(x: np.ndarray, y: np.ndarray, prior: float, epochs: int = 200, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative risk's minimum (Adam); y: 1 positive, 0 unlabelled; x: 0/1 rows."""
-    rng = np.random.default_rng(seed)
-    pos, unl = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w = np.zeros(x.shape[1] + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-    size = 2048
+def train(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk under the sigmoid loss (Adam, whole sample).
+
+    y: 1 positive, 0 unlabelled; x: 0/1 rows. The sigmoid loss is bounded, so a
+    few confident positives in the unlabelled part cannot outweigh the rest.
+    """
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for _ in range(epochs):
-        order = rng.permutation(unl)
-        for at in range(0, len(order), size):
-            u = order[at : at + size]
-            p = rng.choice(pos, min(size // 2, len(pos)), replace=False)
-            xp, xu = x[p].astype(np.float32), x[u].astype(np.float32)
-            gp, gu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            add = lambda d, rows: np.append(d @ rows, d.sum())
-            down = add(sigmoid(gu) / len(u), xu) - prior * add(sigmoid(gp) / len(p), xp)
-            grad = prior * add(-sigmoid(-gp) / len(p), xp) + down if negative >= 0 else -down
-            grad[:-1] += decay * w[:-1]
-            step += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
+    mean = lambda d, rows: np.append(d @ rows, d.sum()) / len(rows)
+    xp, xu = x[y == 1].astype(np.float32), x[y == 0].astype(np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, steps + 1):
+        lp, lu = sigmoid(xp @ w[:-1] + w[-1]), sigmoid(xu @ w[:-1] + w[-1])  # l(-g)
+        slope = lambda s: (s * (1 - s)).astype(np.float32)
+        up = prior * mean(slope(lp), xp)
+        down = mean(slope(lu), xu) - up
+        grad = (down - up if lu.mean() >= prior * lp.mean() else -down).astype(float)
+        grad[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = (w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return w[:-1].astype(float), float(w[-1])
 
 
 class Model:
