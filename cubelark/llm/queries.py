@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, langid, licenses, lm, media, minhash, pii, substring, toxicity
+from . import decontaminate, langid, licenses, lm, media, minhash, packing, pii, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
     "op2_media_columns": media.query,
     "op3_toxicity": toxicity.query,
+    "op4_packing": packing.query,
     "op5_lm_scoring": lm.query,
     "op6_language_id": langid.query,
     "op7_license_scan": licenses.query,
