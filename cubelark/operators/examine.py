@@ -42,16 +42,16 @@ def leave_one_out_fe(cube: Cube, min_subjects: int = 2) -> DataFrame:
     """
     over = Window.partitionBy(*CELL)
     rows = R.valid(cube.df).withColumn("w", 1 / F.col("v"))
-    rows = rows.withColumn("W", F.sum("w").over(over)).withColumn("S", F.sum(F.col("w") * F.col("y")).over(over)).withColumn("k", F.count(F.lit(1)).over(over))
-    rest = F.col("W") - F.col("w")
+    rows = rows.withColumn("sum_w", F.sum("w").over(over)).withColumn("sum_wy", F.sum(F.col("w") * F.col("y")).over(over)).withColumn("k", F.count(F.lit(1)).over(over))
+    rest = F.col("sum_w") - F.col("w")
     ok = F.col("k") - 1 >= min_subjects
     on = lambda c: F.when(ok & (rest > 0), c)
-    rows = rows.withColumn("expected", on((F.col("S") - F.col("w") * F.col("y")) / rest))
+    rows = rows.withColumn("expected", on((F.col("sum_wy") - F.col("w") * F.col("y")) / rest))
     rows = rows.withColumn("resid", on((F.col("y") - F.col("expected")) / F.sqrt(F.col("v") + 1 / rest)))
-    full = F.col("S") / F.col("W")
+    full = F.col("sum_wy") / F.col("sum_w")
     return rows.select(
-        *CELL, "subject", "y", "expected", "resid", on(1 / (F.col("v") + 1 / rest)).alias("pred_weight"), (F.col("w") / F.col("W")).alias("leverage"),
-        on(full - F.col("expected")).alias("delta_effect"), on(F.col("S") / F.sqrt("W") - F.col("expected") * F.sqrt(rest)).alias("delta_stat"), on(F.col("expected") * F.sqrt(rest)).alias("deleted_stat"),
+        *CELL, "subject", "y", "expected", "resid", on(1 / (F.col("v") + 1 / rest)).alias("pred_weight"), (F.col("w") / F.col("sum_w")).alias("leverage"),
+        on(full - F.col("expected")).alias("delta_effect"), on(F.col("sum_wy") / F.sqrt("sum_w") - F.col("expected") * F.sqrt(rest)).alias("delta_stat"), on(F.col("expected") * F.sqrt(rest)).alias("deleted_stat"),
     )
 
 
@@ -62,20 +62,20 @@ def leave_one_out_re(cube: Cube, exact: bool = False) -> DataFrame:
     w^2, w y and w y^2 around the full mean give Q and so tau2.
     """
     over = Window.partitionBy(*CELL)
-    rows = R.valid(cube.df).withColumn("w", 1 / F.col("v")).withColumn("W", F.sum("w").over(over)).withColumn("k", F.count(F.lit(1)).over(over))
-    rows = rows.withColumn("mu0", F.sum(F.col("w") * F.col("y")).over(over) / F.col("W")).withColumn("d", F.col("y") - F.col("mu0"))
-    rows = rows.withColumn("W2", F.sum(F.col("w") * F.col("w")).over(over)).withColumn("D2", F.sum(F.col("w") * F.col("d") * F.col("d")).over(over))
+    rows = R.valid(cube.df).withColumn("w", 1 / F.col("v")).withColumn("sum_w", F.sum("w").over(over)).withColumn("k", F.count(F.lit(1)).over(over))
+    rows = rows.withColumn("mu0", F.sum(F.col("w") * F.col("y")).over(over) / F.col("sum_w")).withColumn("d", F.col("y") - F.col("mu0"))
+    rows = rows.withColumn("sum_w2", F.sum(F.col("w") * F.col("w")).over(over)).withColumn("sum_d2", F.sum(F.col("w") * F.col("d") * F.col("d")).over(over))
     if not exact:
-        c = F.col("W") - F.col("W2") / F.col("W")
-        rows = rows.withColumn("tau2", F.greatest(F.lit(0.0), (F.col("D2") - (F.col("k") - 1)) / F.greatest(c, F.lit(V.EPS)))).withColumn("u", 1 / (F.col("v") + F.col("tau2")))
-        rows = rows.withColumn("U", F.sum("u").over(over)).withColumn("T", F.sum(F.col("u") * F.col("y")).over(over))
-        rest = F.col("U") - F.col("u")
+        c = F.col("sum_w") - F.col("sum_w2") / F.col("sum_w")
+        rows = rows.withColumn("tau2", F.greatest(F.lit(0.0), (F.col("sum_d2") - (F.col("k") - 1)) / F.greatest(c, F.lit(V.EPS)))).withColumn("u", 1 / (F.col("v") + F.col("tau2")))
+        rows = rows.withColumn("sum_u", F.sum("u").over(over)).withColumn("sum_uy", F.sum(F.col("u") * F.col("y")).over(over))
+        rest = F.col("sum_u") - F.col("u")
         on = lambda x: F.when((F.col("k") >= 2) & (rest > 0), x)
-        rows = rows.withColumn("expected", on((F.col("T") - F.col("u") * F.col("y")) / rest))
-        return rows.select(*CELL, "subject", "y", "tau2", "expected", on((F.col("y") - F.col("expected")) / F.sqrt(1 / F.col("u") + 1 / rest)).alias("resid"), (F.col("u") / F.col("U")).alias("leverage"), on(F.col("T") / F.sqrt("U") - F.col("expected") * F.sqrt(rest)).alias("delta_stat"), on(F.col("expected") * F.sqrt(rest)).alias("deleted_stat"))
-    w1, w2 = F.col("W") - F.col("w"), F.col("W2") - F.col("w") * F.col("w")
+        rows = rows.withColumn("expected", on((F.col("sum_uy") - F.col("u") * F.col("y")) / rest))
+        return rows.select(*CELL, "subject", "y", "tau2", "expected", on((F.col("y") - F.col("expected")) / F.sqrt(1 / F.col("u") + 1 / rest)).alias("resid"), (F.col("u") / F.col("sum_u")).alias("leverage"), on(F.col("sum_uy") / F.sqrt("sum_u") - F.col("expected") * F.sqrt(rest)).alias("delta_stat"), on(F.col("expected") * F.sqrt(rest)).alias("deleted_stat"))
+    w1, w2 = F.col("sum_w") - F.col("w"), F.col("sum_w2") - F.col("w") * F.col("w")
     shift = -F.col("w") * F.col("d")  # the others' sum of w (y - mu0)
-    q = F.col("D2") - F.col("w") * F.col("d") * F.col("d") - shift * shift / w1
+    q = F.col("sum_d2") - F.col("w") * F.col("d") * F.col("d") - shift * shift / w1
     tau2 = F.greatest(F.lit(0.0), (q - (F.col("k") - 2)) / F.greatest(w1 - w2 / w1, F.lit(V.EPS)))
     return rows.where("k >= 3").select(*CELL, "subject", "y", tau2.alias("tau2_without"), "k")
 
