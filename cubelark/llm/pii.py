@@ -135,17 +135,20 @@ class Model:
                 own = held & (x[:, 0] == k)
                 if not y[own].any():
                     continue
-                at, p = self.curves[kind] = isotonic(margin[own], y[own])
+                at, p = isotonic(margin[own], y[own])
+                below = [margin[own][margin[own] < a].max() for a in at[1:]]
+                at[1:] = (at[1:] + below) / 2  # a step lies midway between the margins on its two sides
+                self.curves[kind] = at, p
                 good = p >= self.precision
                 if good.any():
                     self.thresholds[kind] = float(p[good][0])
         return self
 
     def added(self, text: str, base: list) -> list[tuple[int, int, str]]:
-        """Candidates that pass their kind's threshold and overlap neither the base nor a likelier one."""
+        """Candidates that pass their kind's threshold, overlap no likelier one, and contain whole the base spans that they overlap."""
         if not self.thresholds:
             return []
-        found = [c for c in candidates(text) if c[2] in self.thresholds and not any(s < c[1] and c[0] < e for s, e, _ in base)]
+        found = [c for c in candidates(text) if c[2] in self.thresholds and not any(s < c[1] and c[0] < e and (not (c[0] <= s and e <= c[1]) or (s, e) == c[:2]) for s, e, _ in base)]
         if not found:
             return []
         margin = self.trees.margin(np.array([features(text, *c) for c in found], float))
