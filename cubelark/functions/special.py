@@ -92,7 +92,7 @@ def log_betainc(a, b, x, y=None):
     direct = xs < (a + 1) / (a + b + 2)
     lower = front + np.log(np.maximum(_betacf(a, b, np.where(direct, xs, 0.25), 400), _TINY)) - np.log(a)
     upper = front + np.log(np.maximum(_betacf(b, a, np.where(direct, 0.25, ys), 400), _TINY)) - np.log(b)
-    value = np.where(direct, lower, np.log1p(-np.minimum(np.exp(np.minimum(upper, 0)), 1 - 1e-17)))
+    value = np.where(direct, lower, np.log1p(-np.minimum(np.exp(np.minimum(upper, 0)), 1 - 1e-16)))
     return np.where(np.isnan(x), np.nan, np.where(x <= 0, -np.inf, np.where(y <= 0, 0.0, value)))
 
 

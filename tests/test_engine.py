@@ -205,7 +205,7 @@ def test_evidence_combination(spark):
     cube = make(spark, p)
     cube = cube.with_df(cube.df.withColumnRenamed("beta", "p").drop("var"))
     f = table(R.reduce(cube, "fisher").df, "chi2", "df", "p")
-    assert f["s0"] == pytest.approx((-2 * np.log(p[0]).sum(), 6, S.chi2_sf(-2 * np.log(p[0]).sum(), 6)), rel=1e-9)
+    assert f["s0"] == pytest.approx((-2 * np.log(p[0]).sum(), 6, float(S.chi2_sf(-2 * np.log(p[0]).sum(), 6))), rel=1e-9)
     assert math.isfinite(f["s1"][0])
     lan = table(R.reduce(cube, "lancaster").df, "chi2", "df", "p")
     assert lan["s0"] == pytest.approx(f["s0"], rel=1e-6)  # w = 1 is Fisher's method
