@@ -6,12 +6,15 @@ shingle of its first arrival. A shingle stops once its next arrival is later
 than every register's first one. Two signatures agree in a register with the
 documents' probability Jaccard similarity. Rows of registers form bands.
 
-Documents with the same words are one node. In a bucket no pairs are formed:
-each node meets two pivots (the least node and one drawn for the bucket); the
-pivot that it meets in most bands is verified exactly, and components follow.
-Then nodes outside the largest component of their bucket meet the nodes there
-of other components, so every pair of a bucket that is not already joined is
-tested. Signatures sift those pairs and exact similarity decides.
+Documents with the same words are one node. In a bucket each node first meets
+two pivots: the most central node (the one with most bucket mates over all
+bands) and one drawn for the bucket. The pivot that it meets in most bands is
+verified exactly, and components follow; this settles most of a group, however
+large, in as many rows as it has nodes. Then every pair of a bucket that is in
+different components is tested: small buckets form pairs of nodes outside the
+bucket's main component with the rest; the nodes of large buckets are dealt into
+blocks, and two blocks at a time are compared inside a task, which forms no rows
+but links. Signatures sift pairs and exact similarity decides.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from . import common as C
 from .components import components
 
 REGISTERS, ROWS, SHINGLE, SIMILAR = 128, 5, 5, 0.8
-#: Registers estimate a similarity of 0.8 with a deviation of 0.035; five of them below it nothing is lost.
-SIFT = 0.62
+#: Registers estimate a similarity of 0.8 with a deviation of 0.035; pairs four of them below it are let go.
+SIFT = 0.66
+#: Buckets up to this size form pairs; larger ones are compared in blocks of this many nodes at most.
+SMALL, BLOCK = 32, 512
 
 
 def shingles(words: list[bytes], hasher: C.WordHasher, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +108,11 @@ def sign(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return C.keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, wh long, wh2 long, sig binary")
 
 
-_BAND = pa.schema([("band", pa.int64()), ("node", pa.int64())])
+_BAND = pa.schema([("band", pa.int64()), ("nth", pa.int32()), ("node", pa.int64())])
 
 
 def bands(signed: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(band, node): a row for each band of each signature (node, sig)."""
+    """(band, nth, node): a row for each band of each signature (node, sig); nth counts bands from 0."""
 
     def run(batches):
         for b in batches:
@@ -118,9 +123,9 @@ def bands(signed: DataFrame, rows: int = ROWS) -> DataFrame:
             keys = np.tile(np.arange(1, count + 1, dtype=np.uint64) * C.BASE, (len(sigs), 1))
             for k in range(rows):
                 keys = C.mix(keys ^ sigs[:, k : count * rows : rows])
-            yield C.batch(_BAND, keys.ravel().view(np.int64), np.repeat(b.column(0).to_numpy(), count))
+            yield C.batch(_BAND, keys.ravel().view(np.int64), np.tile(np.arange(count, dtype=np.int32), len(sigs)), np.repeat(b.column(0).to_numpy(), count))
 
-    return signed.select("node", "sig").mapInArrow(run, "band long, node long")
+    return signed.select("node", "sig").mapInArrow(run, "band long, nth int, node long")
 
 
 _ELEMENTS = pa.schema([("node", pa.int64()), ("x", pa.binary()), ("c", pa.binary())])
@@ -179,6 +184,54 @@ def _sift(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _block_links(blocks: DataFrame, similar: float, least: float, rows: int = ROWS) -> DataFrame:
+    """Links (a, b) between components, of rows (band, i, j, nth, node, root, sig, x, c) that meet by (band, i, j).
+
+    A pair is tested only in the first band that it shares. Links found are
+    joined within the task, so pairs that they connect aren't tested again.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    count = lambda c, n: np.ones(n, np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
+
+    def test(group: list[dict]):
+        nth = group[0]["nth"]
+        sigs = np.frombuffer(b"".join(g["sig"] for g in group), np.uint32).reshape(len(group), -1)
+        bands_of = sigs[:, : nth * rows].reshape(len(group), nth, rows)
+        x = [np.frombuffer(g["x"], np.uint64) for g in group]
+        w = [count(g["c"], len(v)) for g, v in zip(group, x)]
+        roots = np.array([g["root"] for g in group])
+        halves = np.array([g["half"] for g in group])
+        apart = group[0]["i"] != group[0]["j"]
+        for one in range(len(group)):
+            near = (sigs[one + 1 :] == sigs[one]).mean(1) >= least
+            near &= roots[one + 1 :] != roots[one]
+            if apart:
+                near &= halves[one + 1 :] != halves[one]
+            for two in (np.flatnonzero(near) + one + 1).tolist():
+                if roots[one] == roots[two] or (bands_of[one] == bands_of[two]).all(1).any():
+                    continue
+                if similarity(x[one], w[one], x[two], w[two]) >= similar - 1e-12:
+                    roots[roots == roots[two]] = roots[one]
+                    yield group[one]["node"], group[two]["node"]
+
+    def run(batches):
+        held: list[dict] = []
+        key = lambda r: (r["band"], r["i"], r["j"])
+        for b in batches:
+            links = []
+            for row in b.to_pylist():
+                if held and key(held[0]) != key(row):
+                    links += test(held)
+                    held = []
+                held.append(row)
+            yield C.batch(schema, [p for p, _ in links], [q for _, q in links])
+        if held:
+            links = list(test(held))
+            yield C.batch(schema, [p for p, _ in links], [q for _, q in links])
+
+    return blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id): the least id of the documents joined to it by links of at least ``similar``.
 
@@ -190,24 +243,31 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", similar: float =
     texts = every.where("wh is not null").groupBy("wh", "wh2").agg(F.min("doc_id").alias("node"))
     signed = C.checkpoint(every.where("sig is not null").join(texts, ["wh", "wh2"]).where("doc_id = node").select("node", "sig").dropDuplicates(["node"]))
     rows = bands(signed)
-    buckets = rows.groupBy("band").agg(F.min("node").alias("p1"), F.min_by("node", F.xxhash64("node", "band")).alias("p2"), F.count("*").alias("n")).where("n > 1")
-    met = C.checkpoint(rows.join(buckets, "band"))
-    pivots = met.select("node", F.explode(F.array("p1", "p2")).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    first = pivots.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = C.checkpoint(rows.join(sizes, "band"))
+    central = met.groupBy("node").agg(F.sum("n").alias("mates"))
+    pivots = met.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("p1"), F.min_by("node", F.xxhash64("node", "band")).alias("p2"))
+    meetings = met.join(pivots, "band").select("node", F.explode(F.array("p1", "p2")).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    first = meetings.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b")
     wanted = met.select("node").distinct()
     held = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node", "left_semi")
     sets = C.checkpoint(elements(held).dropDuplicates(["node"]))
     links = C.checkpoint(_verify(_sift(first, signed, SIFT), sets, similar).select("a", "b"))
     roots = components(links)
     # pairs of a bucket that are in different components: one of the two is outside the bucket's main component
-    placed = C.checkpoint(met.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
-    main = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    placed = C.checkpoint(met.select("band", "nth", "n", "node").join(roots, "node", "left").select("band", "nth", "n", "node", F.coalesce("root", "node").alias("root")))
+    main = placed.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("root", F.struct("k", -F.col("root"))).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     mixed = placed.join(main, "band")
-    stray = mixed.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-    other = mixed.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
+    small = mixed.where(F.col("n") <= SMALL)
+    stray = small.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
+    other = small.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
     pairs = stray.join(other, "band").where("ra <> rb and (in_main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verify(C.checkpoint(_sift(pairs, signed, SIFT)), sets, similar).select("a", "b")
-    final = components(links.union(more))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = mixed.where(F.col("n") > SMALL).withColumn("parts", parts).withColumn("half", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("half", "with")).withColumn("j", F.greatest("half", "with"))
+    large = large.select("band", "i", "j", "nth", "node", "root", "half").join(signed, "node").join(sets, "node")
+    final = components(links.union(more).union(_block_links(large, similar, SIFT)))
     placed_docs = every.select("doc_id", "wh", "wh2").join(texts, ["wh", "wh2"], "left").join(final, "node", "left")
     found = placed_docs.select("doc_id", F.coalesce("root", "node", "doc_id").alias("class_id"))
     nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
