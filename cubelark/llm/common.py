@@ -96,6 +96,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame, rows: int, per: int = 50_000) -> DataFrame:
+    """The rows in a task for each ``per`` of a known number, so that small results don't leave many small shuffle files."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -245,28 +245,34 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", similar: float =
     rows = bands(signed)
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = C.checkpoint(rows.join(sizes, "band"))
-    central = met.groupBy("node").agg(F.sum("n").alias("mates"))
-    pivots = met.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("p1"), F.min_by("node", F.xxhash64("node", "band")).alias("p2"))
-    meetings = met.join(pivots, "band").select("node", F.explode(F.array("p1", "p2")).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    first = meetings.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b")
-    wanted = met.select("node").distinct()
+    n_met = met.count()
+    few = lambda df: C.narrow(df, n_met)  # noqa: E731  what follows has at most a few rows for each of met's
+    met = few(met)
+    wanted = C.checkpoint(few(met.select("node").distinct()))
+    n_nodes = wanted.count()
+    own = lambda df: C.narrow(df, n_nodes, 5_000)  # noqa: E731  a row for each node that has met another
+    signed = own(C.checkpoint(own(signed.join(wanted, "node", "left_semi"))))
+    central = few(met.groupBy("node").agg(F.sum("n").alias("mates")))
+    pivots = few(few(met.join(central, "node")).groupBy("band").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("p1"), F.min_by("node", F.xxhash64("node", "band")).alias("p2")))
+    meetings = few(few(met.join(pivots, "band").select("node", F.explode(F.array("p1", "p2")).alias("pivot")).where("node <> pivot")).groupBy("node", "pivot").agg(F.count("*").alias("n")))
+    first = few(meetings.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b"))
     held = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node", "left_semi")
-    sets = C.checkpoint(elements(held).dropDuplicates(["node"]))
+    sets = own(C.checkpoint(own(elements(held).dropDuplicates(["node"]))))
     links = C.checkpoint(_verify(_sift(first, signed, SIFT), sets, similar).select("a", "b"))
     roots = components(links)
     # pairs of a bucket that are in different components: one of the two is outside the bucket's main component
-    placed = C.checkpoint(met.select("band", "nth", "n", "node").join(roots, "node", "left").select("band", "nth", "n", "node", F.coalesce("root", "node").alias("root")))
-    main = placed.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("root", F.struct("k", -F.col("root"))).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = placed.join(main, "band")
+    placed = few(C.checkpoint(few(met.select("band", "nth", "n", "node").join(roots, "node", "left").select("band", "nth", "n", "node", F.coalesce("root", "node").alias("root")))))
+    main = few(few(placed.groupBy("band", "root").agg(F.count("*").alias("k"))).groupBy("band").agg(F.max_by("root", F.struct("k", -F.col("root"))).alias("main"), F.count("*").alias("roots")).where("roots > 1"))
+    mixed = few(C.checkpoint(few(placed.join(main, "band"))))
     small = mixed.where(F.col("n") <= SMALL)
     stray = small.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
     other = small.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    pairs = stray.join(other, "band").where("ra <> rb and (in_main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verify(C.checkpoint(_sift(pairs, signed, SIFT)), sets, similar).select("a", "b")
+    pairs = few(stray.join(other, "band").where("ra <> rb and (in_main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    more = _verify(C.checkpoint(_sift(few(pairs), signed, SIFT)), sets, similar).select("a", "b")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     large = mixed.where(F.col("n") > SMALL).withColumn("parts", parts).withColumn("half", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("half", "with")).withColumn("j", F.greatest("half", "with"))
-    large = large.select("band", "i", "j", "nth", "node", "root", "half").join(signed, "node").join(sets, "node")
+    large = own(large.select("band", "i", "j", "nth", "node", "root", "half").join(signed, "node").join(sets, "node"))
     final = components(links.union(more).union(_block_links(large, similar, SIFT)))
     placed_docs = every.select("doc_id", "wh", "wh2").join(texts, ["wh", "wh2"], "left").join(final, "node", "left")
     found = placed_docs.select("doc_id", F.coalesce("root", "node", "doc_id").alias("class_id"))
