@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,36 @@ def test_interpolation_is_a_distribution():
                 assert total == pytest.approx(1)
 
 
+def test_lm_scores_by_all_word_ngrams(spark):
+    """Pairs of words far below the class vocabulary: only word n-grams can predict the second of each."""
+    rng = random.Random(8)
+    words = [f"w{i}x" for i in range(2400)]
+    after = dict(zip(words, rng.sample(words, len(words))))
+
+    def text(paired):
+        first = [rng.choice(words) for _ in range(60)]
+        return " ".join(f"{w} {after[w] if paired else rng.choice(words)}" for w in first)
+
+    train = C.keyed(frame(spark, [(i, text(True)) for i in range(400)]))
+    asked = C.keyed(frame(spark, [(1000 + i, text(i % 2 == 0)) for i in range(40)]))
+    got = {r.doc_id: r for r in lm.score(asked, *lm.fit(train)).collect()}
+    per = lambda odd: np.mean([r.score / r.n_tokens for i, r in got.items() if i % 2 == odd])
+    assert per(0) > per(1) + 1
+
+
+def test_lm_ngram_counts_match_plain():
+    rng = random.Random(9)
+    texts = [prose(rng, n).encode() for n in (0, 1, 2, 40, 200)]
+    table = pa.table({"doc_id": range(5), "th": range(5), "text": texts, "train": [True] * 4 + [False], "ask": [True] * 5})
+    chunk = lm.Chunk(table, 4)
+    words = [["S", "S", *lm.tokens(t)] for t in texts]
+    plain = [collections.Counter(tuple(w[i - n : i]) for w in words[:4] for i in range(3, len(w) + 1)) for n in (1, 2, 3)]
+    starts = sum(w[-1] == lm.tokens(None)[0] for w in words[:4])
+    context = lambda c, n: starts if set(c) == {"S"} else plain[n - 1][c]
+    want = [(*(plain[n - 1][tuple(w[i - n : i])] for n in (1, 2, 3)), context((w[i - 2],), 1), context(tuple(w[i - 3 : i - 1]), 2)) for w in words for i in range(3, len(w) + 1)]
+    assert list(zip(*(x.tolist() for x in chunk.counts(chunk.own)))) == want
+
+
 # --- language ID
 
 
