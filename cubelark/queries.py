@@ -343,6 +343,11 @@ def combine_fisher(spark, sf):
     return out(R.fisher(c.with_df(c.df.where("cast(subject AS int) <= 8"))), *CELL, ("chi2", "chi2", 5), "df", ("p", "p", 8), "n_eff")
 
 
+@query("combine_fisher_whole")
+def combine_fisher_whole(spark, sf):
+    return out(R.fisher(p_cube(spark, sf)), *CELL, ("chi2", "chi2", 5), "df", ("p", "p", 8), "n_eff")
+
+
 @query("ttest_welch", """WITH c AS (SELECT event_type AS sample, user_id AS u, avg(value) AS y FROM events GROUP BY ALL), g AS (SELECT sample, avg(y) FILTER (u % 2 = 1) AS m1, avg(y) FILTER (u % 2 = 0) AS m0, var_samp(y) FILTER (u % 2 = 1) AS v1, var_samp(y) FILTER (u % 2 = 0) AS v0, count(*) FILTER (u % 2 = 1) AS n1, count(*) FILTER (u % 2 = 0) AS n0 FROM c GROUP BY 1)
 SELECT sample, round(m1 - m0, 6) AS beta, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round((v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)), 5) AS df, n0, n1 FROM g""")
 def ttest_welch(spark, sf):
@@ -401,9 +406,10 @@ def two_sample(spark, sf):
     return out(R.two_sample(c, "side", "high", "low").df, *CELL, ("effect", "coef:sidelow", 3))
 
 
-def embedding_cube(spark, sf) -> Cube:
-    """Dimensions as samples, 16 vectors as subjects; centred components as the measure."""
-    rows = read(spark, sf, "embeddings").where("vec_id < 16").select(F.col("vec_id").cast("string").alias("subject"), F.posexplode("embedding").alias("sample", "x"))
+def embedding_cube(spark, sf, first: int | None = None) -> Cube:
+    """Dimensions as samples, all vectors (or the first) as subjects; centred components as the measure."""
+    vectors = read(spark, sf, "embeddings")
+    rows = (vectors if first is None else vectors.where(F.col("vec_id") < first)).select(F.col("vec_id").cast("string").alias("subject"), F.posexplode("embedding").alias("sample", "x"))
     return S.from_table(rows.select(F.col("sample").cast("string").alias("sample"), "subject", F.col("x").cast("double").alias("beta")), dedupe=False)
 
 
@@ -418,7 +424,14 @@ o AS (SELECT d, sum(y) AS t, sum(y * y) AS q, count(*)::DOUBLE AS n FROM x GROUP
 z AS (SELECT i, d, sum(s * y) AS t FROM x JOIN f USING (vec_id) GROUP BY ALL), zt AS (SELECT i, d, ot.t AS obs, (z.t / n) / sqrt((q - z.t * z.t / n) / (n - 1) / n) AS t FROM z JOIN ot USING (d)), m AS (SELECT i, max(abs(t)) AS m FROM zt GROUP BY 1)
 SELECT d::VARCHAR AS sample, round(obs, 6) AS t, round((1 + count(*) FILTER (abs(zt.t) >= abs(obs) - 1e-12 * greatest(1, abs(obs)))) / 65.0, 8) AS p_perm, round((1 + count(*) FILTER (m >= abs(obs) - 1e-12 * greatest(1, abs(obs)))) / 65.0, 8) AS p_fwer FROM zt JOIN m USING (i) GROUP BY d, obs""")
 def perm_onesample(spark, sf):
-    made = R.reduce(embedding_cube(spark, sf), "perm:onesample", signs=sign_table()).df
+    made = R.reduce(embedding_cube(spark, sf, first=16), "perm:onesample", signs=sign_table()).df
+    return out(made, "sample", ("t", "t", 6), ("p_perm", "p_perm", 8), ("p_fwer", "p_fwer", 8))
+
+
+@query("perm_onesample_whole")
+def perm_onesample_whole(spark, sf):
+    c = embedding_cube(spark, sf)
+    made = R.reduce(c, "perm:onesample", signs=sign_table(width=c.subjects.count())).df
     return out(made, "sample", ("t", "t", 6), ("p_perm", "p_perm", 8), ("p_fwer", "p_fwer", 8))
 
 
@@ -436,13 +449,15 @@ def _grid(c: Cube) -> Cube:
 
 @query("tfce_onesample")
 def tfce_onesample(spark, sf):
-    made = R.reduce(_grid(embedding_cube(spark, sf)), "perm:onesample", signs=sign_table(), spatial="tfce").df
+    c = _grid(embedding_cube(spark, sf))
+    made = R.reduce(c, "perm:onesample", signs=sign_table(width=c.subjects.count()), spatial="tfce").df
     return out(made, "sample", ("tfce", "tfce", 5), ("p", "p_tfce_fwer", 8))
 
 
 @query("cluster_onesample")
 def cluster_onesample(spark, sf):
-    made = R.reduce(_grid(embedding_cube(spark, sf)), "perm:onesample", signs=sign_table(), spatial="cluster", cluster_threshold=1.5).df
+    c = _grid(embedding_cube(spark, sf))
+    made = R.reduce(c, "perm:onesample", signs=sign_table(width=c.subjects.count()), spatial="cluster", cluster_threshold=1.5).df
     return out(made, "sample", "cluster_id", ("p", "p_cluster_fwer", 8))
 
 
@@ -451,8 +466,10 @@ def combine_lancaster(spark, sf):
     return out(R.lancaster(p_cube(spark, sf)), *CELL, ("chi2", "chi2", 4), "df", "n_eff")
 
 
-def repeated_cube(spark, sf):
-    c = V.subset(brand_cube(spark, sf), sample=list(range(1, 7)))
+def repeated_cube(spark, sf, first: int | None = None):
+    c = brand_cube(spark, sf)
+    if first is not None:
+        c = V.subset(c, sample=list(range(1, first + 1)))
     return c.with_df(c.df.withColumn("beta", F.col("beta") / 1000).withColumn("var", F.col("var") / 1e6))
 
 
@@ -462,19 +479,25 @@ o AS (SELECT sample FROM c GROUP BY 1 HAVING count(y) = (SELECT n * k FROM n)),
 a AS (SELECT sample, avg(m) AS mean, var_samp(m) AS vb, sum(within) AS ssw, count(*) AS n FROM m GROUP BY 1)
 SELECT k.sample, round(mean, 3) AS b0, round(sqrt(CASE WHEN vb * kk > ssw / (a.n * (kk - 1)) THEN vb / a.n ELSE ((a.n - 1) * kk * vb + ssw) / (a.n * kk - 1) / (a.n * kk) END), 3) AS se FROM k LEFT JOIN a ON a.sample = k.sample, (SELECT k AS kk FROM n)""")
 def lmm_ri(spark, sf):
+    made = R.reduce(repeated_cube(spark, sf, first=6), "lmm:ri").df
+    return out(made, "sample", ("b0", "coef:(Intercept)", 3), ("se", "se_coef:(Intercept)", 3))
+
+
+@query("lmm_ri_whole")
+def lmm_ri_whole(spark, sf):
     made = R.reduce(repeated_cube(spark, sf), "lmm:ri").df
     return out(made, "sample", ("b0", "coef:(Intercept)", 3), ("se", "se_coef:(Intercept)", 3))
 
 
 @query("lmm_ri_knownvar")
 def lmm_ri_knownvar(spark, sf):
-    c = V.subset(repeated_cube(spark, sf), sample=[1, 2])
+    c = repeated_cube(spark, sf)
     return out(R.reduce(c, "lmm:ri_knownvar").df, "sample", ("b0", "coef:(Intercept)", 2))
 
 
 @query("lmm_slope")
 def lmm_slope(spark, sf):
-    c = V.subset(repeated_cube(spark, sf), sample=[1, 2])
+    c = repeated_cube(spark, sf)
     c = c.with_(contrasts=c.contrasts.withColumn("time", F.col("ord").cast("double")))
     return out(R.reduce(c, "lmm:ri_slope1", slope="time").df, "sample", ("b0", "coef:(Intercept)", 2), ("b1", "coef:time", 2))
 
