@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame
 
 from . import common as C
 
-#: Label | SPDX words | name as a pattern over words | keyword.
+#: Label | SPDX words | name as a pattern over words | keywords, one of which is in each branch of the name.
 FAMILIES = """
 apache-1.1 | apache 1 1 | apache (?:software )?license (?:version )?(?:v)?1 1 | apache
 apache-2.0 | apache 2 0 | apache (?:software )?license (?:version )?(?:v ?)?2(?: 0)? | apache
 mit | mit | mit(?: style| x11)? license | mit
-bsd-2-clause | bsd 2 clause | (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd) license | bsd
+bsd-2-clause | bsd 2 clause | (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd) license | bsd,freebsd
 bsd-3-clause | bsd 3 clause | (?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd) license | bsd
 bsd-4-clause | bsd 4 clause | (?:original bsd|bsd 4 clause|4 clause bsd) license | bsd
 bsd | bsd | bsd(?: style)? license | bsd
-0bsd | 0bsd | (?:zero clause bsd|bsd zero clause|0bsd) license | bsd
+0bsd | 0bsd | (?:zero clause bsd|bsd zero clause|0bsd) license | bsd,0bsd
 isc | isc | isc license | isc
 gpl-1.0 | gpl 1 0(?: only| or later)? | gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version )?(?:v ?)?1(?: 0)? | general public
 gpl-2.0 | gpl 2 0(?: only| or later)? | gnu general public license (?:as published by the free software foundation )?(?:either )?(?:version )?(?:v ?)?2(?: 0)? | general public
@@ -62,7 +62,7 @@ artistic | artistic | (?:perl )?artistic license | artistic
 bsl-1.0 | bsl 1 0 | boost software license (?:version )?1 0 | boost
 bsl | bsl | boost software license | boost
 busl-1.1 | busl 1 1 | business source license (?:version )?1 1 | business source
-cc0-1.0 | cc0 1 0 | (?:creative commons zero|cc0)(?: license)?(?: version)?(?: 1 0)?(?: universal)? | cc0
+cc0-1.0 | cc0 1 0 | (?:creative commons zero|cc0)(?: license)?(?: version)?(?: 1 0)?(?: universal)? | cc0,creative commons
 cc-by-3.0 | cc by 3 0 | creative commons attribution (?:license )?(?:version )?3 0 | creative commons
 cc-by-4.0 | cc by 4 0 | creative commons attribution (?:license )?(?:version )?4 0 | creative commons
 cc-by-sa-3.0 | cc by sa 3 0 | creative commons attribution share ?alike (?:license )?(?:version )?3 0 | creative commons
@@ -79,7 +79,7 @@ ruby | ruby | ruby license | ruby
 postgresql | postgresql | postgresql license | postgresql
 openssl | openssl | openssl license | openssl
 zlib | zlib | (?:zlib|zlib libpng) license | zlib
-libpng-2.0 | libpng 2 0 | (?:png reference library|libpng) license | libpng
+libpng-2.0 | libpng 2 0 | (?:png reference library|libpng) license | libpng,png reference
 ncsa | ncsa | (?:university of illinois )?ncsa (?:open source )?license | ncsa
 ms-pl | ms pl | microsoft public license | microsoft
 ms-rl | ms rl | microsoft reciprocal license | microsoft
@@ -121,7 +121,7 @@ SHAPES = (
     ("tag", 1.0, r"spdx license identifier {s}", "spdx"),
     ("grant", 0.95, r"(?:licensed|released|distributed|available|published|covered|provided) under (?:an? )?(?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{n}|{s})", "licensed|released|distributed|available|published|covered|provided"),
     ("terms", 0.9, r"(?:subject to|governed by|under) the (?:terms (?:and conditions )?of the )?{n}", None),
-    ("link", 0.85, r"(?:opensource org|spdx org|choosealicense com|gnu org|creativecommons org) licenses? {s}", "licenses"),
+    ("link", 0.85, r"(?:opensource org|spdx org|choosealicense com|gnu org|creativecommons org) licenses? {s}", "license|licenses"),
     ("name", 0.7, r"{n}", None),
 )
 SENTENCE = 0.8
@@ -137,7 +137,7 @@ def rules() -> list[tuple[int, float, str, str, re.Pattern]]:
     for kind, (_, weight, shape, gate) in enumerate(SHAPES):
         for label, spdx, name, keyword in rows(FAMILIES):
             pattern = shape.format(s=spdx, n=f"(?:{name})")
-            out.append((kind, weight, label, gate or keyword, re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
+            out.append((kind, weight, label, gate or keyword.replace(",", "|"), re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
     for label, pattern, keyword in rows(SENTENCES):
         out.append((1, SENTENCE, label, keyword, re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
     return sorted(out, key=lambda r: r[0])

@@ -359,6 +359,32 @@ def test_license_rules_and_suppression():
     assert licenses.suppress([(0, 5, 1, 0.9, "a"), (1, 3, 4, 0.7, "b"), (4, 8, 4, 0.7, "c"), (0, 5, 4, 0.7, "d")]) == [(0, 5, 1, 0.9, "a"), (4, 8, 4, 0.7, "c")]
 
 
+def branches(tree):
+    """A sample of each branch of a parsed pattern."""
+    out = [""]
+    for op, value in tree:
+        own = {
+            "LITERAL": lambda v: [chr(v)], "IN": lambda v: [chr(v[0][1])] if str(v[0][0]) == "LITERAL" else ["x"], "ANY": lambda v: ["x"], "ASSERT": lambda v: [""],
+            "SUBPATTERN": lambda v: branches(v[3]), "BRANCH": lambda v: [x for b in v[1] for x in branches(b)],
+            "MAX_REPEAT": lambda v: [""] * (v[0] == 0) + branches(v[2]), "MIN_REPEAT": lambda v: [""] * (v[0] == 0) + branches(v[2]),
+        }[str(op)](value)
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_gates_occur_in_each_branch_of_their_rules():
+    for _, _, label, gate, pattern in licenses.rules():
+        for text in branches(re._parser.parse(pattern.pattern.decode())):
+            assert any(f" {g} " in f" {text} " for g in gate.split("|")), (label, text)
+    scan = licenses.Scanner()
+    labels = lambda text: {x[4] for x in scan(C.alnum_words(text.encode()))[0]}
+    assert labels("see opensource.org/license/mit for it") == {"mit"}
+    assert labels("the FreeBSD license holds") == {"bsd-2-clause"}
+    assert labels("a 0BSD license file") == {"0bsd"}
+    assert labels("is Creative Commons Zero here") == {"cc0-1.0"}
+    assert labels("the PNG reference library license") == {"libpng-2.0"}
+
+
 # --- decontamination
 
 
