@@ -1,34 +1,22 @@
-"""LM scoring by deleted interpolation of word n-grams over a class model.
+"""LM scoring by deleted interpolation of word trigrams, bigrams and unigrams.
 
-The probability of a word after the words h2 h1 is
+Maximum-likelihood estimates of three orders over all training words are mixed:
 
-    P(w | h2 h1) = m3 F3(w | h2 h1) + m2 F2(w | h1) + m0 C(w | h2 h1)
+    P = a F3(w | h2 h1) + (1 - a) (b F2(w | h1) + (1 - b) (c F1(w) + (1 - c) F0(w)))
 
-where F3 and F2 are maximum-likelihood estimates of word trigrams and bigrams
-over all training documents, and C is a model of classes. The weights m depend
-on how often both contexts were seen. Expectation-maximisation learns them from
-every training token, with the counts of the token's own chunk of documents
-taken out of all counts, so that no document predicts itself.
+F0 gives words never seen the share that words seen once have, as one event, and
+spreads the rest evenly over the known words. The weights a, b and c depend on
+the bucket of how often h1 and h2 h1 were seen; an estimate whose context was
+never seen has none. Expectation-maximisation learns them, the lowest order
+first, on held-out counts: each training token is predicted from all counts but
+those of its own chunk of documents.
 
-N-grams are 50-bit hashes. Documents are dealt into chunks by a hash; a chunk
-sends each of its distinct n-grams once, with its training count, to the
-n-gram's bucket, and gets the sum over all chunks back. A frequent n-gram so
-costs one number a chunk, whatever its count. No n-gram is left out, and no
-table of n-grams is gathered: the driver sees a fixed-size table of ratios.
-
-C has a closed vocabulary of classes: each of the most frequent words is one,
-and one class holds all other words. A class follows its context with
-
-    C(k | h2 h1) = l3 f3(k | h2 h1) + l2 f2(k | h1) + l1 f1(k) + l0 / classes
-
-where the f are maximum-likelihood estimates over all training documents. The
-mixture weights l depend on how often the context was seen (buckets of the
-logarithms of both contexts' counts). Expectation-maximisation learns them on
-held-out counts: the training documents are dealt into two parts by a hash,
-estimates from one part predict the other. A word of the open class has its
-training share of that class; a word never seen has the share that words seen
-once have (the held-out chance of a new word). The class tables are dense and
-of fixed size, so they can be sent to every task.
+No table of n-grams is gathered, and none is left out. Documents form chunks. A
+chunk sends each of its distinct n-grams once, as a sorted, packed run of hashes
+with training counts, to the n-grams' buckets, and each bucket sends back the
+sums over all chunks in the chunk's own order. Meanwhile the chunk's words travel
+as places in its vocabulary and meet the sums. A frequent n-gram costs one number
+a chunk, whatever its count; the driver sees only tables of fixed size.
 """
 
 from __future__ import annotations
@@ -38,373 +26,413 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-WORDS, COARSE, BUCKETS = 500, 30, 12
-_END = b" end"  # no word has a blank
+#: No word has a blank. The end of a text also stands before its first word.
+END = b" end"
+UNI_BITS = 58
+LEVELS, OCTAVE, FAR = 20, 8, 60
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     """Words of the text with A-Z lower-cased, then the end."""
-    return [*(text.translate(C.LOWER).split() if text else ()), _END]
+    return [*(text.translate(C.LOWER).split() if text else ()), END]
 
 
-_COUNT = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+# --- packed numbers
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word hash, n) over all rows of (doc_id, th, text); tasks send one row for each word of a batch."""
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative integers as compressed planes of bytes, as many as the greatest needs."""
+    raw = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)
+    planes = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    parts = [zlib.compress(raw[:, k].tobytes(), 1) for k in range(planes)]
+    return np.array([len(values), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
 
-    def run(batches):
-        hasher = C.WordHasher()
-        for b in batches:
-            held: dict[bytes, int] = {}
-            for _, words in C.chunks(b.column(2).to_pylist(), tokens):
-                for own in words:
-                    for w in own:
-                        held[w] = held.get(w, 0) + 1
-                if len(held) > 300_000:
-                    yield C.batch(_COUNT, hasher.array(list(held)).view(np.int64), list(held.values()))
-                    held = {}
-            yield C.batch(_COUNT, hasher.array(list(held)).view(np.int64), list(held.values()))
-
-    return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Classes:
-    """Word hashes to classes: 0 to words - 1 the frequent words, then the open class; ``start`` stands before a text."""
-
-    def __init__(self, ranked: np.ndarray, words: int, coarse: int):
-        own = ranked[:words]
-        by = np.argsort(own)
-        self.keys, self.of = own[by], by.astype(np.int64)
-        self.open, self.n = len(own), len(own) + 1
-        self.start, self.contexts = self.n, self.n + 1
-        self.coarse = np.full(self.contexts, min(coarse, len(own)), np.int64)
-        self.coarse[: min(coarse, len(own))] = np.arange(min(coarse, len(own)))
-        self.coarse[self.start] = min(coarse, len(own)) + 1
-        self.wide = min(coarse, len(own)) + 2
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(hashes), self.open)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.of[at], self.open)
-
-    def events(self, hashes: np.ndarray, lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context before the last, last context, class) of each token of texts laid end to end."""
-        k = self(hashes)
-        first = np.zeros(len(k), bool)
-        first[np.cumsum(lengths) - lengths] = True
-        h1 = np.where(first, self.start, np.concatenate(([self.start], k[:-1])))
-        second = first | np.concatenate(([False], first[:-1]))
-        h2 = np.where(second, self.start, np.concatenate(([self.start] * 2, k[:-2]))[: len(k)])
-        return self.coarse[h2], h1, k
-
-
-_EVENT = pa.schema([("part", pa.int32()), ("event", pa.int64()), ("n", pa.int64())])
-
-
-def event_counts(docs: DataFrame, classes) -> DataFrame:
-    """(part, event, n): counts of coded (h2, h1, class), by the part of the hash."""
 
-    def run(batches):
-        own, hasher = classes.value, C.WordHasher()
-        for b in batches:
-            parts = (b.column(1).to_numpy() & 1).tolist()
-            for first, words in C.chunks(b.column(2).to_pylist(), tokens):
-                lengths = np.array([len(w) for w in words])
-                h2, h1, k = own.events(np.concatenate([hasher.array(w) for w in words]), lengths)
-                code = (h2 * own.contexts + h1) * own.n + k
-                part = np.repeat(parts[first : first + len(words)], lengths)
-                codes, n = np.unique(code * 2 + part, return_counts=True)
-                yield C.batch(_EVENT, (codes & 1).astype(np.int32), codes >> 1, n)
-
-    return docs.mapInArrow(run, "part int, event long, n long").groupBy("part", "event").agg(F.sum("n").alias("n"))
-
-
-class Tables:
-    """Maximum-likelihood estimates of one set of counted events."""
-
-    def __init__(self, classes: Classes, events: np.ndarray, n: np.ndarray):
-        c = classes
-        h, k = events // c.n, events % c.n
-        h2, h1 = h // c.contexts, h % c.contexts
-        self.n1 = np.bincount(k, n, c.n)
-        self.n2 = np.bincount(h1 * c.n + k, n, c.contexts * c.n)
-        coarse = c.coarse[h1]
-        self.n3 = np.bincount((h2 * c.wide + coarse) * c.n + k, n, c.wide * c.wide * c.n)
-        self.s2 = self.n2.reshape(-1, c.n).sum(1)
-        self.s3 = self.n3.reshape(-1, c.n).sum(1)
-        self.total, self.c = max(self.n1.sum(), 1.0), c
-
-    def parts(self, h2, h1, k):
-        """(bucket, the four estimates) of each event."""
-        c = self.c
-        g = h2 * c.wide + c.coarse[h1]
-        s2, s3 = self.s2[h1], self.s3[g]
-        f = np.empty((4, len(k)))
-        f[0] = 1 / c.n
-        f[1] = self.n1[k] / self.total
-        f[2] = self.n2[h1 * c.n + k] / np.maximum(s2, 1)
-        f[3] = self.n3[g * c.n + k] / np.maximum(s3, 1)
-        level = lambda s: np.minimum(np.log2(s + 1).astype(np.int64) // 2, BUCKETS - 1)
-        return level(s2) * BUCKETS + level(s3), f
-
-
-def learn_weights(pairs, rounds: int = 30) -> np.ndarray:
-    """Mixture weights of each bucket by expectation-maximisation; pairs: (tables, held-out events, counts)."""
-    weights = np.full((BUCKETS * BUCKETS, 4), 0.25)
-    data = [(*t.parts(e // t.c.n // t.c.contexts, e // t.c.n % t.c.contexts, e % t.c.n), n) for t, e, n in pairs]
-    for _ in range(rounds):
-        share = np.full_like(weights, 0.01)
-        for bucket, f, n in data:
-            mixed = weights[bucket].T * f
-            mixed *= n / np.maximum(mixed.sum(0), 1e-300)
-            for j in range(4):
-                share[:, j] += np.bincount(bucket, mixed[j], len(share))
-        weights = share / share.sum(1, keepdims=True)
-    return weights
+def unpack(data: bytes) -> np.ndarray:
+    """The numbers of one ``pack``, as uint64."""
+    n = int.from_bytes(data[:8], "little")
+    out, planes = np.zeros((n, 8), np.uint8), 0
+    lengths = []
+    left = len(data) - 8
+    while left:
+        lengths.append(int.from_bytes(data[8 + 8 * planes : 16 + 8 * planes], "little"))
+        left -= 8 + lengths[-1]
+        planes += 1
+    at = 8 + 8 * planes
+    for k, length in enumerate(lengths):
+        out[:, k] = np.frombuffer(zlib.decompress(data[at : at + length]), np.uint8)
+        at += length
+    return out.view(np.uint64).ravel()
 
 
-class Model:
-    """What tasks need to score: classes, tables, weights, the counts of frequent words, and totals."""
-
-    def __init__(self, classes, tables, weights, keys, counts, total, distinct, once):
-        self.classes, self.tables, self.weights = classes, tables, weights
-        self.keys, self.counts = keys, counts
-        self.total, self.distinct = total, distinct
-        self.open = max(1.0, total - counts_of(classes, keys, counts))
-        self.new = min(0.5, max(once, 0.5) / self.open)
-        self.floor = math.log10(0.5) - math.log10(total + 0.5 * (distinct + 1))
-        self.norm = math.log10(total + 0.5 * (distinct + 1))
-
-    def sequence(self, h2, h1, k) -> np.ndarray:
-        bucket, f = self.tables.parts(h2, h1, k)
-        return np.log10((self.weights[bucket].T * f).sum(0))
-
-    def base(self, n: np.ndarray) -> np.ndarray:
-        return np.log10(n + 0.5) - self.norm
-
-    def within(self, n: np.ndarray) -> np.ndarray:
-        """Log10 share in the open class of a word seen n times."""
-        return np.where(n > 0, np.log10(np.maximum(n, 1) / self.open * (1 - self.new)), math.log10(self.new))
-
-
-def counts_of(classes: Classes, keys, counts) -> float:
-    return float(counts[np.isin(keys, classes.keys)].sum())
-
-
-def fit(docs: DataFrame, sent: int = 100_000, words: int = WORDS, coarse: int = COARSE) -> tuple[DataFrame, Model]:
-    """(the rows whose n-grams count, the class model) of training rows (doc_id, th, text)."""
-    counts = C.checkpoint(word_counts(docs))
-    total, distinct, once = counts.agg(F.sum("n"), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(sent).toArrow()
-    hashes, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
-    order = np.lexsort((hashes, -n))
-    classes = Classes(hashes[order], words, coarse)
-    by = np.argsort(hashes)
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
-    table = event_counts(docs, shared).toArrow()
-    part, event, m = (table.column(i).to_numpy() for i in range(3))
-    half = [(event[part == p], m[part == p].astype(float)) for p in (0, 1)]
-    weights = learn_weights([(Tables(classes, *half[0]), *half[1]), (Tables(classes, *half[1]), *half[0])])
-    tables = Tables(classes, event, m.astype(float))
-    return docs, Model(classes, tables, weights, hashes[by], n[by], float(total or 0), distinct, once)
-
-
-START = np.uint64(0x5DEECE66D1CE4E5B)  # stands before a text, as END stands behind it
-_ORDERS = [np.uint64(0x9E3779B97F4A7C15 + 2 * i) for i in range(5)]
-_REST = np.uint64(40)  # bits of an n-gram's hash besides its bucket
-_OCTAVE = 4  # cells of the table of ratios in an octave
-_FAR = 30 * _OCTAVE
-
-
-def gram_ids(hashes: np.ndarray, lengths, bits: int) -> list[np.ndarray]:
-    """Hashes of the word, bigram and trigram that end at each token of texts laid end to end; ``bits`` tell the bucket."""
-    first = np.zeros(len(hashes), bool)
-    first[np.cumsum(lengths) - lengths] = True
-    h1 = np.where(first, START, np.concatenate(([START], hashes[:-1])))
-    h2 = np.where(first, START, np.concatenate(([START], h1[:-1])))
-    a, b, c, d, e = _ORDERS
-    two = C.mix(h1 * b + hashes) ^ c
-    return [C.mix(x) >> (np.uint64(64 - bits) - _REST) for x in (hashes * a, two, C.mix(h2 * d + e) + two)]
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending integers as the bytes of their steps; only the upper, uneven planes are worth compressing."""
+    steps = np.diff(values, prepend=np.uint64(0)) if len(values) else values
+    raw = np.ascontiguousarray(steps, np.uint64).view(np.uint8).reshape(-1, 8)
+    usual = int(np.median(steps[1:])).bit_length() // 8 if len(steps) > 1 else 8  # planes of even bytes
+    low = np.ascontiguousarray(raw[:, :usual].T).tobytes()
+    return np.array([len(values), usual], np.int32).tobytes() + low + zlib.compress(np.ascontiguousarray(raw[:, usual:].T).tobytes(), 1)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    n, usual = np.frombuffer(data[:8], np.int32).tolist()
+    raw = np.empty((n, 8), np.uint8)
+    raw[:, :usual] = np.frombuffer(data[8 : 8 + n * usual], np.uint8).reshape(usual, n).T
+    raw[:, usual:] = np.frombuffer(zlib.decompress(data[8 + n * usual :]), np.uint8).reshape(8 - usual, n).T
+    return np.cumsum(raw.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+# --- chunks
+
+
+class Plan:
+    """Sizes that follow from the bytes of all texts: bytes of a chunk, buckets of n-grams, bits of their hashes.
+
+    A bucket holds the n-grams of about 16 MB of text. Hashes have some 17 bits
+    more than the number of n-grams has, so that about one in 10^5 meets another.
+    """
+
+    def __init__(self, total: int, size: int = 6_000_000, bucket: int = 16_000_000):
+        self.size = min(size, max(100_000, total // 64))
+        self.bits = max(2, math.ceil(math.log2(max(total, 1) / bucket)) if total > bucket else 0)
+        self.gram_bits = min(62, 45 + max(0, math.ceil(math.log2(max(total, 1) / 1e9))))
+        self.uni = max(0, self.bits - 3)
+
+    def cuts(self, values: np.ndarray, unigrams: bool) -> list[tuple[int, int, int]]:
+        """(bucket, first, past the end) of ascending values; buckets without any are left out."""
+        have, own, start = (self.uni, UNI_BITS, 1 << self.bits) if unigrams else (self.bits, self.gram_bits, 0)
+        at = np.searchsorted(values >> np.uint64(own - have), np.arange((1 << have) + 1, dtype=np.uint64))
+        return [(start + i, a, b) for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())) if a < b]
+
+
+_SALT = [np.uint64(0x9E3779B97F4A7C15 + 2 * i) for i in range(5)]
+
+
+def unigram_ids(hashes: np.ndarray) -> np.ndarray:
+    return C.mix(hashes * _SALT[0]) >> np.uint64(64 - UNI_BITS)
+
+
+def gram_ids(hashes: np.ndarray, lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bigram and the trigram that end at each token of texts laid end to end."""
+    last = np.cumsum(lengths) - 1
+    first, end = last - lengths + 1, hashes[last[:1]]
+    h1 = np.concatenate((end, hashes[:-1]))
+    h1[first] = end
+    h2 = np.concatenate((end, h1[:-1]))
+    h2[first] = end
+    two = C.mix(h1 * _SALT[1] + hashes) ^ _SALT[2]
+    return C.mix(two) >> np.uint64(64 - bits), C.mix(C.mix(h2 * _SALT[3] + _SALT[4]) + two) >> np.uint64(64 - bits)
+
+
+def distinct(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct values, how many training tokens have each)."""
+    code = np.sort(values << np.uint64(1) | train.astype(np.uint64))
+    own = code >> np.uint64(1)
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return own[starts], np.add.reduceat(code & np.uint64(1), starts)
 
 
 class Chunk:
-    """The tokens of some documents, their distinct n-grams in order, and the training counts of those."""
-
-    def __init__(self, table: pa.Table, bits: int):
-        column = lambda name: table.column(name).to_pylist()
-        self.ids, self.ths = column("doc_id"), column("th")
-        train, self.ask = np.array(column("train"), bool), np.array(column("ask"), bool)
-        hasher = C.WordHasher()
-        lengths, hashes = [], []
-        for text in column("text"):
-            own = tokens(text)
-            lengths.append(len(own))
-            hashes.append(hasher.array(own))
-        self.lengths, self.hashes = np.array(lengths), np.concatenate(hashes)
-        self.of = np.repeat(np.arange(len(lengths)), self.lengths)
-        self.train = train[self.of]
-        grams = np.concatenate(gram_ids(self.hashes, self.lengths, bits))
-        self.grams, places = np.unique(grams, return_inverse=True)
-        self.own = np.bincount(places, np.tile(self.train, 3), len(self.grams)).astype(np.int64)
-        self.places = places.reshape(3, -1)
-        self.last = np.cumsum(self.lengths) - 1  # the end of each text
-        self.cuts = np.searchsorted(self.grams >> _REST, np.arange((1 << bits) + 1, dtype=np.uint64))
-
-    def counts(self, n: np.ndarray):
-        """(n of words, bigrams and trigrams, and of their contexts: the last word, the last two) at each token."""
-        n1, n2, n3 = (n[p] for p in self.places)
-        start, first = n1[self.last][self.of], self.last - self.lengths + 1
-        s2 = np.concatenate((n1[:1], n1[:-1]))
-        s2[first] = start[first]
-        s3 = np.concatenate((n2[:1], n2[:-1]))
-        s3[first] = start[first]
-        return n1, n2, n3, s2, s3
+    """The documents of a chunk: ids, marks, lengths and word hashes; the key tells it from every other chunk."""
 
+    def __init__(self, key: int, rows: list[tuple], hasher: C.WordHasher):
+        self.key = key
+        self.ids, texts, self.train, self.ask = map(list, zip(*rows))
+        words = [tokens(t) for t in texts]
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.hashes = np.concatenate([hasher.array(w) for w in words])
+        self.of_train = np.repeat(np.array(self.train, bool), self.lengths)
 
-_GRAMS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("n", pa.binary())])
-_SUMS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("large", pa.binary())])
-_CODED = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("class_score", pa.float64()), ("levels", pa.binary()), ("ratios", pa.binary())])
-_ddl = lambda schema: ", ".join(f"{f.name} {({'int32': 'int', 'int64': 'long', 'double': 'double', 'binary': 'binary'})[str(f.type)]}" for f in schema)
 
+def chunks_of(batches, size: int):
+    """Chunks of about ``size`` bytes of rows (doc_id, text, train, ask), in the order of a task's rows.
 
-def _packed(raw: bytes) -> bytes:
-    return zlib.compress(raw, 1)
+    A chunk's key is made of its place and its texts, so a second pass over the
+    same rows makes the same keys, and other rows make other keys.
+    """
+    hasher, held, have, crc, nth = C.WordHasher(), [], 0, 0, 0
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+
+    def made():
+        key = xxhash.xxh3_64_intdigest(repr((part, nth, crc, have, [r[0] for r in held])).encode()) >> 1
+        return Chunk(key, held, hasher)
+
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+            held.append(row)
+            text = row[1] or b""
+            have, crc = have + len(text) + 8, zlib.crc32(text, crc)
+            if have >= size:
+                yield made()
+                held, have, crc, nth = [], 0, 0, nth + 1
+    if held:
+        yield made()
+
+
+_DDL = {"int64": "long", "int32": "int", "binary": "binary", "bool": "boolean", "double": "double", "list<item: int64>": "array<long>", "list<item: bool>": "array<boolean>"}
+ddl = lambda schema: ", ".join(f"{f.name} {_DDL[str(f.type)]}" for f in schema)
+_SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())])
+_SUMS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.binary()), ("total", pa.int64()), ("words", pa.int64()), ("once", pa.int64())])
+_DOCS = [("doc_id", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ask", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("places", pa.binary())]
+_WORDS = pa.schema([("chunk", pa.int64()), *_DOCS, ("vocabulary", pa.binary())])
+_STATS = -1  # the key of the rows that carry totals
+_HELD = pa.schema([("chunk", pa.int64()), *_DOCS, *((x, pa.binary()) for x in ("n1", "own1", "n2", "own2", "n3", "own3")), ("total", pa.int64()), ("words", pa.int64()), ("once", pa.int64())])
+
+
+def _send(plan: Plan):
+    def run(batches):
+        for chunk in chunks_of(batches, plan.size):
+            every = np.concatenate(gram_ids(chunk.hashes, chunk.lengths, plan.gram_bits))
+            out = [[], [], [], []]
+            for unigrams, (values, n) in ((True, distinct(unigram_ids(chunk.hashes), chunk.of_train)), (False, distinct(every, np.tile(chunk.of_train, 2)))):
+                for bucket, a, b in plan.cuts(values, unigrams):
+                    for column, value in zip(out, (bucket, chunk.key, pack_sorted(values[a:b]), pack(n[a:b]))):
+                        column.append(value)
+            yield C.batch(_SENT, *out)
 
+    return run
 
-def summed(key, table):
-    """The sums over all chunks of the n-grams of a bucket, for each chunk in its own order; sums from 255 apart."""
-    all_of = lambda name, t, unpack=bytes: np.frombuffer(b"".join(map(unpack, table.column(name).to_pylist())), t)
-    high, low, n = all_of("high", np.uint8), all_of("low", np.uint32), all_of("n", np.uint32, zlib.decompress)
-    _, places = np.unique(high.astype(np.uint64) << np.uint64(32) | low, return_inverse=True)
-    sums = np.bincount(places, n)[places].astype(np.int64)
-    parts = np.split(sums, np.cumsum([len(x) for x in table.column("high").to_pylist()])[:-1])
-    small = [np.minimum(p, 255).astype(np.uint8).tobytes() for p in parts]
-    large = [p[p >= 255].tobytes() for p in parts]
-    return pa.Table.from_batches([C.batch(_SUMS, table.column("chunk").combine_chunks(), table.column("bucket").combine_chunks(), small, large)])
 
+def _words(plan: Plan):
+    def run(batches):
+        for chunk in chunks_of(batches, plan.size):
+            vocabulary, places, n = np.unique(chunk.hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # frequent words get small places
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            yield C.batch(_WORDS, [chunk.key], [chunk.ids], [chunk.train], [chunk.ask], [chunk.lengths.tolist()], [pack(rank[places])], [vocabulary[order].tobytes()])
+
+    return run
+
+
+def _summed(bits: int):
+    """The sums over all chunks of the n-grams of a bucket, for each chunk in its own order."""
+
+    def run(key, table):
+        values = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
+        n = np.concatenate([unpack(x) for x in table.column("n").to_pylist()])
+        every = np.concatenate(values)
+        order = np.argsort(every)
+        ranked = every[order]
+        starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        sums = np.add.reduceat(n[order], starts)
+        back = np.empty(len(every), np.uint64)
+        back[order] = np.repeat(sums, np.diff(np.append(starts, len(every))))
+        parts = np.split(back, np.cumsum([len(v) for v in values])[:-1])
+        bucket, chunks = key[0].as_py(), table.column("chunk").to_pylist()
+        out = [chunks, [bucket] * len(parts), [pack(p) for p in parts], *([None] * len(parts) for _ in range(3))]
+        if bucket >= 1 << bits:  # unigrams: totals
+            for column, value in zip(out, (_STATS, bucket, None, int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()))):
+                column.append(value)
+        return pa.Table.from_batches([C.batch(_SUMS, *out)])
+
+    return run
+
+
+def _met(plan: Plan):
+    """A chunk's words and sums: the counts at each word of its vocabulary and each token, and its own share of them."""
+
+    def run(key, words, sums):
+        if key[0].as_py() == _STATS:
+            whole = [sum(sums.column(c).to_pylist()) for c in ("total", "words", "once")]
+            return pa.Table.from_batches([C.batch(_HELD, [_STATS], *([None] for _ in range(11)), *([x] for x in whole))])
+        if words.num_rows != 1 or not sums.num_rows:
+            raise RuntimeError("the rows came in another order at the second pass; checkpoint them first")
+        row = words.to_pylist()[0]
+        lengths, places = np.array(row["lengths"], np.int64), unpack(row["places"]).astype(np.int64)
+        vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+        train = np.repeat(np.array(row["train"], bool), lengths)
+        buckets, packed = sums.column("bucket").to_numpy(), sums.column("n").to_pylist()
+        order = np.argsort(buckets, kind="stable").tolist()
+        of = lambda large: np.concatenate([unpack(packed[i]) for i in order if (buckets[i] >= 1 << plan.bits) == large])
+        _, at = np.unique(unigram_ids(vocabulary), return_inverse=True)
+        n1, own1 = of(True)[at], np.bincount(places[train], minlength=len(vocabulary))
+        _, at = np.unique(np.concatenate(gram_ids(vocabulary[places], lengths, plan.gram_bits)), return_inverse=True)
+        n, own = of(False), np.bincount(at[np.tile(train, 2)], minlength=int(at.max()) + 1)
+        if len(n) != len(own):
+            raise RuntimeError("n-grams and sums of a chunk differ")
+        two, three = np.split(at, 2)
+        kept = [row["doc_id"]], [row["train"]], [row["ask"]], [row["lengths"]], [row["places"]]
+        return pa.Table.from_batches([C.batch(_HELD, [row["chunk"]], *kept, *([pack(x)] for x in (n1, own1, n[two], own[two], n[three], own[three])), *([None] for _ in range(3)))])
+
+    return run
+
+
+def counted(rows: DataFrame, **sizes) -> DataFrame:
+    """Chunks of rows (doc_id, text as bytes, train, ask) with the training counts of all their n-grams, and a row of totals.
+
+    The rows are read twice and must come in the same order both times, as those
+    of tables and checkpoints do; else an error is raised. The result is in the
+    checkpoint folder.
+    """
+    rows = rows.select("doc_id", "text", "train", "ask")
+    plan = Plan(rows.agg(F.sum(F.length("text") + 8)).first()[0] or 0, **sizes)
+    sums = rows.mapInArrow(_send(plan), ddl(_SENT)).groupBy("bucket").applyInArrow(_summed(plan.bits), ddl(_SUMS))
+    words = rows.mapInArrow(_words(plan), ddl(_WORDS))
+    return C.checkpoint(words.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_met(plan), ddl(_HELD)))
 
-def levels(s: np.ndarray) -> np.ndarray:
-    """0 for a context never seen, else 1 and up by the logarithm of its count."""
-    return np.minimum(np.ceil(np.log2(s + 1)), BUCKETS - 1).astype(np.int64)
+
+# --- the mixture
 
 
-def ratios(model: Model, chunk: Chunk, classes: np.ndarray, n: np.ndarray):
-    """(bucket, log10 C, F2 / C, F3 / C) of each token under counts n."""
-    n1, n2, n3, s2, s3 = chunk.counts(n)
-    inside = np.where(chunk.open, model.within(n1), 0.0) + classes
-    given = 10.0 ** -inside
-    return levels(s2) * BUCKETS + levels(s3), inside, n2 / np.maximum(s2, 1) * given, n3 / np.maximum(s3, 1) * given
+def levels(s: np.ndarray) -> np.ndarray:
+    """0 for a context never seen, else 1 and up by the logarithm of its count; the last level is open."""
+    return np.where(s > 0, np.minimum(1 + np.log2(np.maximum(s, 1)).astype(np.int64), LEVELS - 1), 0)
 
 
-def _step(r: np.ndarray) -> np.ndarray:
+def steps(r: np.ndarray) -> np.ndarray:
     """The cell of a ratio: 0 for none, else by its logarithm."""
-    return np.where(r > 0, 1 + _FAR + np.clip(np.round(np.log2(np.maximum(r, 1e-300)) * _OCTAVE), -_FAR, _FAR), 0).astype(np.int64)
+    return np.where(r > 0, 1 + FAR * OCTAVE + np.clip(np.round(np.log2(np.maximum(r, 1e-300)) * OCTAVE), -FAR * OCTAVE, FAR * OCTAVE), 0).astype(np.int64)
 
 
-def mixture(cells: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights of C, F2 and F3 in each bucket by expectation-maximisation on cells (bucket, F2 / C, F3 / C) seen n times."""
-    wide = 2 * _FAR + 2
-    value = np.concatenate(([0.0], 2.0 ** (np.arange(-_FAR, _FAR + 1) / _OCTAVE)))
-    bucket, f = cells // wide // wide, np.stack([np.ones(len(cells)), value[cells // wide % wide], value[cells % wide]])
-    every = np.arange(BUCKETS * BUCKETS)
-    seen = np.stack([np.ones(len(every)), every >= BUCKETS, every % BUCKETS > 0], 1)
-    weights = seen / seen.sum(1, keepdims=True)
-    for _ in range(rounds):
-        mixed = weights[bucket].T * f
-        mixed *= n / mixed.sum(0)
-        share = seen * 0.01
-        for j in range(3):
-            share[:, j] += np.bincount(bucket, mixed[j], len(share))
-        weights = share * seen / (share * seen).sum(1, keepdims=True)
-    return weights
+def buckets(s2: np.ndarray, s3: np.ndarray) -> np.ndarray:
+    return levels(s2) * LEVELS + levels(s3)
 
 
-def scored(rows: DataFrame, model: Model, size: int = 6_000_000) -> DataFrame:
-    """(doc_id, th, n_tokens, n_known, base_score, score) of rows (doc_id, th, text, train, ask).
+def weights_of(bucket: np.ndarray, cell: np.ndarray, n: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """The weight of the higher order in each bucket by expectation-maximisation, from n held-out tokens of each ratio cell.
 
-    The n-grams of rows with ``train`` count; rows with ``ask`` are scored.
-    ``size``: bytes of text in a chunk. Buckets are few on small inputs, else a
-    number that holds a bucket of 30 GB of input in a task.
+    The ratio is that of the higher order's estimate to the lower orders' mixture.
+    A bucket starts with one token's worth of even odds.
     """
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(8, total // size)
-    bits = 4 if total < 10 * size else 10 + max(0, math.ceil(math.log2(max(total, 1) / 60e9)))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(chunks)))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def send(key, table):
-        own = Chunk(table, bits)
-        rest = own.grams & np.uint64((1 << 40) - 1)
-        high, low, n = (rest >> np.uint64(32)).astype(np.uint8), rest.astype(np.uint32), own.own.astype(np.uint32)
-        cuts = [(i, a, b) for i, (a, b) in enumerate(zip(own.cuts, own.cuts[1:])) if a < b]
-        cut = lambda v, pack=bytes: [pack(v[a:b].tobytes()) for _, a, b in cuts]
-        return pa.Table.from_batches([C.batch(_GRAMS, [i for i, _, _ in cuts], [key[0].as_py()] * len(cuts), cut(high), cut(low), cut(n, _packed))])
-
-    def code(key, table, sums):
-        model, own = shared.value, Chunk(table, bits)
-        order = np.argsort(sums.column("bucket").to_numpy())
-        pick = lambda name, t: np.frombuffer(b"".join(sums.column(name).take(pa.array(order)).to_pylist()), t)
-        n = pick("n", np.uint8).astype(np.int64)
-        n[n == 255] = pick("large", np.int64)
-        h2, h1, k = model.classes.events(own.hashes, own.lengths)
-        own.open = k == model.classes.open
-        classes = model.sequence(h2, h1, k)
-        bucket, inside, r2, r3 = ratios(model, own, classes, n)
-        n1 = n[own.places[0]]
-        per = lambda v: np.bincount(own.of, v, len(own.ids))
-        known, base, given = per(n1 > 0).astype(np.int64), per(model.base(n1)), per(inside)
-        ends = np.cumsum(own.lengths)
-        level, packed = bucket.astype(np.uint8), np.stack([r2, r3], 1).astype(np.float32)
-        kept = {(own.ids[i], own.ths[i]): i for i in np.flatnonzero(own.ask)}.values()
-        out = [[None, None, own.ids[i], own.ths[i], own.lengths[i], known[i], base[i], given[i], _packed(level[ends[i] - own.lengths[i] : ends[i]].tobytes()), _packed(packed[ends[i] - own.lengths[i] : ends[i]].tobytes())] for i in kept]
-        bucket, _, r2, r3 = (x[own.train] for x in ratios(model, own, classes, n - own.own))
-        wide = 2 * _FAR + 2
-        cells, m = np.unique((bucket * wide + _step(r2)) * wide + _step(r3), return_counts=True)
-        out += [[c, x, *[None] * 8] for c, x in zip(cells.tolist(), m.tolist())]
-        return pa.Table.from_batches([C.batch(_CODED, *(list(zip(*out)) if out else [[]] * 10))])
-
-    sums = dealt.groupBy("chunk").applyInArrow(send, _ddl(_GRAMS)).groupBy("bucket").applyInArrow(summed, _ddl(_SUMS))
-    coded = C.checkpoint(dealt.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(code, _ddl(_CODED)))
-    table = coded.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weights = mixture(table.column(0).to_numpy(), table.column(1).to_numpy())
-
-    def finish(batches):
+    r = np.where(cell > 0, 2.0 ** ((cell - 1 - FAR * OCTAVE) / OCTAVE), 0.0)
+    seen, out = np.bincount(bucket, n, LEVELS * LEVELS), np.full(LEVELS * LEVELS, 0.5)
+    for _ in range(rounds):
+        w = out[bucket]
+        part = w * r / np.maximum(w * r + 1 - w, 1e-300)
+        new = (np.bincount(bucket, n * part, len(out)) + 0.5) / (seen + 1)
+        done = np.abs(new - out).max() < 1e-9
+        out = new
+        if done:
+            break
+    return out
+
+
+class Model:
+    """Totals of the training tokens and the mixture weights by bucket."""
+
+    def __init__(self, total: int = 0, words: int = 0, once: int = 0):
+        self.total, self.words = total, words
+        self.new = min(0.5, max(once, 0.5) / total) if total else 1.0
+        self.weights: list[np.ndarray] = []  # of unigrams, bigrams and trigrams, as far as learned
+        self.norm = math.log10(total + 0.5 * (words + 1))
+
+    def lowest(self, n1):
+        """F0 of words seen n1 times."""
+        return np.where(n1 > 0, (1 - self.new) / max(self.words, 1), self.new)
+
+    def probability(self, n1, n2, n3, s2, s3, total: int):
+        """The mixture of the orders learned so far; ``total``: training tokens that the counts n and s come from."""
+        p, bucket = self.lowest(n1), buckets(s2, s3)
+        for w, n, s in zip(self.weights, (n1, n2, n3), (np.full(len(n1), total), s2, s3)):
+            w = np.where(s > 0, w[bucket], 0.0)
+            p = w * n / np.maximum(s, 1) + (1 - w) * p
+        return p
+
+
+class Counts:
+    """The counts at each token of a chunk; ``own`` of them are the chunk's."""
+
+    def __init__(self, row: dict):
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.places = unpack(row["places"]).astype(np.int64)
+        self.train = np.repeat(np.array(row["train"], bool), self.lengths)
+        self.row, self.last = row, np.cumsum(self.lengths) - 1
+
+    def at_tokens(self, left_out: bool):
+        """(n1, n2, n3, count of the word before, count of the two words before); ``left_out``: without the chunk's own."""
+        get = lambda k: unpack(self.row[f"n{k}"]).astype(np.int64) - (unpack(self.row[f"own{k}"]).astype(np.int64) if left_out else 0)
+        n1, n2, n3 = get(1)[self.places], get(2), get(3)
+        first, texts = self.last - self.lengths + 1, n1[self.last]
+        s2, s3 = np.concatenate((n1[:1], n1[:-1])), np.concatenate((n2[:1], n2[:-1]))
+        s2[first] = s3[first] = texts  # a text's beginning is seen as often as an end
+        return n1, n2, n3, s2, s3
+
+
+_CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+
+def learn(held: DataFrame) -> Model:
+    """Totals and weights from the chunks of ``counted``; three passes, the lowest order first."""
+    stats = held.where(F.col("chunk") == _STATS).select("total", "words", "once").first()
+    model = Model(*stats) if stats else Model()
+    if not model.total:
+        return model
+
+    wide = 2 * FAR * OCTAVE + 2
+
+    def cells(order: int, model: Model):
+        def run(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    own = Counts(row)
+                    if not own.train.any():
+                        continue
+                    total = model.total - int(own.train.sum())
+                    n1, n2, n3, s2, s3 = (x[own.train] for x in own.at_tokens(True))
+                    n, s = ((n1, np.full(len(n1), total)), (n2, s2), (n3, s3))[order]
+                    ratio = n / np.maximum(s, 1) / model.probability(n1, n2, n3, s2, s3, total)
+                    code, m = np.unique((buckets(s2, s3) * wide + steps(ratio))[s > 0], return_counts=True)
+                    yield C.batch(_CELL, code, m)
+
+        return run
+
+    chunks = held.where(F.col("chunk") != _STATS)
+    for order in range(3):
+        table = chunks.mapInArrow(cells(order, model), ddl(_CELL)).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        code, n = table.column(0).to_numpy(), table.column(1).to_numpy()
+        by = np.argsort(code)
+        model.weights.append(weights_of(code[by] // wide, code[by] % wide, n[by].astype(float)))
+    return model
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def scores(held: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of the rows of ``counted`` that ask, a row for each."""
+
+    def run(batches):
         for b in batches:
-            mixed = []
-            for given, level, r in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), b.column(7).to_pylist()):
-                m = weights[np.frombuffer(zlib.decompress(level), np.uint8)]
-                r = np.frombuffer(zlib.decompress(r), np.float32).reshape(-1, 2).astype(float)
-                mixed.append(given + float(np.log10(m[:, 0] + m[:, 1] * r[:, 0] + m[:, 2] * r[:, 1]).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(mixed, pa.float64())], names=["doc_id", "th", "n_tokens", "n_known", "base_score", "score"])
+            for row in b.to_pylist():
+                own, ask = Counts(row), np.array(row["ask"], bool)
+                n1, n2, n3, s2, s3 = own.at_tokens(False)
+                p = model.probability(n1, n2, n3, s2, s3, model.total)
+                of = np.repeat(np.arange(len(ask)), own.lengths)
+                per = lambda v: np.bincount(of, v, len(ask))[ask]
+                ids = [x for x, y in zip(row["doc_id"], row["ask"]) if y]
+                yield C.batch(_SCORED, ids, own.lengths[ask], per(n1 > 0).astype(np.int64), per(np.log10(n1 + 0.5) - model.norm), per(np.log10(p)))
+
+    return held.where(F.col("chunk") != _STATS).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
-    return coded.where("cell is null").drop("cell", "n").mapInArrow(finish, "doc_id long, th long, n_tokens long, n_known long, base_score double, score double")
 
+def scored(rows: DataFrame, **sizes) -> tuple[DataFrame, Model]:
+    """(scores, model) of rows (doc_id, text, train, ask): rows with ``train`` count, rows with ``ask`` are scored."""
+    held = counted(rows, **sizes)
+    model = learn(held)
+    return scores(held, model), model
 
-def score(docs: DataFrame, train: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, th, n_tokens, n_known, base_score, score) of rows (doc_id, th, text) after training rows.
 
-    Rows that repeat both id and text give one row. Null and empty texts are the end alone.
+def score(docs: DataFrame, train: DataFrame, id_col="doc_id", text_col="text", **sizes) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of ``docs`` after the rows of ``train``.
+
+    A row for each row of ``docs``, repeated or not; other columns are not used.
+    Null and empty texts are the end alone. Without training words every token
+    has probability 1. Both tables are read twice, see ``counted``.
     """
-    part = lambda rows, train: rows.select("doc_id", "th", "text", F.lit(train).alias("train"), F.lit(not train).alias("ask"))
-    return scored(part(docs, False).unionByName(part(train, True)), model)
+    part = lambda rows, train: C.keyed(rows, id_col, text_col).select("doc_id", "text", F.lit(train).alias("train"), F.lit(not train).alias("ask"))
+    return scored(part(docs, False).unionAll(part(train, True)), **sizes)[0]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = C.keyed(C.read(spark, sf_dir, "documents"))
     fold = C.fold_column("doc_id", 5) == 1
-    _, model = fit(docs.where(~fold))
-    names = ("n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "base_score", "score")
-    rows = docs.select("doc_id", "th", "text", (~fold).alias("train"), F.lit(True).alias("ask"))
-    return scored(rows, model).select("doc_id", fold.alias("held_out"), *names)
-
-
-def SHOW(out):
-    for held, own in out.groupby("held_out"):
-        print(held, own[["n_tokens", "n_known", "base_score", "score"]].sum().to_dict())
+    found, model = scored(docs.select("doc_id", "text", (~fold).alias("train"), F.lit(True).alias("ask")))
+    return found.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "base_score", "score")

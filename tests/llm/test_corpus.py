@@ -7,12 +7,11 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cubelark.llm import common as C
-from cubelark.llm import decontaminate, langid, licenses, lm, media, minhash, packing, pii, substring, toxicity
+from cubelark.llm import decontaminate, langid, licenses, media, minhash, packing, pii, substring, toxicity
 from cubelark.llm.boosting import Boosted, isotonic
 from cubelark.llm.components import components
 
@@ -212,100 +211,6 @@ def test_place_covers_every_token(spark, odd):
     assert sorted(tuple(p["words"]) for r in made for p in r.pieces) == [("a", "b", "c"), ("d",)]
 
 
-# --- language models
-
-
-def plain_base(rows):
-    low = lambda t: [*(t or "").encode().translate(C.LOWER).split(), b" end"]
-    c = collections.Counter()
-    for d, t in rows:
-        if not C.in_fold(d, 5, 1):
-            c.update(low(t))
-    n, v = sum(c.values()), len(c)
-    out = {}
-    for d, t in rows:
-        w = low(t)
-        out[d, t] = (len(w), sum(x in c for x in w), sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-    return n, out
-
-
-def test_lm_base_is_exact_and_the_model_predicts_better(spark, odd):
-    rng = random.Random(4)
-    chain = {w: [rng.choice(WORDS) for _ in range(2)] for w in WORDS}
-    rows = list(odd[0])
-    for i in range(200, 420):
-        w = [rng.choice(WORDS)]
-        while len(w) < 60:
-            w.append(rng.choice(chain[w[-1]]))
-        rows.append((i, " ".join(w)))
-    docs = C.keyed(frame(spark, rows))
-    counts, model = lm.fit(docs.where(C.fold_column("doc_id", 5) != 1), sent=40)
-    total, want = plain_base(rows)
-    got = lm.score(docs.repartition(5), counts, model).join(docs.select("doc_id", "th", "text").distinct(), ["doc_id", "th"], "left").collect()
-    assert model.total == total
-    assert len(lm.score(docs, counts, model).collect()) == len(set(rows))
-    for r in got:
-        if r.doc_id is None:
-            continue
-        n, known, base = want[r.doc_id, None if r.text is None else bytes(r.text).decode()]
-        assert (r.n_tokens, r.n_known) == (n, known)
-        assert r.base_score == pytest.approx(base, abs=1e-8)
-    held = [r for r in got if r.doc_id and r.doc_id >= 200 and C.in_fold(r.doc_id, 5, 1)]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.8
-    none, bare = lm.fit(C.keyed(empty(spark)))
-    assert lm.score(C.keyed(empty(spark)), none, bare).count() == 0
-    assert all(np.isfinite(r.score) for r in lm.score(docs, none, bare).collect())
-
-
-def test_interpolation_is_a_distribution():
-    classes = lm.Classes(np.arange(1, 21, dtype=np.uint64), 6, 3)
-    rng = np.random.default_rng(0)
-    h2, h1, k = classes.events(rng.integers(1, 30, 400).astype(np.uint64), [100, 300])
-    code = (h2 * classes.contexts + h1) * classes.n + k
-    events, n = np.unique(code, return_counts=True)
-    tables = lm.Tables(classes, events, n.astype(float))
-    weights = lm.learn_weights([(tables, events, n.astype(float))])
-    every = np.arange(classes.n)
-    for a in range(classes.wide):
-        for b in range(classes.contexts):
-            bucket, f = tables.parts(np.full(classes.n, a), np.full(classes.n, b), every)
-            seen = (f.sum(1) > 0) & np.array([True, True, tables.s2[b] > 0, tables.s3[a * classes.wide + classes.coarse[b]] > 0])
-            total = (weights[bucket].T * f).sum()
-            assert total <= 1 + 1e-9
-            if seen.all():
-                assert total == pytest.approx(1)
-
-
-def test_lm_scores_by_all_word_ngrams(spark):
-    """Pairs of words far below the class vocabulary: only word n-grams can predict the second of each."""
-    rng = random.Random(8)
-    words = [f"w{i}x" for i in range(2400)]
-    after = dict(zip(words, rng.sample(words, len(words))))
-
-    def text(paired):
-        first = [rng.choice(words) for _ in range(60)]
-        return " ".join(f"{w} {after[w] if paired else rng.choice(words)}" for w in first)
-
-    train = C.keyed(frame(spark, [(i, text(True)) for i in range(400)]))
-    asked = C.keyed(frame(spark, [(1000 + i, text(i % 2 == 0)) for i in range(40)]))
-    got = {r.doc_id: r for r in lm.score(asked, *lm.fit(train)).collect()}
-    per = lambda odd: np.mean([r.score / r.n_tokens for i, r in got.items() if i % 2 == odd])
-    assert per(0) > per(1) + 1
-
-
-def test_lm_ngram_counts_match_plain():
-    rng = random.Random(9)
-    texts = [prose(rng, n).encode() for n in (0, 1, 2, 40, 200)]
-    table = pa.table({"doc_id": range(5), "th": range(5), "text": texts, "train": [True] * 4 + [False], "ask": [True] * 5})
-    chunk = lm.Chunk(table, 4)
-    words = [["S", "S", *lm.tokens(t)] for t in texts]
-    plain = [collections.Counter(tuple(w[i - n : i]) for w in words[:4] for i in range(3, len(w) + 1)) for n in (1, 2, 3)]
-    starts = sum(w[-1] == lm.tokens(None)[0] for w in words[:4])
-    context = lambda c, n: starts if set(c) == {"S"} else plain[n - 1][c]
-    want = [(*(plain[n - 1][tuple(w[i - n : i])] for n in (1, 2, 3)), context((w[i - 2],), 1), context(tuple(w[i - 3 : i - 1]), 2)) for w in words for i in range(3, len(w) + 1)]
-    assert list(zip(*(x.tolist() for x in chunk.counts(chunk.own)))) == want
-
-
 # --- language ID
 
 
