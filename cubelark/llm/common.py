@@ -72,6 +72,87 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Lower-cases A-Z and turns 09-0D into blanks.
+_LOWER_BLANK = bytes(0x20 if 9 <= b <= 13 else LOWER[b] for b in range(256))
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)  # a 64-bit value for each byte
+_BLOCK = 1 << 18  # bytes of text whose arrays stay in a core's cache
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i modulo 2^64 for i below n."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        back = np.uint64(pow(int(BASE), -1, 1 << 64))
+        _POWERS[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, x)))) for x in (BASE, back)]
+    return _POWERS[0], _POWERS[1]
+
+
+def lower_word_hashes(texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the blank-separated words of all texts with A-Z lower-cased, ``end`` after each text; tokens of each).
+
+    No word becomes an object: polynomials of the bytes are summed once over a
+    block of texts. Equal words have equal hashes.
+    """
+    hashes, lengths, block, size = [], [], [], 0
+
+    def one():
+        data = b" ".join([*block, b""]).translate(_LOWER_BLANK)
+        solid = np.frombuffer(data, np.uint8) != 0x20
+        edge = np.flatnonzero(np.diff(solid, prepend=False))
+        start, stop = edge[::2], edge[1::2]  # data ends in a blank
+        power, back = _powers(len(data) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * power[: len(data)], dtype=np.uint64)))
+        own = mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
+        last = np.cumsum([len(t) + 1 for t in block])
+        upto = np.searchsorted(start, last)  # words before the end of each text
+        out = np.full(len(own) + len(block), np.uint64(end))
+        ends = upto + np.arange(len(block))
+        keep = np.ones(len(out), bool)
+        keep[ends] = False
+        out[keep] = own
+        hashes.append(out)
+        lengths.append(np.diff(ends, prepend=-1))
+
+    for text in texts:
+        block.append(text or b"")
+        size += len(block[-1])
+        if size >= _BLOCK:
+            one()
+            block, size = [], 0
+    if block:
+        one()
+    return np.concatenate(hashes), np.concatenate(lengths)
+
+
+def order_of(values: np.ndarray) -> np.ndarray:
+    """The stable ascending order of uint64 values, by one sort of values and places packed together."""
+    n = len(values)
+    if not n:
+        return np.empty(0, np.int64)
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    shift = np.uint64(max(0, int(values.max()).bit_length() + int(bits) - 64))
+    code = values >> shift << bits | np.arange(n, dtype=np.uint64)
+    code.sort()
+    order = (code & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    if shift:  # values that differ only in their lowest bits
+        ranked = values[order]
+        wrong = np.flatnonzero(ranked[1:] < ranked[:-1])
+        top = ranked >> shift if len(wrong) else None
+        for a, b in {(np.searchsorted(top, top[w], "left"), np.searchsorted(top, top[w], "right")) for w in wrong}:
+            order[a:b] = order[a:b][np.argsort(ranked[a:b], kind="stable")]
+    return order
+
+
+def distinct_places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct values, the place of each value among them)."""
+    order = order_of(values)
+    ranked = values[order]
+    fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(values)]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], place
+
+
 def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive word hashes, by doubling; empty if there are fewer words."""
     if len(words) < k:
@@ -88,19 +169,21 @@ def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so a lost executor loses nothing."""
+    """Cut the lineage through the shared checkpoint folder, so a lost executor loses nothing.
+
+    The session's ``spark.checkpoint.dir`` names it. Where that is unset, a local
+    session takes a temporary folder; on a cluster it is an error.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
     return df.checkpoint(eager=True)
 
 
-def narrow(df: DataFrame, rows: int, per: int = 50_000) -> DataFrame:
-    """The rows in a task for each ``per`` of a known number, so that small results don't leave many small shuffle files."""
-    return df.coalesce(max(1, -(-rows // per)))
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

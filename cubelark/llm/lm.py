@@ -33,43 +33,42 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: No word has a blank. The end of a text also stands before its first word.
-END = b" end"
+#: The hash of a text's end, which also stands before its first word.
+END = 0x5DEECE66D1CE4E5B
 UNI_BITS = 58
 LEVELS, OCTAVE, FAR = 20, 8, 60
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of the text with A-Z lower-cased, then the end."""
-    return [*(text.translate(C.LOWER).split() if text else ()), END]
+# --- packed numbers
 
 
-# --- packed numbers
+def _squeeze(raw: bytes) -> bytes:
+    made = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+    return made.compress(raw) + made.flush()
 
 
 def pack(values: np.ndarray) -> bytes:
     """Non-negative integers as compressed planes of bytes, as many as the greatest needs."""
-    raw = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)
+    values = values.astype(np.uint64, copy=False)
     planes = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
-    parts = [zlib.compress(raw[:, k].tobytes(), 1) for k in range(planes)]
+    parts = [_squeeze((values >> np.uint64(8 * k) if k else values).astype(np.uint8).tobytes()) for k in range(planes)]
     return np.array([len(values), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The numbers of one ``pack``, as uint64."""
-    n = int.from_bytes(data[:8], "little")
-    out, planes = np.zeros((n, 8), np.uint8), 0
-    lengths = []
+    n, planes, lengths = int.from_bytes(data[:8], "little"), 0, []
     left = len(data) - 8
     while left:
         lengths.append(int.from_bytes(data[8 + 8 * planes : 16 + 8 * planes], "little"))
         left -= 8 + lengths[-1]
         planes += 1
-    at = 8 + 8 * planes
+    at, out = 8 + 8 * planes, np.zeros(n, np.uint64)
     for k, length in enumerate(lengths):
-        out[:, k] = np.frombuffer(zlib.decompress(data[at : at + length]), np.uint8)
+        plane = np.frombuffer(zlib.decompress(data[at : at + length], -15), np.uint8)
+        out = out + (plane.astype(np.uint64) << np.uint64(8 * k)) if k else plane.astype(np.uint64)
         at += length
-    return out.view(np.uint64).ravel()
+    return out
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -133,21 +132,23 @@ def gram_ids(hashes: np.ndarray, lengths: np.ndarray, bits: int) -> tuple[np.nda
 
 def distinct(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ascending distinct values, how many training tokens have each)."""
-    code = np.sort(values << np.uint64(1) | train.astype(np.uint64))
-    own = code >> np.uint64(1)
-    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    return own[starts], np.add.reduceat(code & np.uint64(1), starts)
+    code = values << np.uint64(1)
+    code |= train
+    code.sort()
+    fresh = np.ones(len(code), bool)
+    np.greater(code[1:] ^ code[:-1], 1, out=fresh[1:])
+    starts = np.flatnonzero(fresh)
+    code_of = code[starts] >> np.uint64(1)
+    return code_of, np.add.reduceat(code & np.uint64(1), starts)
 
 
 class Chunk:
     """The documents of a chunk: ids, marks, lengths and word hashes; the key tells it from every other chunk."""
 
-    def __init__(self, key: int, rows: list[tuple], hasher: C.WordHasher):
+    def __init__(self, key: int, rows: list[tuple]):
         self.key = key
         self.ids, texts, self.train, self.ask = map(list, zip(*rows))
-        words = [tokens(t) for t in texts]
-        self.lengths = np.array([len(w) for w in words], np.int64)
-        self.hashes = np.concatenate([hasher.array(w) for w in words])
+        self.hashes, self.lengths = C.lower_word_hashes(texts, END)
         self.of_train = np.repeat(np.array(self.train, bool), self.lengths)
 
 
@@ -157,12 +158,12 @@ def chunks_of(batches, size: int):
     A chunk's key is made of its place and its texts, so a second pass over the
     same rows makes the same keys, and other rows make other keys.
     """
-    hasher, held, have, crc, nth = C.WordHasher(), [], 0, 0, 0
+    held, have, crc, nth = [], 0, 0, 0
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
 
     def made():
         key = xxhash.xxh3_64_intdigest(repr((part, nth, crc, have, [r[0] for r in held])).encode()) >> 1
-        return Chunk(key, held, hasher)
+        return Chunk(key, held)
 
     for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -191,7 +192,7 @@ def _send(plan: Plan):
         for chunk in chunks_of(batches, plan.size):
             every = np.concatenate(gram_ids(chunk.hashes, chunk.lengths, plan.gram_bits))
             out = [[], [], [], []]
-            for unigrams, (values, n) in ((True, distinct(unigram_ids(chunk.hashes), chunk.of_train)), (False, distinct(every, np.tile(chunk.of_train, 2)))):
+            for unigrams, (values, n) in ((True, distinct(unigram_ids(chunk.hashes), chunk.of_train)), (False, distinct(every, np.concatenate((chunk.of_train, chunk.of_train))))):
                 for bucket, a, b in plan.cuts(values, unigrams):
                     for column, value in zip(out, (bucket, chunk.key, pack_sorted(values[a:b]), pack(n[a:b]))):
                         column.append(value)
@@ -203,8 +204,8 @@ def _send(plan: Plan):
 def _words(plan: Plan):
     def run(batches):
         for chunk in chunks_of(batches, plan.size):
-            vocabulary, places, n = np.unique(chunk.hashes, return_inverse=True, return_counts=True)
-            order = np.argsort(-n, kind="stable")  # frequent words get small places
+            vocabulary, places = C.distinct_places(chunk.hashes)
+            order = np.argsort(-np.bincount(places), kind="stable")  # frequent words get small places
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             yield C.batch(_WORDS, [chunk.key], [chunk.ids], [chunk.train], [chunk.ask], [chunk.lengths.tolist()], [pack(rank[places])], [vocabulary[order].tobytes()])
@@ -219,7 +220,7 @@ def _summed(bits: int):
         values = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
         n = np.concatenate([unpack(x) for x in table.column("n").to_pylist()])
         every = np.concatenate(values)
-        order = np.argsort(every)
+        order = C.order_of(every)
         ranked = every[order]
         starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
         sums = np.add.reduceat(n[order], starts)
@@ -252,9 +253,9 @@ def _met(plan: Plan):
         buckets, packed = sums.column("bucket").to_numpy(), sums.column("n").to_pylist()
         order = np.argsort(buckets, kind="stable").tolist()
         of = lambda large: np.concatenate([unpack(packed[i]) for i in order if (buckets[i] >= 1 << plan.bits) == large])
-        _, at = np.unique(unigram_ids(vocabulary), return_inverse=True)
+        at = C.distinct_places(unigram_ids(vocabulary))[1]
         n1, own1 = of(True)[at], np.bincount(places[train], minlength=len(vocabulary))
-        _, at = np.unique(np.concatenate(gram_ids(vocabulary[places], lengths, plan.gram_bits)), return_inverse=True)
+        at = C.distinct_places(np.concatenate(gram_ids(vocabulary[places], lengths, plan.gram_bits)))[1]
         n, own = of(False), np.bincount(at[np.tile(train, 2)], minlength=int(at.max()) + 1)
         if len(n) != len(own):
             raise RuntimeError("n-grams and sums of a chunk differ")
@@ -284,7 +285,8 @@ def counted(rows: DataFrame, **sizes) -> DataFrame:
 
 def levels(s: np.ndarray) -> np.ndarray:
     """0 for a context never seen, else 1 and up by the logarithm of its count; the last level is open."""
-    return np.where(s > 0, np.minimum(1 + np.log2(np.maximum(s, 1)).astype(np.int64), LEVELS - 1), 0)
+    exponent = (s.astype(np.float64).view(np.int64) >> 52) - 1022  # of the binary form; far below 0 for 0
+    return np.clip(exponent, 0, LEVELS - 1)
 
 
 def steps(r: np.ndarray) -> np.ndarray:
@@ -328,12 +330,12 @@ class Model:
         """F0 of words seen n1 times."""
         return np.where(n1 > 0, (1 - self.new) / max(self.words, 1), self.new)
 
-    def probability(self, n1, n2, n3, s2, s3, total: int):
+    def probability(self, n1, n2, n3, s2, s3, total: int, bucket=None):
         """The mixture of the orders learned so far; ``total``: training tokens that the counts n and s come from."""
-        p, bucket = self.lowest(n1), buckets(s2, s3)
-        for w, n, s in zip(self.weights, (n1, n2, n3), (np.full(len(n1), total), s2, s3)):
-            w = np.where(s > 0, w[bucket], 0.0)
-            p = w * n / np.maximum(s, 1) + (1 - w) * p
+        bucket = buckets(s2, s3) if bucket is None else bucket
+        p = self.lowest(n1)
+        for w, n, s in zip(self.weights, (n1, n2, n3), (np.int64(total), s2, s3)):
+            p += np.where(s > 0, w[bucket], 0.0) * (n / np.maximum(s, 1) - p)
         return p
 
 
@@ -356,6 +358,11 @@ class Counts:
         return n1, n2, n3, s2, s3
 
 
+def slices(n: int, width: int = 1 << 15):
+    """Slices of n tokens whose arrays stay in a core's cache."""
+    return (slice(a, a + width) for a in range(0, n, width))
+
+
 _CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
 
@@ -377,10 +384,15 @@ def learn(held: DataFrame) -> Model:
                         continue
                     total = model.total - int(own.train.sum())
                     n1, n2, n3, s2, s3 = (x[own.train] for x in own.at_tokens(True))
-                    n, s = ((n1, np.full(len(n1), total)), (n2, s2), (n3, s3))[order]
-                    ratio = n / np.maximum(s, 1) / model.probability(n1, n2, n3, s2, s3, total)
-                    code, m = np.unique((buckets(s2, s3) * wide + steps(ratio))[s > 0], return_counts=True)
-                    yield C.batch(_CELL, code, m)
+                    m = np.zeros(LEVELS * LEVELS * wide, np.int64)
+                    for k in slices(len(n1)):
+                        counts = n1[k], n2[k], n3[k], s2[k], s3[k]
+                        n, s = counts[order], (np.full(len(n1[k]), total), s2[k], s3[k])[order]
+                        bucket = buckets(s2[k], s3[k])
+                        ratio = n / np.maximum(s, 1) / model.probability(*counts, total, bucket)
+                        np.add.at(m, (bucket * wide + steps(ratio))[s > 0], 1)
+                    code = np.flatnonzero(m)
+                    yield C.batch(_CELL, code, m[code])
 
         return run
 
@@ -404,11 +416,14 @@ def scores(held: DataFrame, model: Model) -> DataFrame:
             for row in b.to_pylist():
                 own, ask = Counts(row), np.array(row["ask"], bool)
                 n1, n2, n3, s2, s3 = own.at_tokens(False)
-                p = model.probability(n1, n2, n3, s2, s3, model.total)
+                p, base = np.empty(len(n1)), np.empty(len(n1))
+                for k in slices(len(n1)):
+                    p[k] = np.log10(model.probability(n1[k], n2[k], n3[k], s2[k], s3[k], model.total))
+                    base[k] = np.log10(n1[k] + 0.5) - model.norm
                 of = np.repeat(np.arange(len(ask)), own.lengths)
                 per = lambda v: np.bincount(of, v, len(ask))[ask]
                 ids = [x for x, y in zip(row["doc_id"], row["ask"]) if y]
-                yield C.batch(_SCORED, ids, own.lengths[ask], per(n1 > 0).astype(np.int64), per(np.log10(n1 + 0.5) - model.norm), per(np.log10(p)))
+                yield C.batch(_SCORED, ids, own.lengths[ask], per(n1 > 0).astype(np.int64), per(base), per(p))
 
     return held.where(F.col("chunk") != _STATS).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 

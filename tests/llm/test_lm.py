@@ -183,6 +183,17 @@ def test_empty_tables(spark):
     assert [(r.n_known, r.score) for r in lm.score(some, none).collect()] == [(0, 0.0)] * 2
 
 
+def test_word_hashes_are_equal_for_equal_words_only():
+    rng = random.Random(2)
+    texts = [None, b"", b" \t\n", *("".join(chr(rng.choice([*range(0, 0x180), 0x2028])) for _ in range(rng.randrange(80))).encode() for _ in range(200)), b"a " * 700_000, b"x" * 1_500_000]
+    hashes, lengths = C.lower_word_hashes(texts, 7)
+    want = [w for t in texts for w in [*((t or b"").translate(C.LOWER).split()), b" end"]]
+    assert lengths.tolist() == [len((t or b"").split()) + 1 for t in texts] and len(hashes) == len(want)
+    of: dict = {}
+    assert all(of.setdefault(w, h) == h for w, h in zip(want, hashes.tolist()))
+    assert len(set(of.values())) == len(of) and of[b" end"] == 7
+
+
 def test_packed_numbers_come_back():
     rng = np.random.default_rng(1)
     for values in (np.empty(0, np.uint64), np.zeros(5, np.uint64), rng.integers(0, 1 << 40, 1000).astype(np.uint64), np.array([3], np.uint64)):
