@@ -9,12 +9,12 @@ documents' probability Jaccard similarity. Rows of registers form bands.
 Documents with the same words are one node. In a bucket each node first meets
 two pivots: the most central node (the one with most bucket mates over all
 bands) and one drawn for the bucket. The pivot that it meets in most bands is
-verified exactly, and components follow; this settles most of a group, however
-large, in as many rows as it has nodes. Then every pair of a bucket that is in
-different components is tested: small buckets form pairs of nodes outside the
-bucket's main component with the rest; the nodes of large buckets are dealt into
-blocks, and two blocks at a time are compared inside a task, which forms no rows
-but links. Signatures sift pairs and exact similarity decides.
+compared with it exactly, and components follow; this settles most of a group,
+however large, in as many rows as it has nodes. Then every pair of a bucket that
+is in different components is compared: one of the two is a stray, a node outside
+the bucket's main component. Strays of small buckets form pairs with the rest.
+In large buckets strays and all nodes are dealt into blocks, and a task compares
+one block of strays with one of nodes, forming no rows but links.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from . import common as C
 from .components import components
 
 REGISTERS, ROWS, SHINGLE, SIMILAR = 128, 5, 5, 0.8
-#: Registers estimate a similarity of 0.8 with a deviation of 0.035; pairs four of them below it are let go.
-SIFT = 0.66
-#: Buckets up to this size form pairs; larger ones are compared in blocks of this many nodes at most.
+#: In blocks, pairs whose signatures agree in a lower share of registers aren't compared exactly. Registers estimate a
+#: similarity of 0.8 with a deviation of 0.035, so one link in 10^8 is this far off; 0 turns it off.
+SIFT = 0.6
+#: Buckets up to this size form pairs; larger ones are compared in blocks of about this many nodes.
 SMALL, BLOCK = 32, 512
 
 
@@ -81,34 +82,33 @@ def similarity(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray) ->
     return float((a / whole[back]).sum())
 
 
-_SIGN = pa.schema([("doc_id", pa.int64()), ("wh", pa.int64()), ("wh2", pa.int64()), ("sig", pa.binary())])
+_SIGN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.binary()), ("sig", pa.binary())])
 
 
 def sign(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, wh, wh2, sig): 128 bits of hash of the words, and the signature.
+    """(doc_id, th, node, sig): a hash of the text, 128 bits of hash of its words, and the words' signature.
 
-    Of the documents of one batch with the same words only the one with the
-    least id is signed. Without words, wh and sig are null; null ids are left out.
+    Of the rows of one batch with the same words only the first is signed. A text
+    without words has a node for each id and no signature. Null ids are left out.
     """
 
     def run(batches):
         hasher = C.WordHasher()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
-            order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=ids.__getitem__)
-            seen: set[int] = set()
+            ids, ths, texts = (b.column(i).to_pylist() for i in range(3))
+            order = [i for i in range(len(ids)) if ids[i] is not None]
+            seen: set[bytes] = set()
             for first, words in C.chunks([texts[i] for i in order], C.alnum_words):
-                rows = [ids[i] for i in order[first : first + len(words)]]
-                hashes = [xxhash.xxh3_128_intdigest(b" ".join(w)) if w else None for w in words]
-                own = [i for i, h in enumerate(hashes) if h is not None and not (h in seen or seen.add(h))]
+                rows = order[first : first + len(words)]
+                nodes = [xxhash.xxh3_128_digest(b" ".join(w) if w else b" %d" % ids[i]) for w, i in zip(words, rows)]
+                own = [i for i, (w, h) in enumerate(zip(words, nodes)) if w and not (h in seen or seen.add(h))]
                 made = dict(zip(own, signatures([shingles(words[i], hasher) for i in own])))
-                half = lambda h, s: None if h is None else ((h >> s) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-                yield C.batch(_SIGN, rows, [half(h, 0) for h in hashes], [half(h, 64) for h in hashes], [made[i].tobytes() if i in made else None for i in range(len(rows))])
+                yield C.batch(_SIGN, [ids[i] for i in rows], [ths[i] for i in rows], nodes, [made[i].tobytes() if i in made else None for i in range(len(rows))])
 
-    return C.keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, wh long, wh2 long, sig binary")
+    return C.keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, th long, node binary, sig binary")
 
 
-_BAND = pa.schema([("band", pa.int64()), ("nth", pa.int32()), ("node", pa.int64())])
+_BAND = pa.schema([("band", pa.int64()), ("nth", pa.int32()), ("node", pa.binary())])
 
 
 def bands(signed: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -123,12 +123,12 @@ def bands(signed: DataFrame, rows: int = ROWS) -> DataFrame:
             keys = np.tile(np.arange(1, count + 1, dtype=np.uint64) * C.BASE, (len(sigs), 1))
             for k in range(rows):
                 keys = C.mix(keys ^ sigs[:, k : count * rows : rows])
-            yield C.batch(_BAND, keys.ravel().view(np.int64), np.tile(np.arange(count, dtype=np.int32), len(sigs)), np.repeat(b.column(0).to_numpy(), count))
+            yield C.batch(_BAND, keys.ravel().view(np.int64), np.tile(np.arange(count, dtype=np.int32), len(sigs)), b.column(0).take(pa.array(np.repeat(np.arange(len(sigs)), count))))
 
-    return signed.select("node", "sig").mapInArrow(run, "band long, nth int, node long")
+    return signed.select("node", "sig").mapInArrow(run, "band long, nth int, node binary")
 
 
-_ELEMENTS = pa.schema([("node", pa.int64()), ("x", pa.binary()), ("c", pa.binary())])
+_ELEMENTS = pa.schema([("node", pa.binary()), ("x", pa.binary()), ("c", pa.binary())])
 
 
 def elements(docs: DataFrame) -> DataFrame:
@@ -144,75 +144,67 @@ def elements(docs: DataFrame) -> DataFrame:
                 cs.append(None if (c == 1).all() else c.astype(np.uint32).tobytes())
             yield C.batch(_ELEMENTS, b.column(0), xs, cs)
 
-    return docs.select("node", "text").mapInArrow(run, "node long, x binary, c binary")
+    return docs.select("node", "text").mapInArrow(run, "node binary, x binary, c binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is at least ``similar``."""
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+_counts = lambda c, n: np.ones(n, np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity is at least ``similar``, with it."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("x").alias(f"x{s}"), F.col("c").alias(f"c{s}"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches):
         for b in batches:
             kept = [[], [], []]
             for one, two, xa, ca, xb, cb in zip(*(b.column(i).to_pylist() for i in range(6))):
                 x, y = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
-                count = lambda c, n: np.ones(n, np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
-                s = similarity(x, count(ca, len(x)), y, count(cb, len(y)))
+                s = similarity(x, _counts(ca, len(x)), y, _counts(cb, len(y)))
                 if s >= similar - 1e-12:
                     for column, value in zip(kept, (one, two, s)):
                         column.append(value)
-            yield C.batch(schema, *kept)
-
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "xa", "ca", "xb", "cb").mapInArrow(run, "a long, b long, similarity double")
-
-
-def _sift(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in a share of at least ``least`` of the registers."""
-    side = lambda s: signed.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
-                keep = pa.array((one == two).mean(1) >= least)
-                yield C.batch(schema, b.column(0).filter(keep), b.column(1).filter(keep))
+            yield C.batch(_LINK, *kept)
 
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "xa", "ca", "xb", "cb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def _block_links(blocks: DataFrame, similar: float, least: float, rows: int = ROWS) -> DataFrame:
-    """Links (a, b) between components, of rows (band, i, j, nth, node, root, sig, x, c) that meet by (band, i, j).
+def block_links(blocks: DataFrame, similar: float, least: float, rows: int = ROWS) -> DataFrame:
+    """Links between components, of rows (band, i, j, side, nth, node, root, stray, sig, x, c) that meet by (band, i, j).
 
-    A pair is tested only in the first band that it shares. Links found are
-    joined within the task, so pairs that they connect aren't tested again.
+    Nodes of side 0 are strays and meet those of side 1; two strays are compared
+    as the lesser with the greater. A pair is compared only in the first band that
+    it shares. Links found are joined within the task, so pairs that they connect
+    aren't compared again.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    count = lambda c, n: np.ones(n, np.int64) if c is None else np.frombuffer(c, np.uint32).astype(np.int64)
 
-    def test(group: list[dict]):
+    def compare(group: list[dict]):
+        one, two = ([g for g in group if g["side"] == k] for k in (0, 1))
+        if not one or not two:
+            return
         nth = group[0]["nth"]
-        sigs = np.frombuffer(b"".join(g["sig"] for g in group), np.uint32).reshape(len(group), -1)
-        bands_of = sigs[:, : nth * rows].reshape(len(group), nth, rows)
-        x = [np.frombuffer(g["x"], np.uint64) for g in group]
-        w = [count(g["c"], len(v)) for g, v in zip(group, x)]
-        roots = np.array([g["root"] for g in group])
-        halves = np.array([g["half"] for g in group])
-        apart = group[0]["i"] != group[0]["j"]
-        for one in range(len(group)):
-            near = (sigs[one + 1 :] == sigs[one]).mean(1) >= least
-            near &= roots[one + 1 :] != roots[one]
-            if apart:
-                near &= halves[one + 1 :] != halves[one]
-            for two in (np.flatnonzero(near) + one + 1).tolist():
-                if roots[one] == roots[two] or (bands_of[one] == bands_of[two]).all(1).any():
+        sig = lambda own: np.frombuffer(b"".join(g["sig"] for g in own), np.uint32).reshape(len(own), -1)
+        banded = lambda s: s[:, : nth * rows].reshape(len(s), nth, rows)
+        s1, s2 = sig(one), sig(two)
+        b1, b2 = banded(s1), banded(s2)
+        names = {r: i for i, r in enumerate(sorted({g["root"] for g in group}))}
+        r1, r2 = (np.array([names[g["root"]] for g in own]) for own in (one, two))
+        nodes = np.array([g["node"] for g in two], object)
+        strays = np.array([g["stray"] for g in two], bool)
+        load = lambda g: (x := np.frombuffer(g["x"], np.uint64), _counts(g["c"], len(x)))
+        for k, own in enumerate(one):
+            near = ((s2 == s1[k]).mean(1) >= least) & (r2 != r1[k]) & ~(strays & (nodes <= own["node"]))
+            mine = load(own) if near.any() else None
+            for m in np.flatnonzero(near).tolist():
+                if r1[k] == r2[m] or (b1[k] == b2[m]).all(1).any():
                     continue
-                if similarity(x[one], w[one], x[two], w[two]) >= similar - 1e-12:
-                    roots[roots == roots[two]] = roots[one]
-                    yield group[one]["node"], group[two]["node"]
+                s = similarity(*mine, *load(two[m]))
+                if s >= similar - 1e-12:
+                    old = r2[m]
+                    r2[r2 == old] = r1[k]
+                    r1[r1 == old] = r1[k]
+                    yield own["node"], two[m]["node"], s
 
     def run(batches):
         held: list[dict] = []
@@ -221,65 +213,82 @@ def _block_links(blocks: DataFrame, similar: float, least: float, rows: int = RO
             links = []
             for row in b.to_pylist():
                 if held and key(held[0]) != key(row):
-                    links += test(held)
+                    links += compare(held)
                     held = []
                 held.append(row)
-            yield C.batch(schema, [p for p, _ in links], [q for _, q in links])
-        if held:
-            links = list(test(held))
-            yield C.batch(schema, [p for p, _ in links], [q for _, q in links])
+            yield C.batch(_LINK, *(zip(*links) if links else [[]] * 3))
+        if held and (links := list(compare(held))):
+            yield C.batch(_LINK, *zip(*links))
+
+    return blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side", "node").mapInArrow(run, "a binary, b binary, similarity double")
+
 
-    return blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(run, "a long, b long")
+def _ids_of_many(every: DataFrame) -> DataFrame | None:
+    """(a, b): the nodes of an id that rows with different words share, tied to one of them; None if there is no such id."""
+    ends = every.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("e")).where("b <> e").select("doc_id", "b")
+    ends = C.checkpoint(ends)
+    return None if ends.isEmpty() else every.join(ends, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
 
 
-def classes(docs: DataFrame, id_col="doc_id", text_col="text", similar: float = SIMILAR) -> DataFrame:
+def classes(docs: DataFrame, id_col="doc_id", text_col="text", similar: float = SIMILAR, sift: float = SIFT) -> DataFrame:
     """(doc_id, class_id): the least id of the documents joined to it by links of at least ``similar``.
 
-    Rows with the same words are always in one class; a document without words
-    is a class of its own; a null id has a null class. Rows that share an id are
-    one node with the links of all of them. One row for each input row.
+    Rows with the same words are always in one class. Rows that share an id are in
+    one class, with the links of all their texts. A text without words has no
+    links; a null id has a null class and takes no part. One row for each input row.
     """
     every = C.checkpoint(sign(docs, id_col, text_col))
-    texts = every.where("wh is not null").groupBy("wh", "wh2").agg(F.min("doc_id").alias("node"))
-    signed = C.checkpoint(every.where("sig is not null").join(texts, ["wh", "wh2"]).where("doc_id = node").select("node", "sig").dropDuplicates(["node"]))
+    nodes = C.checkpoint(every.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.max("sig").alias("sig")).select("node", "first.doc_id", "first.th", "sig"))
+    signed = nodes.where("sig is not null").select("node", "sig")
     rows = bands(signed)
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = C.checkpoint(rows.join(sizes, "band"))
-    n_met = met.count()
-    few = lambda df: C.narrow(df, n_met)  # noqa: E731  what follows has at most a few rows for each of met's
-    met = few(met)
-    wanted = C.checkpoint(few(met.select("node").distinct()))
-    n_nodes = wanted.count()
-    own = lambda df: C.narrow(df, n_nodes, 5_000)  # noqa: E731  a row for each node that has met another
-    signed = own(C.checkpoint(own(signed.join(wanted, "node", "left_semi"))))
-    central = few(met.groupBy("node").agg(F.sum("n").alias("mates")))
-    pivots = few(few(met.join(central, "node")).groupBy("band").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("p1"), F.min_by("node", F.xxhash64("node", "band")).alias("p2")))
-    meetings = few(few(met.join(pivots, "band").select("node", F.explode(F.array("p1", "p2")).alias("pivot")).where("node <> pivot")).groupBy("node", "pivot").agg(F.count("*").alias("n")))
-    first = few(meetings.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("node").alias("a"), "b"))
-    held = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node", "left_semi")
-    sets = own(C.checkpoint(own(elements(held).dropDuplicates(["node"]))))
-    links = C.checkpoint(_verify(_sift(first, signed, SIFT), sets, similar).select("a", "b"))
-    roots = components(links)
-    # pairs of a bucket that are in different components: one of the two is outside the bucket's main component
-    placed = few(C.checkpoint(few(met.select("band", "nth", "n", "node").join(roots, "node", "left").select("band", "nth", "n", "node", F.coalesce("root", "node").alias("root")))))
-    main = few(few(placed.groupBy("band", "root").agg(F.count("*").alias("k"))).groupBy("band").agg(F.max_by("root", F.struct("k", -F.col("root"))).alias("main"), F.count("*").alias("roots")).where("roots > 1"))
-    mixed = few(C.checkpoint(few(placed.join(main, "band"))))
-    small = mixed.where(F.col("n") <= SMALL)
-    stray = small.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-    other = small.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    pairs = few(stray.join(other, "band").where("ra <> rb and (in_main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    more = _verify(C.checkpoint(_sift(few(pairs), signed, SIFT)), sets, similar).select("a", "b")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = mixed.where(F.col("n") > SMALL).withColumn("parts", parts).withColumn("half", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("half", "with")).withColumn("j", F.greatest("half", "with"))
-    large = own(large.select("band", "i", "j", "nth", "node", "root", "half").join(signed, "node").join(sets, "node"))
-    final = components(links.union(more).union(_block_links(large, similar, SIFT)))
-    placed_docs = every.select("doc_id", "wh", "wh2").join(texts, ["wh", "wh2"], "left").join(final, "node", "left")
-    found = placed_docs.select("doc_id", F.coalesce("root", "node", "doc_id").alias("class_id"))
-    nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
+    central = C.checkpoint(met.groupBy("node").agg(F.sum("n").alias("mates")))
+    texts = C.keyed(docs, id_col, text_col).join(nodes.join(central, "node", "left_semi").select("node", "doc_id", "th"), ["doc_id", "th"])
+    sets = C.checkpoint(elements(texts).dropDuplicates(["node"]))
+    pivots = met.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("mates", "node")).alias("p1"), F.min_by("node", F.xxhash64("node", "band")).alias("p2"))
+    meetings = met.join(pivots, "band").select("node", F.explode(F.array("p1", "p2")).alias("pivot")).where("node <> pivot")
+    first = meetings.groupBy("node", "pivot").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("b")).select(F.col("node").alias("a"), "b")
+    links = verified(first, sets, similar).select("a", "b")
+    shared = _ids_of_many(every)
+    roots = components(links if shared is None else links.union(shared))
+    more = _other_links(met, roots, signed, sets, similar, sift)
+    final = roots if more is None else components(roots.toDF("a", "b").union(more))
+    own = final.join(nodes.select("node", "doc_id"), "node")
+    least = own.groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = nodes.select("node", "doc_id").join(own.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_id").alias("class_id"))
+    found = every.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
+    nulls = docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return found.unionAll(nulls)
 
 
+def _other_links(met: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, similar: float, sift: float) -> DataFrame | None:
+    """Links of the pairs of a bucket that are in different components; None if no bucket has two."""
+    placed = C.checkpoint(met.join(roots, "node", "left").select("band", "nth", "n", "node", F.coalesce("root", "node").alias("root")))
+    main = placed.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = C.checkpoint(placed.join(main.drop("roots"), "band").withColumn("stray", F.col("root") != F.col("main")).drop("main"))
+    large = mixed.where(F.col("n") > SMALL)
+    many = not large.isEmpty()
+    if not many and mixed.isEmpty():
+        return None
+    small = mixed.where(F.col("n") <= SMALL)
+    one = small.where("stray").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
+    two = small.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("stray").alias("sb"))
+    pairs = one.join(two, "band").where("ra <> rb and (not sb or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(pairs, sets, similar).select("a", "b")
+    if not many:
+        return links
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    dealt = large.withColumn("pi", blocks(F.col("n") - F.col("k"))).withColumn("pj", blocks(F.col("n")))
+    place = lambda n: F.pmod(F.xxhash64("node", "band"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ("band", "nth", "node", "root", "stray")
+    strays = dealt.where("stray").withColumn("i", place("pi")).withColumn("j", upto("pj")).select(*names, "i", "j", F.lit(0).alias("side"))
+    rest = dealt.withColumn("j", place("pj")).withColumn("i", upto("pi")).select(*names, "i", "j", F.lit(1).alias("side"))
+    full = strays.union(rest).join(signed, "node").join(sets, "node")
+    return links.union(block_links(full, similar, sift).select("a", "b"))
+
+
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all their columns, whose id is its class's id; null ids stay."""
     gone = classes(docs, id_col, text_col, similar).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
