@@ -1,19 +1,27 @@
 """Personal data: generated candidates, boosted trees, calibrated thresholds.
 
 Generators propose overlapping spans of each kind with high recall. Trees score
-each candidate from its format and context. There are no hand labels, so the
-trees learn from candidates that a check can settle (a check digit, parts in
-range, a full address, an assignment to a key word) and never see the check
-itself. Isotonic calibration on held-out documents turns margins into
+each candidate from its format and context. There are no hand labels. Positives
+are spans that pass a base rule and, in their real surroundings, spans rewritten
+so that no base rule finds them: addresses with "at" and "dot", phone numbers
+without their plus, card numbers in dotted groups, defanged addresses of hosts.
+Negatives are candidates that fail their base rule where no word nearby speaks
+for the kind; with such a word they are left out. Secrets are those assigned to a
+key word. Isotonic calibration on held-out documents turns margins into
 probabilities; a kind's threshold is the least at which its held-out precision
 reaches ``precision``. What passes the fixed base rules is always redacted.
+
+All scans take time linear in the text: they start at a span's first character
+only, or grow from an "@", and never look at a stretch twice.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +30,26 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .boosting import Boosted, isotonic
+from .sample import HASHES, hash_bound
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+WIDTH = 24  # features
+#: The base patterns. Runs are possessive and begin where they can; base_spans() grows addresses from "@".
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _GENERATORS = (
-    ("email", "@", re.compile(r"[^\s@<>\"']{1,64}@[^\s@<>\"']{1,255}")),
-    ("email", " at ", re.compile(r"[A-Za-z0-9._%+-]{2,64} ?[\[(]? ?at ?[\])]? [A-Za-z0-9-]{2,63} ?[\[(]? ?dot ?[\])]? [A-Za-z]{2,10}")),
-    ("ip", ".", re.compile(r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![0-9.])")),
-    ("card", "", re.compile(r"(?<![0-9])[0-9]{12,19}(?![0-9])")),
-    ("card", "", re.compile(r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?(?![0-9])")),
-    ("phone", "", re.compile(r"(?<![0-9])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
-    ("secret", "", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")),
+    ("email", ("@",), re.compile(r"(?<![^\s@<>\"'])[^\s@<>\"']++@[^\s@<>\"']++")),
+    ("email", ("at", "dot"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?| dot )[A-Za-z]{2,}+")),
+    ("ip", (".",), re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3,}+")),
+    ("ip", ("[.]",), re.compile(r"(?<![0-9\]])[0-9]++(?:\[\.\][0-9]++){3,}+")),
+    ("card", (), re.compile(r"(?<![0-9])[0-9]{12,19}+(?![0-9])")),
+    ("card", (), re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._-][0-9]{4}){2,3}(?:[ ._-][0-9]{1,4})?(?![0-9])")),
+    ("phone", (), re.compile(r"(?<![0-9])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
+    ("secret", (), re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")),
 )
 _DIGIT = re.compile(r"[0-9]")
 _CONTEXT = {
@@ -67,13 +79,28 @@ def _digits(span: str) -> str:
     return "".join(_DIGIT.findall(span))
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of the address pattern, each grown both ways from its "@"."""
+    out, low, at = [], 0, text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at + 1)
+        start = low + len(text[low:at].rstrip(_LOCAL))  # the run of local characters since the last "@" or match
+        if domain and start < at:
+            out.append((start, domain.end()))
+            low = domain.end()
+        else:
+            low = at + 1
+        at = text.find("@", low)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base rules, by start, then kind as listed."""
-    out = [(*m.span(), "email") for m in EMAIL.finditer(text)] if "@" in text else []
+    out = [(*span, "email") for span in emails(text)]
     if _DIGIT.search(text):
         out += [(*m.span(), "ip") for m in IP.finditer(text) if octets(m[0])] if "." in text else []
         for m in CARD.finditer(text):
-            if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+            if 12 <= m.end() - m.start() <= 37 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):  # 19 digits have 18 gaps
                 out.append((*m.span(), "card"))
         if "+" in text:
             out += [(*m.span(), "phone") for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -82,23 +109,52 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Overlapping spans that the generators propose."""
-    if not _DIGIT.search(text) and "@" not in text and " at " not in text:
-        return []
-    return [(*m.span(), kind) for kind, need, pattern in _GENERATORS if need in text for m in pattern.finditer(text)]
+    return [(*m.span(), kind) for kind, needs, pattern in _GENERATORS if all(n in text for n in needs) for m in pattern.finditer(text)]
+
+
+def passes(span: str, kind: str) -> bool:
+    """Whether a whole span passes its kind's base rule."""
+    if kind == "email":
+        return emails(span) == [(0, len(span))]
+    if kind == "ip":
+        return IP.fullmatch(span) is not None and octets(span)
+    if kind == "card":
+        return CARD.fullmatch(span) is not None and 12 <= len(d := _digits(span)) <= 19 and luhn(d)
+    return PHONE.fullmatch(span) is not None and 9 <= len(_digits(span)) <= 15
 
 
-def settled(text: str, start: int, end: int, kind: str) -> bool:
-    """The check that stands in for a label in training; no feature repeats it."""
-    span = text[start:end]
+def rewritten(span: str, kind: str, way: int) -> str:
+    """A form of a span that people write and no base rule finds; ``way`` picks one."""
     if kind == "email":
-        return EMAIL.fullmatch(span) is not None
+        at, dot = ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"))[way % 3]
+        local, _, domain = span.rpartition("@")
+        host, _, top = domain.rpartition(".")
+        return f"{local}{at}{host.replace('.', '-')}{dot}{top}"
     if kind == "ip":
-        return octets(span)
+        return span.replace(".", "[.]")
     if kind == "card":
-        return luhn(_digits(span))
-    if kind == "phone":
-        return span.startswith("+") and 9 <= len(_digits(span)) <= 15
-    return _ASSIGNED.search(text[max(0, start - 16) : start]) is not None and bool(_DIGIT.search(span))
+        digits = _digits(span)
+        return "._"[way % 2].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return ("00" if way % 2 else "") + span[1:]
+
+
+def examples(text: str) -> list[tuple[tuple[int, int, str], str, float]]:
+    """(candidate, the text that it stands in, label) of all candidates that a label can be given."""
+    out = []
+    for s, e, kind in candidates(text):
+        if kind == "secret":
+            label = _ASSIGNED.search(text[max(0, s - 16) : s]) is not None and _DIGIT.search(text, s, e) is not None
+            out.append(((s, e, kind), text, float(label)))
+        elif passes(text[s:e], kind):
+            out.append(((s, e, kind), text, 1.0))
+            form = rewritten(text[s:e], kind, zlib.crc32(text[s:e].encode()))
+            near = text[max(0, s - 64) : s] + form + text[e : e + 8]  # as far as features look
+            at = min(s, 64)
+            if (at, at + len(form), kind) in candidates(near):
+                out.append(((at, at + len(form), kind), near, 1.0))
+        elif not _CONTEXT[kind].search(text[max(0, s - 40) : s]):
+            out.append(((s, e, kind), text, 0.0))
+    return out
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -115,8 +171,8 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     last = before[-1:]
     return [
         float(KINDS.index(kind)), n, digits, letters, upper / n, digits / n, entropy, len(groups), max(groups), min(groups),
-        span.count("."), span.count("-"), span.count(" "), span.count("("), span.count("@"), turns,
-        sum(not c.isalnum() for c in span), len(span.rpartition(".")[2]), float(span[:1] == "+"),
+        span.count("."), span.count("-"), span.count(" "), span.count("("), span.count("@"), span.count("["), turns,
+        sum(not c.isalnum() for c in span), len(span.rpartition(".")[2]),
         float(_CONTEXT[kind].search(before) is not None), float(last.isspace() or not last), float(last in "\"'=:" and bool(last)), float(after.isspace() or not after), float(after in ".,;:!?" and bool(after)),
     ]
 
@@ -173,28 +229,31 @@ class Model:
 _ROW = pa.schema([("held", pa.bool_()), ("y", pa.float64()), ("x", pa.list_(pa.float64()))])
 
 
-def fit(docs: DataFrame, id_col="doc_id", text_col="text", documents: int = 20_000, per_document: int = 20, precision: float = 0.9) -> Model:
-    """Learn from at most ``documents`` documents (those whose ids have the least hashes, and ties) and
-    ``per_document`` candidates of each; every fourth document calibrates. Detection itself has no such bounds.
+def fit(docs: DataFrame, id_col="doc_id", text_col="text", documents: int = 20_000, per_kind: int = 8, precision: float = 0.9) -> Model:
+    """Learn from about ``documents`` documents, drawn by the hashes of their ids, and of each kind in each of them
+    from ``per_kind`` examples, drawn by the hashes of their places; every fourth document calibrates.
+    Detection itself has no such bounds.
     """
-    key = F.pmod(F.xxhash64(F.col(id_col), F.lit("pii")), F.lit(1 << 40))
-    most = docs.select(key.alias("k")).orderBy("k").limit(documents).agg(F.max("k")).first()[0]
-    if most is None:
-        return Model(precision)
+    key = F.pmod(F.xxhash64(F.col(id_col), F.lit("pii")), F.lit(HASHES))
 
     def extract(batches):
         for b in batches:
             held, y, x = [], [], []
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = (raw or b"").decode("utf-8", "replace")
-                for one in candidates(text)[:per_document]:
-                    held.append(k % 4 == 0)
-                    y.append(float(settled(text, *one)))
-                    x.append(features(text, *one))
+                drawn: dict[str, list] = {}
+                for nth, one in enumerate(examples(text)):
+                    drawn.setdefault(one[0][2], []).append((zlib.crc32(f"{k}:{nth}:{one[0]}".encode()), one))
+                for own in drawn.values():
+                    for _, (span, near, label) in heapq.nsmallest(per_kind, own, key=lambda o: o[0]):
+                        held.append(k % 4 == 0)
+                        y.append(label)
+                        x.append(features(near, *span))
             yield C.batch(_ROW, held, y, x)
 
-    rows = docs.where(key <= most).select(key.alias("k"), F.col(text_col).cast("binary")).mapInArrow(extract, "held boolean, y double, x array<double>").toArrow()
-    x = np.array(rows.column(2).to_pylist(), float).reshape(-1, 24)
+    picked = docs.where(key < hash_bound(docs.count(), documents)).select(key.alias("k"), F.col(text_col).cast("binary"))
+    rows = picked.mapInArrow(extract, "held boolean, y double, x array<double>").toArrow()
+    x = np.array(rows.column(2).to_pylist(), float).reshape(-1, WIDTH)
     y, held = (rows.column(i).to_numpy().astype(t) for i, t in ((1, float), (0, bool)))
     by = np.lexsort((*x.T, y, held))  # the result must not depend on the order in which tasks end
     return Model(precision).fit(x[by], y[by], held[by])

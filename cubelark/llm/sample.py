@@ -1,16 +1,23 @@
-"""Bounded, reproducible samples for fitting: the rows whose ids have the least hashes."""
+"""Bounded, reproducible samples for fitting: the rows whose ids have small hashes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HASHES = 1 << 40
+
+
+def hash_bound(rows: int, most: int) -> int:
+    """Hashes below it, of HASHES, belong to about ``most`` of so many rows: a filter, with nothing to sort."""
+    return HASHES if rows <= most else HASHES * most // rows
+
 
 def sample_ids(ids: DataFrame, most: int, seed: str) -> DataFrame:
-    """At most ``most`` distinct non-null ids (column doc_id) as a small table, the same at each run."""
+    """About ``most`` distinct non-null ids (column doc_id), all if there are fewer, the same at each run."""
     own = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    rows = own.select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(most).toArrow()
-    return ids.sparkSession.createDataFrame(rows.select(["doc_id"])) if rows.num_rows else own.limit(0)
+    drawn = own.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASHES)) < hash_bound(own.count(), most)).distinct().toArrow()
+    return ids.sparkSession.createDataFrame(drawn) if drawn.num_rows else own.limit(0)
 
 
 def sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
