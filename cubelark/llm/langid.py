@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .sample import sample_ids, sampled
+from .sample import HASHES, hash_bound
 
 GRAM, BITS = 4, 17
 UNKNOWN = "und"
@@ -60,16 +60,19 @@ class Model:
                 break
         return pi, float(np.log(p @ pi).sum())
 
-    def proportions(self, raw: bytes | None) -> dict[str, float]:
-        """Chosen languages and their proportions; empty if the text has no letter or nothing was learned."""
+    def proportions(self, raw: bytes | None) -> tuple[dict[str, float], float]:
+        """(chosen languages and their proportions, the first one's proportion among all languages).
+
+        Nothing and 0 if the text has no letter or nothing was learned.
+        """
         b = grams(raw)
         if b is None or not self.languages:
-            return {}
+            return {}, 0.0
         p = self.theta[b]
         single = np.log(p).sum(0) + np.log(self.prior)
         lead = int(single.argmax())
         if len(self.languages) == 1:
-            return {self.languages[0]: 1.0}
+            return {self.languages[0]: 1.0}, 1.0
         cost = self.penalty * np.log(len(b) + 1)
         chosen, shares, best = [lead], np.ones(1), float(single[lead] - np.log(self.prior[lead]))
         full, _ = self.mixture(p, self.prior)
@@ -80,12 +83,17 @@ class Model:
             if value - cost <= best:
                 break
             chosen, shares, best = own, pi, value - cost
-        return {self.languages[i]: float(s) for i, s in zip(chosen, shares / shares.sum())}
+        found = {self.languages[i]: float(s) for i, s in zip(chosen, shares / shares.sum())}
+        first = min(found, key=lambda x: (-found[x], x))
+        return found, float(full[self.languages.index(first)])
 
 
-def fit(docs: DataFrame, most: int = 30_000, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
-    """Learn from at most ``most`` rows with a language, drawn by the hash of their ids."""
+def fit(docs: DataFrame, most: int = 10_000, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
+    """Learn from about ``most`` rows of each language, all if it has fewer, drawn by the hash of their ids."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")).where("lang is not null and text is not null")
+    sizes = own.groupBy("lang").count().toArrow().to_pylist()  # a row for each language
+    bounds = [(r["lang"], hash_bound(r["count"], most)) for r in sizes]
+    drawn = own.join(F.broadcast(own.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(HASHES)) < F.col("bound"))
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -98,7 +106,7 @@ def fit(docs: DataFrame, most: int = 30_000, id_col="doc_id", text_col="text", l
             at = np.flatnonzero(n)
             yield C.batch(_COUNT, [lang] * len(at), at.astype(np.int32), n[at])
 
-    rows = sampled(own, sample_ids(own, most, "lang")).select("lang", "text").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = drawn.select("lang", "text").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = rows.column(0).to_pylist()
     languages = sorted(set(langs))
     counts = np.zeros((1 << BITS, len(languages)))
@@ -114,6 +122,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score",
 def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, lang_pred, score, languages) of each row; languages lists the set as name:proportion.
 
+    The score is the language's proportion when all languages may take part, before any is struck out.
     A null text, or one without a letter, is ``und`` with score 0. Repeated rows give a row each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -123,8 +132,9 @@ def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") ->
         for b in batches:
             out = [[], [], []]
             for raw in b.column(2).to_pylist():
-                found = sorted(model.proportions(raw).items(), key=lambda x: (-x[1], x[0]))
-                lang, share = found[0] if found else (UNKNOWN, 0.0)
+                found, share = model.proportions(raw)
+                found = sorted(found.items(), key=lambda x: (-x[1], x[0]))
+                lang = found[0][0] if found else UNKNOWN
                 for column, value in zip(out, (lang, min(1.0, share), ",".join(f"{k}:{v:.3f}" for k, v in found))):
                     column.append(value)
             yield C.batch(_OUT, b.column(0), *out)
@@ -138,12 +148,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = predict(docs, fit(docs.where(~fold)))
     return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "languages")
 
-
-def SHOW(out):
-    import duckdb, glob
-    d = duckdb.sql("select doc_id, lang, length(text) n from read_parquet('/root/testdata/sf0.1/documents.parquet')").df() if len(out) > 5000 else duckdb.sql("select doc_id, lang, length(text) n from read_parquet('/root/testdata/sf0.01/documents.parquet')").df()
-    m = out.merge(d, on="doc_id")
-    for h, g in m.groupby("held_out"):
-        print(h, (g.lang == g.lang_pred).mean(), g.languages.str.count(",").value_counts().to_dict())
-    w = m[(m.lang != m.lang_pred) & m.held_out]
-    print(w.head(20).to_string())
