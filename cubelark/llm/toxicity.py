@@ -182,16 +182,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     model = fit(*training_rows(docs, C.read(spark, sf_dir, "labels")))
     return score(docs, model).select("doc_id", (C.fold_column("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-
-def SHOW(out):
-    import duckdb
-    sf = "sf0.1" if len(out) > 5000 else "sf0.01"
-    m = out.merge(duckdb.sql(f"select doc_id, toxic, lang, text from '/root/testdata/{sf}/documents.parquet' join '/root/testdata/{sf}/labels.parquet' using (doc_id)").df(), on="doc_id")
-    for h, g in m.groupby("held_out"):
-        print(h, len(g), "acc", (g.toxic == g.predicted).mean(), "prec", g[g.predicted == 1].toxic.mean(), "rec", g[g.toxic == 1].predicted.mean())
-        r = g.score.rank()
-        n1 = (g.toxic == 1).sum(); n0 = len(g) - n1
-        print("auc", (r[g.toxic == 1].sum() - n1 * (n1 + 1) / 2) / n1 / n0)
-    w = m[(m.toxic != m.predicted)]
-    for _, r in w.head(12).iterrows():
-        print(r.doc_id, r.held_out, r.toxic, round(r.score, 3), r.lang, len(r.text), repr(r.text[:150]))
