@@ -6,9 +6,11 @@ pattern of ten symbols and a document is a string of as many symbols as words
 one automaton; a document passes it once. Word places lead back to code points
 of the original text, because normalising keeps the byte length.
 
-The automaton is sent to every task, so its size is bounded: items are dealt
-into blocks of ``block_bytes`` of text, each block is scanned by itself, and a
-document's spans from several blocks are joined by its id.
+A worker builds the automaton once and keeps it for its next tasks. It takes some
+80 bytes a byte of item text, so it is bounded: benchmarks of up to ``block_bytes``
+of text, 16 MB by default, have one automaton and one scan. Larger ones are dealt
+into blocks, each block is scanned by itself, and a document's spans from several
+blocks are joined by its id.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-_SCAN_DDL = "doc_id long, th long, n_words long, starts array<int>, ends array<int>, items array<string>"
+_SCAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("froms", pa.list_(pa.int64())), ("tos", pa.list_(pa.int64()))])
+_SCAN_DDL = "doc_id long, th long, n_words long, starts array<int>, ends array<int>, items array<string>, froms array<long>, tos array<long>"
 _OTHER = "\x01"
 
 
@@ -64,12 +67,24 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_BUILT: dict = {}  # of this worker: the automaton of the items that it met last
+
+
+def built(items: list[tuple[str, bytes]], size: int):
+    """``automaton`` of the items, kept by the worker."""
+    key = size, xxhash.xxh3_128_hexdigest(repr(items).encode())
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = automaton(items, size)
+    return _BUILT[key]
+
+
 def _scanner(shared, size):
     def scan(batches):
-        symbols, machine = automaton(shared.value, size)
+        symbols, machine = built(shared.value, size)
         get = symbols.get
         for b in batches:
-            out = [[], [], [], []]
+            out = [[] for _ in range(6)]
             for text in b.column(2).to_pylist():
                 words = C.alnum_words(text)
                 spans, ids = [], set()
@@ -78,15 +93,18 @@ def _scanner(shared, size):
                         spans.append((end - length + 1, end + 1))
                         ids.update(items)
                     spans = merge(spans)
-                for column, value in zip(out, (len(words), [s for s, _ in spans], [e for _, e in spans], sorted(ids))):
+                starts, ends = [s for s, _ in spans], [e for _, e in spans]
+                places = original_spans(text, starts, ends) if spans else []
+                for column, value in zip(out, (len(words), starts, ends, sorted(ids), [s for s, _ in places], [e for _, e in places])):
                     column.append(value)
             yield C.batch(_SCAN, b.column(0), b.column(1), *out)
 
     return scan
 
 
-def scan(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = 10, block_bytes: int = 2_000_000) -> DataFrame:
-    """(doc_id, th, n_words, starts, ends, items): hit word spans and the items found, a row for each document.
+def scan(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
+    """(doc_id, th, n_words, starts, ends, items, froms, tos): hit word spans, the items found, and the spans' places
+    in the original text in code points; a row for each document.
 
     Items that are null, have a null id or no words match nothing; with no items
     no document is hit. Null and empty documents have no words. Repeated rows
@@ -106,8 +124,8 @@ def scan(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", it
     for part in parts[1:]:
         every = every.unionAll(part)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  bounded by the document's own words
-    every = every.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), flat("starts"), flat("ends"), flat("items"), (F.count("*") / blocks).cast("int").alias("copies"))
-    return every.select("doc_id", "th", "n_words", "starts", "ends", F.array_sort(F.array_distinct("items")).alias("items"), F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    every = every.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), flat("starts"), flat("ends"), flat("items"), flat("froms"), flat("tos"), (F.count("*") / blocks).cast("int").alias("copies"))
+    return every.select("doc_id", "th", "n_words", "starts", "ends", F.array_sort(F.array_distinct("items")).alias("items"), "froms", "tos", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
 _HIT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
