@@ -84,7 +84,10 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[list] = []
         self.text: list[str] = []
-        self.skipped, self.figures, self.caption = 0, [], None
+        self.skipped = 0
+        self.figures: list[dict] = []  # open figures: where their parts begin, and a caption that awaits media
+        self.caption: list[str] | None = None
+        self.pictures: list[str | None] = []  # open pictures: the first source seen, for want of an img
 
     def flush(self):
         joined = " ".join("".join(self.text).split())
@@ -92,59 +95,111 @@ class _Sequence(HTMLParser):
         if joined:
             self.parts.append(["text", joined, None, None])
 
+    def media(self, values: dict):
+        """One part for what an element refers to: src, or the first candidate of srcset."""
+        reference = values.get("src") or ((values.get("srcset") or "").split() or [""])[0].rstrip(",")
+        if reference:
+            self.flush()
+            waiting = next((f["caption"] for f in reversed(self.figures) if f["caption"]), None)
+            self.parts.append(["media", None, reference, waiting or values.get("alt") or None])
+
+    def end_caption(self):
+        if self.caption is None:
+            return
+        words, self.caption = " ".join("".join(self.caption).split()), None
+        if not words:
+            return
+        own = [p for p in self.parts[self.figures[-1]["first"] :] if p[0] == "media"] if self.figures else []
+        for part in own:
+            part[3] = words
+        if self.figures:
+            self.figures[-1]["caption"] = words  # for media that are still to come
+        if not own and not self.figures:
+            self.parts.append(["text", words, None, None])
+
+    def end_figure(self):
+        self.end_caption()
+        self.flush()
+        figure = self.figures.pop()
+        if figure["caption"] and not any(p[0] == "media" for p in self.parts[figure["first"] :]):
+            self.parts.append(["text", figure["caption"], None, None])
+
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP:
             self.skipped += 1
         elif self.skipped:
             return
+        elif tag == "picture":
+            self.pictures.append(None)
+        elif tag == "source" and self.pictures:
+            values = dict(attrs)
+            self.pictures[-1] = self.pictures[-1] or values.get("srcset") or values.get("src")
         elif tag in ("img", "audio", "video", "source", "embed"):
             values = dict(attrs)
-            if values.get("src"):
-                self.flush()
-                self.parts.append(["media", None, values["src"], values.get("alt") or None])
+            if tag == "img" and self.pictures and not (values.get("src") or values.get("srcset")):
+                values["srcset"] = self.pictures[-1]
+            if self.pictures and tag == "img":
+                self.pictures[-1] = None
+            self.media(values)
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in _BLOCK:
-            self.flush()
+            if self.caption is not None and tag not in ("br", "p"):
+                self.end_caption()  # a caption holds no such block, so it was never closed
+            if self.caption is None:
+                self.flush()
+            else:
+                self.caption.append(" ")
             if tag == "figure":
-                self.figures.append(len(self.parts))
+                self.figures.append({"first": len(self.parts), "caption": None})
 
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skipped = max(0, self.skipped - 1)
         elif self.skipped:
             return
-        elif tag == "figcaption" and self.caption is not None:
-            words, self.caption = " ".join("".join(self.caption).split()), None
-            own = [p for p in self.parts[self.figures[-1] :] if p[0] == "media"] if self.figures else []
-            for part in own:
-                part[3] = words or part[3]
-            if not own and words:
-                self.parts.append(["text", words, None, None])
+        elif tag == "picture" and self.pictures:
+            left = self.pictures.pop()
+            if left:
+                self.media({"srcset": left})
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
         elif tag in _BLOCK:
+            if self.caption is not None and tag in ("p", "br"):
+                self.caption.append(" ")
+                return
+            self.end_caption()
             self.flush()
-            if tag == "figure" and self.figures:
-                self.figures.pop()
 
     def handle_data(self, data):
         if not self.skipped:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def end(self):
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
+
 
 def sequence(page: str | None) -> list[tuple[int, str, str | None, str | None, str | None]]:
     """(position, kind, text, reference, caption) of a page's parts, in the order of the page.
 
-    A caption closed before its figure's media, or without media, is text. Null and empty pages have no parts.
+    A figure's caption goes to all its media, before it or after it; without media
+    it is text at its figure's end, and outside a figure text where it stands. A
+    caption that is never closed ends with its figure or where a block begins.
+    Without a caption media have their alt text. Null and empty pages have no parts.
     """
     if not page:
         return []
     parser = _Sequence()
     parser.feed(page)
     parser.close()
-    if parser.caption:
-        parser.text = parser.caption
-    parser.flush()
+    parser.end()
     return [(i, *part) for i, part in enumerate(parser.parts)]
 
 
@@ -230,3 +285,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     parts = resolve(parse_pages(document_pages(docs)), read_store(build_store(docs)))
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "position")
     return parts.where("kind = 'media'").select(F.col("page_id").alias("doc_id"), *names)
+
+
+def pages_query(spark, sf_dir: str) -> DataFrame:
+    """The parts of all ``pages``, media resolved against the store of the documents' texts."""
+    store = read_store(build_store(C.read(spark, sf_dir, "documents")))
+    parts = resolve(parse_pages(C.read(spark, sf_dir, "pages")), store)
+    return parts.select("page_id", "position", "kind", "text", "reference", "caption", "payload_sha256")

@@ -5,6 +5,7 @@ from . import decontaminate, langid, licenses, lm, media, minhash, packing, pii,
 QUERIES = {
     "op1_substring_dedup": substring.query,
     "op2_media_columns": media.query,
+    "media_pages": media.pages_query,
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op5_lm_scoring": lm.query,
