@@ -98,7 +98,7 @@ class Plan:
     more than the number of n-grams has, so that about one in 10^5 meets another.
     """
 
-    def __init__(self, total: int, size: int = 6_000_000, bucket: int = 16_000_000):
+    def __init__(self, total: int, size: int = 8_000_000, bucket: int = 16_000_000):
         self.size = min(size, max(100_000, total // 64))
         self.bits = max(2, math.ceil(math.log2(max(total, 1) / bucket)) if total > bucket else 0)
         self.gram_bits = min(62, 45 + max(0, math.ceil(math.log2(max(total, 1) / 1e9))))
@@ -182,7 +182,7 @@ ddl = lambda schema: ", ".join(f"{f.name} {_DDL[str(f.type)]}" for f in schema)
 _SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())])
 _SUMS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.binary()), ("total", pa.int64()), ("words", pa.int64()), ("once", pa.int64())])
 _DOCS = [("doc_id", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ask", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("places", pa.binary())]
-_WORDS = pa.schema([("chunk", pa.int64()), *_DOCS, ("vocabulary", pa.binary())])
+_WORDS = pa.schema([("chunk", pa.int64()), *_DOCS, ("often", pa.binary()), ("once", pa.binary())])
 _STATS = -1  # the key of the rows that carry totals
 _HELD = pa.schema([("chunk", pa.int64()), *_DOCS, *((x, pa.binary()) for x in ("n1", "own1", "n2", "own2", "n3", "own3")), ("total", pa.int64()), ("words", pa.int64()), ("once", pa.int64())])
 
@@ -205,10 +205,13 @@ def _words(plan: Plan):
     def run(batches):
         for chunk in chunks_of(batches, plan.size):
             vocabulary, places = C.distinct_places(chunk.hashes)
-            order = np.argsort(-np.bincount(places), kind="stable")  # frequent words get small places
+            n = np.bincount(places)
+            order = np.argsort(-n, kind="stable")  # frequent words get small places; words seen once come last, by hash
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            yield C.batch(_WORDS, [chunk.key], [chunk.ids], [chunk.train], [chunk.ask], [chunk.lengths.tolist()], [pack(rank[places])], [vocabulary[order].tobytes()])
+            often = int((n > 1).sum())
+            words = vocabulary[order[:often]].tobytes(), pack_sorted(vocabulary[order[often:]])
+            yield C.batch(_WORDS, [chunk.key], [chunk.ids], [chunk.train], [chunk.ask], [chunk.lengths.tolist()], [pack(rank[places])], *([x] for x in words))
 
     return run
 
@@ -248,7 +251,7 @@ def _met(plan: Plan):
             raise RuntimeError("the rows came in another order at the second pass; checkpoint them first")
         row = words.to_pylist()[0]
         lengths, places = np.array(row["lengths"], np.int64), unpack(row["places"]).astype(np.int64)
-        vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+        vocabulary = np.concatenate((np.frombuffer(row["often"], np.uint64), unpack_sorted(row["once"])))
         train = np.repeat(np.array(row["train"], bool), lengths)
         buckets, packed = sums.column("bucket").to_numpy(), sums.column("n").to_pylist()
         order = np.argsort(buckets, kind="stable").tolist()
