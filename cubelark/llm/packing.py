@@ -135,7 +135,3 @@ def materialise(placed: DataFrame, docs: DataFrame, id_col="doc_id", text_col="t
 def query(spark, sf_dir: str) -> DataFrame:
     return place(C.read(spark, sf_dir, "documents"))
 
-
-def SHOW(out):
-    b = out.groupby("bin_id").agg(u=("n_tokens", "sum"), s=("bin_size", "first"))
-    print("fill", b.u.sum() / b.s.sum(), len(b), b.s.value_counts().to_dict(), (b.u <= b.s).all())
