@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cube import Cube
@@ -22,18 +22,28 @@ WHO = ["subject", "contrast"]
 
 @dataclass(frozen=True)
 class Control:
-    """Thresholds of an examination."""
+    """Settings of an examination. The defaults of thresholds, caps and tolerances."""
 
-    surprise: float = 2.5
-    tail_share: float = 0.01
-    influence: float = 1.0
+    surprise_energy: float = 2.5
+    surprise_tail: float = 0.01
+    residual: float = 3.0
+    influence_energy: float = 1.0
+    influence_max: float = 2.0
     coverage: float = 0.8
+    min_stability: float = 0.7
+    splits: int = 2
     cap: float = 8.0
     retain: int = 5
+    degeneracy: float = 1e-12
     rank: int = 32
     oversample: int = 8
 
 
+def split_of(control: Control) -> Column:
+    """The part, from 0, that a (sample, contrast) belongs to when stability is assessed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", "sample", "contrast")), 26, 7), 16, 10).cast("long") % control.splits
+
+
 def leave_one_out_fe(cube: Cube, min_subjects: int = 2) -> DataFrame:
     """Each subject against the fixed-effects mean of the others; all window sums of one shuffle.
 
@@ -114,37 +124,77 @@ def leave_one_out_ols(cube: Cube, design) -> DataFrame:
     return R.blocks(cube, ["beta"]).mapInPandas(run, ddl)
 
 
+def _split_share(control: Control, tests) -> Column:
+    """The share of the parts with data that pass; null if no part has any or stability isn't assessed."""
+    if not control.splits:
+        return F.lit(None).cast("double")
+    passed = sum((F.coalesce(F.when(t, 1.0).otherwise(0.0), F.lit(0.0)) for _, t in tests), F.lit(0.0))
+    known = sum((F.when(n > 0, 1.0).otherwise(0.0) for n, _ in tests), F.lit(0.0))
+    return F.when(known > 0, passed / known)
+
+
 def surprise(loo: DataFrame, control: Control = Control()) -> DataFrame:
-    """(subject, contrast): root mean capped squared residual, share beyond the threshold, and split-half stability."""
-    r, half = F.col("resid"), F.pmod(F.xxhash64("sample"), F.lit(2))
-    capped = F.least(r * r, F.lit(control.cap**2))
-    part = lambda k: F.sqrt(F.avg(F.when(half == k, capped)))
-    sums = loo.where("resid is not null").groupBy(*WHO).agg(F.count("*").alias("n"), F.sqrt(F.avg(capped)).alias("energy"), F.avg((F.abs(r) > control.surprise).cast("double")).alias("tail_extent"), part(0).alias("e0"), part(1).alias("e1"))
-    return sums.withColumn("stability", F.least("e0", "e1") / F.when(F.greatest("e0", "e1") > 0, F.greatest("e0", "e1"))).drop("e0", "e1")
-
-
-def agreement(loo: DataFrame) -> DataFrame:
-    """(subject, contrast): weighted correlation, cosine, gain through the origin and sign concordance with the others' map."""
-    w, y, e = F.col("pred_weight"), F.col("y"), F.col("expected")
-    sums = loo.where("expected is not null").groupBy(*WHO).agg(
+    """(subject, contrast): root mean capped squared residual, share at or beyond the residual threshold, and stability.
+
+    Stability is the share of the sample axis's parts in which both thresholds of a review are met.
+    """
+    r, cap = F.col("resid"), F.lit(control.cap**2)
+    capped, far = F.least(r * r, cap), (F.abs(r) >= control.residual).cast("double")
+    part = [F.when(F.col("__part") == k, F.lit(True)) for k in range(control.splits)]
+    more = [x for k, own in enumerate(part) for x in (F.count(own).alias(f"n{k}"), F.sqrt(F.avg(F.when(own, capped))).alias(f"e{k}"), F.avg(F.when(own, far)).alias(f"t{k}"))]
+    rows = loo.where("resid is not null").withColumn("__part", split_of(control) if control.splits else F.lit(0))
+    sums = rows.groupBy(*WHO).agg(F.count("*").alias("n"), F.sqrt(F.avg(capped)).alias("energy"), F.avg(far).alias("tail_extent"), *more)
+    tests = [(F.col(f"n{k}"), (F.col(f"e{k}") >= control.surprise_energy) & (F.col(f"t{k}") >= control.surprise_tail)) for k in range(control.splits)]
+    return sums.select(*WHO, "n", "energy", "tail_extent", _split_share(control, tests).alias("stability"))
+
+
+def agreement(loo: DataFrame, control: Control = Control()) -> DataFrame:
+    """(subject, contrast): weighted correlation, cosine, gain through the origin and sign concordance with the others' map.
+
+    A status says why a measure is null: the expected or the observed map has no spread (or no size).
+    """
+    w, y, e, c = F.col("pred_weight"), F.col("y"), F.col("expected"), F.col
+    sums = loo.where("resid is not null and expected is not null and pred_weight > 0").groupBy(*WHO).agg(
         F.sum(w).alias("sw"), F.sum(w * y).alias("sy"), F.sum(w * e).alias("se"), F.sum(w * y * y).alias("syy"), F.sum(w * e * e).alias("see"), F.sum(w * y * e).alias("sye"),
-        F.avg((F.signum(y) == F.signum(e)).cast("double")).alias("concordance"),
+        F.sum(w * (F.signum(y) == F.signum(e)).cast("double")).alias("sign"),
     )
-    c = F.col
     cov, vy, ve = c("sye") - c("sy") * c("se") / c("sw"), c("syy") - c("sy") * c("sy") / c("sw"), c("see") - c("se") * c("se") / c("sw")
-    return sums.select(*WHO, F.when((vy > 0) & (ve > 0), cov / F.sqrt(vy * ve)).alias("correlation"), F.when(c("syy") * c("see") > 0, c("sye") / F.sqrt(c("syy") * c("see"))).alias("cosine"), F.when(c("see") > 0, c("sye") / c("see")).alias("gain"), "concordance")
+    low = lambda x: x <= control.degeneracy
+    status = lambda expected, observed: F.when(low(expected), "degenerate_expected").when(low(observed), "degenerate_observed").otherwise("available")
+    return sums.select(
+        *WHO, F.when(~low(ve) & ~low(vy), cov / F.sqrt(vy * ve)).alias("correlation"), status(ve, vy).alias("correlation_status"),
+        F.when(~low(c("see")) & ~low(c("syy")), c("sye") / F.sqrt(c("syy") * c("see"))).alias("cosine"), status(c("see"), c("syy")).alias("cosine_status"),
+        F.when(~low(c("see")), c("sye") / c("see")).alias("gain"), F.when(low(c("see")), "degenerate_expected").otherwise("available").alias("gain_status"), (c("sign") / c("sw")).alias("concordance"),
+    )
 
 
-#: Upper edges of the influence histogram's bins.
-BINS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0)
+#: Upper edges of the influence histogram's bins, each with its edge; the last bin is open.
+BINS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 
 
-def influence(loo: DataFrame) -> DataFrame:
-    """(subject, contrast): energy and maximum of |delta_stat|, and the counts of its histogram."""
-    d = F.abs("delta_stat")
-    slot = sum(((d > b).cast("int") for b in BINS), F.lit(0))
+def influence(loo: DataFrame, control: Control = Control()) -> DataFrame:
+    """(subject, contrast): root mean capped square and maximum of |delta_stat|, its histogram, quantiles read off it, and stability."""
+    d, cap = F.abs("delta_stat"), F.lit(control.cap**2)
+    squared, slot = F.least(d * d, cap), sum(((d > b).cast("int") for b in BINS), F.lit(0))
     counts = [F.count(F.when(F.col("slot") == i, 1)).alias(f"bin{i}") for i in range(len(BINS) + 1)]
-    return loo.where("delta_stat is not null").withColumn("slot", slot).groupBy(*WHO).agg(F.sqrt(F.avg(d * d)).alias("influence_energy"), F.max(d).alias("influence_max"), *counts)
+    part = [F.when(F.col("__part") == k, F.lit(True)) for k in range(control.splits)]
+    more = [x for k, own in enumerate(part) for x in (F.count(own).alias(f"n{k}"), F.sqrt(F.avg(F.when(own, squared))).alias(f"e{k}"))]
+    rows = loo.where("delta_stat is not null").withColumn("slot", slot).withColumn("__part", split_of(control) if control.splits else F.lit(0))
+    sums = rows.groupBy(*WHO).agg(F.count("*").alias("n"), F.sqrt(F.avg(squared)).alias("influence_energy"), F.max(d).alias("influence_max"), *counts, *more)
+
+    def quantile(share):
+        upto, out = F.lit(0), F.col("influence_max")
+        steps = []
+        for i, edge in enumerate(BINS):
+            upto = upto + F.col(f"bin{i}")
+            steps.append((upto >= share * F.col("n"), F.lit(edge)))
+        for test, edge in reversed(steps):
+            out = F.when(test, edge).otherwise(out)
+        return out
+
+    tests = [(F.col(f"n{k}"), F.col(f"e{k}") >= control.influence_energy) for k in range(control.splits)]
+    names = [f"bin{i}" for i in range(len(BINS) + 1)]
+    return sums.select(*WHO, "n", "influence_energy", "influence_max", *names, *(quantile(q / 100).alias(f"q{q}") for q in (90, 95, 99)), _split_share(control, tests).alias("stability"))
 
 
 def influence_map(loo: DataFrame) -> DataFrame:
@@ -155,24 +205,68 @@ def influence_map(loo: DataFrame) -> DataFrame:
     return rows.groupBy(*CELL).agg(F.first("top").alias("max_influence"), F.min(F.when(tied, F.col("subject"))).alias("subject"), F.count(F.when(tied, 1)).alias("ties"), F.count("*").alias("eligible"))
 
 
-def review_queue(surprised: DataFrame, influenced: DataFrame, coverage: DataFrame, control: Control = Control()) -> DataFrame:
-    """Subjects by priority: the mean of their average-rank shares, with the reasons that apply."""
-    per = surprised.groupBy("subject").agg(F.max("energy").alias("energy"), F.max("tail_extent").alias("tail_extent"))
-    inf = influenced.groupBy("subject").agg(F.max("influence_energy").alias("influence"), F.max("influence_max").alias("influence_max"))
-    rows = coverage.join(per, "subject", "left").join(inf, "subject", "left")
-    share = lambda c: H.average_rank_share(c, [F.lit(1)])  # noqa: E731  the subject axis, one row each
-    rows = rows.withColumn("r1", share("energy")).withColumn("r2", share("influence"))
-    rows = rows.withColumn("priority", (F.coalesce("r1", F.lit(0.0)) + F.coalesce("r2", F.lit(0.0))) / 2).drop("r1", "r2")
-    reasons = [(F.col("tail_extent") > control.tail_share, "surprising"), (F.col("influence_max") > control.influence, "influential"), (F.col("coverage") < control.coverage, "low coverage")]
-    rows = rows.withColumn("reason", F.concat_ws("; ", *[F.when(c, F.lit(r)) for c, r in reasons]))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "subject"))).withColumn("retained", F.col("place") <= control.retain)
+def contrast_table(cube: Cube, loo: DataFrame, control: Control = Control()) -> DataFrame:
+    """(subject, contrast): coverage, mean standard error, surprise and agreement, a row for every pair of the axes.
+
+    Coverage is the share of all samples with a finite effect.
+    """
+    grid = cube.subjects.select(F.col("id").alias("subject")).crossJoin(F.broadcast(cube.contrasts.select(F.col("ord").alias("contrast_ord"), F.col("id").alias("contrast"))))  # the table's own rows
+    beta = X.finite("beta")
+    se = F.when(X.finite("var") > 0, F.sqrt("var")) if "var" in cube.assays else F.lit(None).cast("double")
+    cells = cube.df.groupBy(*WHO).agg(F.count(beta).alias("n_beta"), F.avg(se).alias("mean_se"))
+    made = surprise(loo, control).join(agreement(loo, control), WHO, "left") if "pred_weight" in loo.columns else surprise(loo, control)
+    out = grid.join(cells, WHO, "left").join(made, WHO, "left")
+    out = out.withColumn("coverage", F.coalesce("n_beta", F.lit(0)) / F.lit(float(cube.size("sample")))).withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumn("surprise_status", F.when(F.col("n") > 0, "available").otherwise("insufficient_samples")).drop("n_beta")
+
+
+def percentile(value: str) -> Column:
+    """Average rank from 0 to 1 over all rows, of one row for each subject; 1 for a single value."""
+    return H.average_rank_share(value, [F.lit(1)])
+
+
+def review_queue(contrasts: DataFrame, influenced: DataFrame, control: Control = Control()) -> DataFrame:
+    """Subjects by review priority, with what triggers a review, its source and reason, and whether they are retained.
+
+    ``contrasts`` is a ``contrast_table``, ``influenced`` an ``influence`` table. The
+    priority is the greatest percentile of quality (1 - coverage), surprise and
+    influence. A review needs a criterion met in full: coverage at most its
+    threshold; or energy, tail and stability of surprise in one contrast; or energy,
+    maximum and stability of influence. The source is the met criterion of the
+    greatest percentile, the reason names the first contrast that met it. Subjects
+    under review and the first ``retain`` are retained. One row for each subject, so
+    its ranks are one small window.
+    """
+    stable = F.col("stability").isNull() | (F.col("stability") >= control.min_stability)
+    surprising = F.coalesce((F.col("energy") >= control.surprise_energy) & (F.col("tail_extent") >= control.surprise_tail) & stable, F.lit(False))
+    influential = F.coalesce((F.col("influence_energy") >= control.influence_energy) & (F.col("influence_max") >= control.influence_max) & stable, F.lit(False))
+    gain = F.col("gain") if "gain" in contrasts.columns else F.lit(None).cast("double")
+    named = F.struct("contrast_ord", "contrast", gain.alias("gain"))
+    per = contrasts.groupBy("subject").agg(F.min("coverage").alias("coverage"), F.max("energy").alias("surprise_score"), F.min(F.when(surprising, named)).alias("__s"))
+    order = contrasts.select("contrast", "contrast_ord").distinct()
+    own = influenced.join(F.broadcast(order), "contrast").groupBy("subject").agg(F.max("influence_energy").alias("influence_score"), F.min(F.when(influential, F.struct("contrast_ord", "contrast"))).alias("__i"))
+    rows = per.join(own, "subject", "left").withColumn("quality_score", 1 - F.col("coverage"))
+    for name in ("quality", "surprise", "influence"):
+        rows = rows.withColumn(f"{name}_percentile", percentile(f"{name}_score"))
+    rows = rows.withColumn("priority", F.greatest("quality_percentile", "surprise_percentile", "influence_percentile"))
+    met = {"quality": F.coalesce(F.col("coverage") <= control.coverage, F.lit(False)), "surprise": F.col("__s").isNotNull(), "influence": F.col("__i").isNotNull()}
+    score = {k: F.when(t, F.coalesce(f"{k}_percentile", F.lit(-1.0))).otherwise(-2.0) for k, t in met.items()}
+    most = F.greatest(*score.values())
+    rows = rows.withColumn("source", F.when(most > -2, F.when(score["quality"] == most, "quality").when(score["surprise"] == most, "surprise").otherwise("influence")))
+    how = F.when(F.col("__s.gain") < 0, "negative gain in ").otherwise("surprise in ")
+    reason = F.when(F.col("source") == "quality", "coverage").when(F.col("source") == "surprise", F.concat(how, F.col("__s.contrast"))).when(F.col("source") == "influence", F.concat(F.lit("influence in "), F.col("__i.contrast")))
+    unknown = F.col("surprise_score").isNull() & F.col("influence_score").isNull() & F.col("coverage").isNull()
+    rows = rows.withColumn("status", F.when(unknown, "insufficient").when(F.col("source").isNotNull(), "review").otherwise("none")).withColumn("reason", reason)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("priority"), "subject")))
+    rows = rows.withColumn("retained", (F.col("status") == "review") | (F.col("place") <= control.retain))
+    return rows.select("subject", "coverage", "surprise_score", "influence_score", "quality_percentile", "surprise_percentile", "influence_percentile", "priority", "status", "source", "reason", "place", "retained")
 
 
 def coverage_of(cube: Cube) -> DataFrame:
-    """(subject, coverage): share of (sample, contrast) at which a subject can enter."""
-    whole = float(cube.size("sample") * cube.size("contrast"))
-    n = R.valid(cube.df).groupBy("subject").count()
-    return cube.subjects.select(F.col("id").alias("subject")).join(n, "subject", "left").select("subject", (F.coalesce("count", F.lit(0)) / whole).alias("coverage"))
+    """(subject, coverage): the least share over contrasts of samples with a finite effect; a missing cell has none."""
+    n = cube.df.groupBy(*WHO).agg(F.count(X.finite("beta")).alias("k")).groupBy("subject").agg(F.min("k").alias("k"), F.count("*").alias("c"))
+    share = F.when(F.col("c") == cube.size("contrast"), F.col("k")).otherwise(0) / F.lit(float(cube.size("sample")))
+    return cube.subjects.select(F.col("id").alias("subject")).join(n, "subject", "left").select("subject", F.coalesce(share, F.lit(0.0)).alias("coverage"))
 
 
 def geometry(loo: DataFrame, subjects: list[str], control: Control = Control(), dimensions: int = 3) -> pd.DataFrame:
@@ -209,9 +303,8 @@ def examine_group(cube: Cube, method: str = "meta:fe", control: Control = Contro
     if own.deletion not in ("closed_form", "tau2_fixed_full"):
         raise ValueError(f"{own.name} has no leave-one-out form here")
     loo = leave_one_out_fe(cube) if own.name == "meta:fe" else leave_one_out_re(cube)
-    out = {"subject_maps": loo, "group_maps": own.fun(cube), "surprise": surprise(loo, control), "influence": influence(loo), "influence_map": influence_map(loo), "coverage": coverage_of(cube)}
-    out["queue"] = review_queue(out["surprise"], out["influence"], out["coverage"], control)
+    out = {"subject_maps": loo, "group_maps": own.fun(cube), "contrasts": contrast_table(cube, loo, control), "influence": influence(loo, control), "influence_map": influence_map(loo), "coverage": coverage_of(cube)}
+    out["queue"] = review_queue(out["contrasts"], out["influence"], control)
     if own.name == "meta:fe":
-        out["agreement"] = agreement(loo)
         out["conclusions"] = conclusions(cube, loo, alpha)
     return out

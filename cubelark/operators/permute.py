@@ -1,8 +1,10 @@
 """Permutation reducers: sign flips and label permutations, max-T, TFCE and clusters.
 
 The matrix of flips is given or drawn from a hash of (seed, flip, subject), so it
-does not depend on partitioning. The observed labelling is no part of a null,
-and p = (1 + how many null values reach the observed) / (1 + flips).
+does not depend on partitioning. The observed labelling is no part of a null: a
+drawn matrix with ``include_observed`` gives its first row to it, a given matrix
+may begin with it, and such a first row is left out. Then
+p = (1 + how many null values reach the observed) / (1 + null values).
 """
 
 from __future__ import annotations
@@ -34,6 +36,17 @@ def drawn_groups(n_perm: int, group: np.ndarray, seed: int = 0) -> np.ndarray:
     return np.stack([rng.permutation(group) for _ in range(n_perm)]) if n_perm else np.empty((0, len(group)))
 
 
+def null_rows(given, drawn, identity: np.ndarray, include_observed: bool) -> np.ndarray:
+    """The rows of a given or drawn matrix that make up the null, without a first row for the observed labelling."""
+    if given is None:
+        mat = drawn()
+        return mat[1:] if include_observed else mat
+    mat = np.asarray(given, float)
+    if mat.ndim != 2 or mat.shape[1] != len(identity):
+        raise ValueError("the matrix needs a column for each subject")
+    return mat[1:] if len(mat) and (mat[0] == identity).all() else mat
+
+
 def t_of_sums(total, squares, n):
     """One-sample t, mean and se from sums; a variance just below zero is zero, and then there is no t."""
     with np.errstate(all="ignore"):
@@ -89,7 +102,7 @@ def _extreme(t, tail):
     return np.abs(t) if tail == "two.sided" else -t if tail == "less" else t
 
 
-def _run(cube, assess, n_perm: int, tail: str, include_observed: bool):
+def _run(cube, assess, n_perm: int, tail: str):
     """Two passes over the blocks: the largest null statistic of each flip, then the p-values."""
     from . import reduce as R
 
@@ -118,8 +131,7 @@ def _run(cube, assess, n_perm: int, tail: str, include_observed: bool):
                     hits = (null >= (observed - tiny)[None]).sum(0)
                 ranked = greatest[contrast]
                 over = len(ranked) - np.searchsorted(ranked, observed - tiny)
-                extra = int(include_observed)
-                p = lambda h: np.where(known, (1 + h + extra) / (1 + n_perm + extra), np.nan)
+                p = lambda h: np.where(known, (1 + h) / (1 + n_perm), np.nan)
                 table = pd.DataFrame({"beta": mean, "se": se, "t": t, "df": df, "p": S.tail_p(t, tail, df), "p_perm": p(hits), "p_fwer": p(over)})
                 table = table.astype(object).where(table.notna(), None)
                 table.insert(0, "contrast", contrast)
@@ -133,16 +145,15 @@ def _run(cube, assess, n_perm: int, tail: str, include_observed: bool):
 def one_sample(cube, design=None, n_perm: int = 5000, signs=None, seed: int = 0, alternative: str = "two.sided", min_subjects: int = 2, include_observed: bool = False, **spatial):
     """Sign-flip test with max-T; ``spatial`` 'tfce' or 'cluster' adds grid statistics (see spatial_onesample)."""
     if spatial.get("spatial", "none") != "none":
-        return spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, **spatial)
-    flips = np.asarray(signs, float) if signs is not None else drawn_signs(n_perm, cube.ids("subject"), seed)
-    if flips.shape[1] != cube.size("subject"):
-        raise ValueError("signs needs a column for each subject")
+        return spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, include_observed, **spatial)
+    subjects = cube.ids("subject")
+    flips = null_rows(signs, lambda: drawn_signs(n_perm, subjects, seed), np.ones(len(subjects)), include_observed)
 
     def assess(y):
         (t, mean, se), n, null = _one(y, flips, min_subjects)
         return (t, mean, se, n - 1), null
 
-    return _run(cube, assess, len(flips), alternative, include_observed)
+    return _run(cube, assess, len(flips), alternative)
 
 
 def two_sample(cube, design=None, group: str = "group", n_perm: int = 5000, group_mat=None, seed: int = 0, variance: str = "welch", alternative: str = "two.sided", min_group: int = 2, include_observed: bool = True):
@@ -154,82 +165,90 @@ def two_sample(cube, design=None, group: str = "group", n_perm: int = 5000, grou
     if variance not in ("welch", "pooled"):
         raise ValueError("variance is welch or pooled")
     own = np.array([float(x == levels[1]) for x in labels])
-    mat = np.asarray(group_mat, float) if group_mat is not None else drawn_groups(n_perm, own, seed)
-    return _run(cube, lambda y: _two(y, mat, own, min_group, variance == "pooled"), len(mat), alternative, include_observed)
+    mat = null_rows(group_mat, lambda: drawn_groups(n_perm, own, seed), own, include_observed)
+    return _run(cube, lambda y: _two(y, mat, own, min_group, variance == "pooled"), len(mat), alternative)
 
 
 # --- statistics on a voxel grid
 
 
-def neighbours(coords: np.ndarray, connectivity: int = 6) -> list[np.ndarray]:
-    """Neighbours (6, 18 or 26) of each voxel of an [n, 3] integer grid."""
+def neighbours(coords: np.ndarray, connectivity: int = 6) -> np.ndarray:
+    """Pairs [edge, 2] of neighbours (6, 18 or 26) among voxels of an [n, 3] integer grid, the lesser first."""
     reach = {6: 1, 18: 2, 26: 3}[connectivity]
-    place = {tuple(c): i for i, c in enumerate(coords.tolist())}
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= reach]
-    return [np.array([place[q] for s in steps if (q := (c[0] + s[0], c[1] + s[1], c[2] + s[2])) in place], int) for c in coords.tolist()]
-
-
-def clusters(x: np.ndarray, near: list[np.ndarray], threshold: float) -> np.ndarray:
+    coords = np.asarray(coords, np.int64)
+    if not len(coords):
+        return np.empty((0, 2), np.int64)
+    low = coords.min(0) - 1
+    size = coords.max(0) - low + 2
+    code = lambda c: ((c[:, 0] - low[0]) * size[1] + c[:, 1] - low[1]) * size[2] + c[:, 2] - low[2]
+    own = code(coords)
+    order = np.argsort(own)
+    ranked, pairs = own[order], []
+    for step in [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= reach and (a, b, c) > (0, 0, 0)]:
+        near = code(coords + step)
+        at = np.minimum(np.searchsorted(ranked, near), len(ranked) - 1)
+        hit = np.flatnonzero(ranked[at] == near)
+        pairs.append(np.sort(np.stack([hit, order[at[hit]]], 1), axis=1))
+    return np.concatenate(pairs)
+
+
+def _roots(parent: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    r = parent[nodes]
+    while (up := parent[r]) is not None and (up != r).any():
+        r = up
+    return r
+
+
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of all pairs at once: the greater root hangs below the lesser, until none differ."""
+    while len(a):
+        a, b = _roots(parent, a), _roots(parent, b)
+        apart = a != b
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(parent, b, a)
+
+
+def clusters(x: np.ndarray, edges: np.ndarray, threshold: float) -> np.ndarray:
     """Cluster of each node at or above the threshold, numbered from 1 by their least node; 0 elsewhere."""
-    label, count = np.zeros(len(x), int), 0
-    for i in np.flatnonzero(x >= threshold):
-        if label[i]:
-            continue
-        count += 1
-        label[i], stack = count, [i]
-        while stack:
-            for j in near[stack.pop()]:
-                if not label[j] and x[j] >= threshold:
-                    label[j] = count
-                    stack.append(j)
+    inside, parent = x >= threshold, np.arange(len(x))
+    own = edges[inside[edges[:, 0]] & inside[edges[:, 1]]]
+    _unite(parent, own[:, 0], own[:, 1])
+    nodes, label = np.flatnonzero(inside), np.zeros(len(x), int)
+    label[nodes] = np.unique(_roots(parent, nodes), return_inverse=True)[1] + 1
     return label
 
 
-def tfce(x: np.ndarray, near: list[np.ndarray], h: float = 2.0, e: float = 0.5, dh: float = 0.1) -> np.ndarray:
-    """Threshold-free enhancement: sum over heights i dh of extent^e height^h dh, by one union-find sweep downwards."""
+def tfce(x: np.ndarray, edges: np.ndarray, h: float = 2.0, e: float = 0.5, dh: float = 0.1) -> np.ndarray:
+    """Threshold-free enhancement: sum over heights i dh of extent^e height^h dh.
+
+    One sweep downwards: at each height the edges that come in join trees, and
+    extents are counted by root; all steps are array operations over what is above.
+    """
     top = float(np.nanmax(x, initial=0.0))
     out = np.zeros(len(x))
     levels = int(np.floor(top / dh + 1e-10))
     if levels < 1:
         return out
-    parent, size = np.arange(len(x)), np.ones(len(x))
-    since = np.zeros(len(x))  # what a root's members have gained, over its children's own
-    level = np.where(np.isfinite(x), np.minimum(np.floor(x / dh + 1e-10), levels), 0).astype(int)
+    level = np.where(np.isfinite(x), np.clip(np.floor(np.where(np.isfinite(x), x, 0) / dh + 1e-10), 0, levels), 0).astype(np.int64)
     order = np.argsort(-level, kind="stable")
-    seen = np.zeros(len(x), bool)
-    members = {}
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    at = 0
+    upto = np.searchsorted(-level[order], -np.arange(levels + 1), side="right")  # nodes at each level or above
+    joint = np.minimum(level[edges[:, 0]], level[edges[:, 1]]) if len(edges) else np.empty(0, np.int64)
+    by = np.argsort(-joint, kind="stable")
+    edge_upto = np.searchsorted(-joint[by], -np.arange(levels + 2), side="right")
+    parent, root = np.arange(len(x)), np.arange(len(x))
     for i in range(levels, 0, -1):
-        while at < len(order) and level[order[at]] >= i:
-            v = order[at]
-            seen[v], members[v] = True, [v]
-            for j in near[v]:
-                if seen[j]:
-                    a, b = root(v), root(j)
-                    if a != b:
-                        if size[a] < size[b]:
-                            a, b = b, a
-                        parent[b] = a
-                        size[a] += size[b]
-                        out[members[b]] += since[b] - since[a]
-                        members[a] += members.pop(b)
-            at += 1
-        height = min(i * dh, top)
-        for r in members:
-            since[r] += size[r] ** e * height**h * dh
-    for r, own in members.items():
-        out[own] += since[r]
+        own = edges[by[edge_upto[i + 1] : edge_upto[i]]]
+        above = order[: upto[i]]
+        if len(own):
+            _unite(parent, own[:, 0], own[:, 1])
+            root[above] = _roots(parent, above)
+            parent[above] = root[above]
+        r = root[above]
+        out[above] += np.bincount(r, minlength=len(x))[r] ** e * (min(i * dh, top) ** h * dh)
     return out
 
 
-def spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, spatial="tfce", spatial_stat="z", tfce_H=2.0, tfce_E=0.5, tfce_dh=0.1, connectivity=6, cluster_p=0.001, cluster_threshold=None, cluster_stat="mass", most_cells: int = 20_000_000):
+def spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, include_observed=False, spatial="tfce", spatial_stat="z", tfce_H=2.0, tfce_E=0.5, tfce_dh=0.1, connectivity=6, cluster_p=0.001, cluster_threshold=None, cluster_stat="mass", most_cells: int = 20_000_000):
     """Family-wise TFCE or cluster p-values: flips are dealt to tasks, the map of one contrast is sent to all.
 
     A null needs a whole map at once, so the samples of a contrast times the
@@ -241,7 +260,7 @@ def spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, spat
     subjects = cube.ids("subject")
     if len(axis) * len(subjects) > most_cells:
         raise ValueError("the map is larger than most_cells")
-    flips = np.asarray(signs, float) if signs is not None else drawn_signs(n_perm, subjects, seed)
+    flips = null_rows(signs, lambda: drawn_signs(n_perm, subjects, seed), np.ones(len(subjects)), include_observed)
     near = neighbours(axis[["i", "j", "k"]].to_numpy(int), connectivity)
     frames = []
     for contrast in cube.ids("contrast"):

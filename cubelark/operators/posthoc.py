@@ -72,40 +72,79 @@ def _adjust(cube: Cube, harmonic: bool, source=None, partitions=None) -> Cube:
     return cube.with_df(df)
 
 
-def _grouped(cube: Cube, group, p: str) -> DataFrame:
-    """Cells with a ``grp`` column from a sample attribute, null where there is none."""
-    names = [group] if group else ["feature_group", "spatial_group", "group", "parcel", "parcel_id"]
-    found = next((n for n in names if n in cube.samples.columns), None)
+#: The sample attributes that may hold groups, the first one present counts.
+GROUPS = ("feature_group", "spatial_group", "group", "parcel", "parcel_id")
+
+
+def groups_of(cube: Cube, group=None) -> DataFrame:
+    """(sample, grp) of the samples that have a group."""
+    found = next((n for n in ([group] if group else GROUPS) if n in cube.samples.columns), None)
     if found is None:
         raise ValueError("no grouping attribute on the samples")
-    own = cube.samples.select(F.col("id").alias("sample"), F.col(found).cast("string").alias("grp"))
-    return cube.df.join(own, "sample", "left").withColumn("__p", X.finite(F.col(f"`{p}`")))
+    return cube.samples.select(F.col("id").alias("sample"), F.col(found).cast("string").alias("grp")).where("grp is not null")
 
 
 def simes(df: DataFrame, keys) -> DataFrame:
-    """(keys, simes, size): least p(r) m / r over a group's finite p; size counts every member."""
+    """(keys, simes): least p(r) m / r over a group's finite p."""
     up = Window.partitionBy(*keys).orderBy(F.col("__p").asc_nulls_last())
-    ranked = df.withColumn("__r", F.row_number().over(up)).withColumn("__m", F.count("__p").over(Window.partitionBy(*keys)))
-    return ranked.groupBy(*keys).agg(F.min(F.col("__p") * F.col("__m") / F.col("__r")).alias("simes"), F.count("*").alias("size"))
+    ranked = df.where("__p is not null").withColumn("__r", F.row_number().over(up)).withColumn("__m", F.count("__p").over(Window.partitionBy(*keys)))
+    return ranked.groupBy(*keys).agg(F.min(F.col("__p") * F.col("__m") / F.col("__r")).alias("simes"))
 
 
 def fdr_spatial(cube: Cube, source=None, group=None) -> Cube:
     """Simes p of each group, weighted step-up over groups (weight: size / mean size), carried back to members.
 
-    The multiplier is the number of all groups and the rank runs over those
-    with a p. Samples without a group have no q.
+    A group's size counts all its samples of the axis, whether or not a family has
+    cells or p-values there; the multiplier is the number of all groups, and the
+    rank runs over those with a p. Samples without a group have no q. Every p
+    column of a fit is corrected.
     """
     cube, pairs = p_columns(cube, source)
-    p, q = pairs[0]
-    cells = _grouped(cube, group, p)
-    groups = simes(cells.where("grp is not null"), [*FAMILY, "grp"])
-    over = Window.partitionBy(*FAMILY)
-    weighted = groups.withColumn("n_groups", F.count("*").over(over)).withColumn("w", F.col("size") / F.avg("size").over(over)).withColumn("pw", F.col("simes") / F.col("w"))
-    up, down = over.orderBy(F.col("pw").asc_nulls_last(), "grp"), over.orderBy(F.col("pw").desc_nulls_last(), F.desc("grp")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = weighted.withColumn("a", F.when(F.col("pw").isNotNull(), F.col("n_groups") * F.col("pw") / F.row_number().over(up)))
-    ranked = ranked.withColumn("qg", F.when(F.col("pw").isNotNull(), F.least(F.lit(1.0), F.min("a").over(down))))
-    out = cells.join(ranked.select(*FAMILY, "grp", "qg"), [*FAMILY, "grp"], "left").drop("grp", "__p", q).withColumnRenamed("qg", q)
-    return cube.with_df(out)
+    own = groups_of(cube, group)
+    sizes = own.groupBy("grp").agg(F.count("*").alias("size"))
+    n_groups, mean = sizes.agg(F.count("*"), F.avg("size")).first()
+    df = cube.df.join(own, "sample", "left")
+    for p, q in pairs:
+        cells = df.drop(q).withColumn("__p", X.finite(F.col(f"`{p}`")))
+        weighted = simes(cells.where("grp is not null"), [*FAMILY, "grp"]).join(sizes, "grp").withColumn("pw", F.col("simes") * F.lit(mean) / F.col("size"))
+        over = Window.partitionBy(*FAMILY)
+        up, down = over.orderBy("pw", "grp"), over.orderBy(F.desc("pw"), F.desc("grp")).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = weighted.withColumn("a", F.lit(n_groups) * F.col("pw") / F.row_number().over(up))
+        ranked = ranked.withColumn("__q", F.least(F.lit(1.0), F.min("a").over(down))).select(*FAMILY, "grp", "__q")
+        df = cells.join(ranked, [*FAMILY, "grp"], "left").drop("__p").withColumnRenamed("__q", q)
+    return cube.with_df(df.select(*[c for c in cube.df.columns if c not in {q for _, q in pairs}], *[f"`{q}`" for _, q in pairs]))
+
+
+def _null_of(counts: np.ndarray, mids: np.ndarray, middle: float, spread: float) -> tuple[float, float]:
+    """Central matching: mean and sd of a normal whose log density fits log counts near the middle, by Poisson regression."""
+    own = np.abs(mids - middle) <= 1.5 * spread
+    x = np.stack([np.ones(own.sum()), mids[own], mids[own] ** 2], 1)
+    b = np.linalg.lstsq(x, np.log(counts[own] + 0.5), rcond=None)[0]
+    for _ in range(40):
+        mu = np.exp(np.clip(x @ b, -30, 30))
+        step = np.linalg.lstsq(x * np.sqrt(mu)[:, None], (counts[own] - mu) / np.sqrt(mu), rcond=None)[0]
+        b = b + step
+        if np.abs(step).max() < 1e-8:
+            break
+    if not b[2] < 0:
+        return middle, spread
+    return float(-b[1] / (2 * b[2])), float(np.sqrt(-1 / (2 * b[2])))
+
+
+def empirical_null(z: DataFrame) -> tuple[float, float]:
+    """``efron_null`` of all values of column z: two quantiles and one histogram, summed in tasks."""
+    z = z.select(X.finite("z").alias("z")).where("z is not null")
+    if z.limit(500).count() < 500:
+        return efron_null(np.array([r.z for r in z.collect()]))  # fewer than 500
+    median = lambda df, c: float(df.agg(F.percentile_approx(c, 0.5, 100_000)).first()[0])
+    middle = median(z, "z")
+    spread = 1.4826 * median(z.select(F.abs(F.col("z") - middle).alias("d")), "d") or 1.0
+    low, width = middle - 4 * spread, 8 * spread / 40
+    slot = F.least(F.lit(39), F.greatest(F.lit(0), F.floor((F.col("z") - low) / width))).cast("int")
+    counts = np.zeros(40)
+    for r in z.groupBy(slot.alias("slot")).count().collect():
+        counts[r["slot"]] = r["count"]
+    return _null_of(counts, low + width * (np.arange(40) + 0.5), middle, spread)
 
 
 def efron_null(z: np.ndarray) -> tuple[float, float]:
@@ -118,54 +157,46 @@ def efron_null(z: np.ndarray) -> tuple[float, float]:
     mad = 1.4826 * float(np.median(np.abs(z - middle)))
     if len(z) < 500:
         return middle, mad or 1.0
-    counts, edges = np.histogram(np.clip(z, middle - 4 * (mad or 1), middle + 4 * (mad or 1)), bins=40)
-    mids = (edges[1:] + edges[:-1]) / 2
-    own = np.abs(mids - middle) <= 1.5 * (mad or 1)
-    x = np.stack([np.ones(own.sum()), mids[own], mids[own] ** 2], 1)
-    b = np.linalg.lstsq(x, np.log(counts[own] + 0.5), rcond=None)[0]
-    for _ in range(40):
-        mu = np.exp(np.clip(x @ b, -30, 30))
-        step = np.linalg.lstsq(x * np.sqrt(mu)[:, None], (counts[own] - mu) / np.sqrt(mu), rcond=None)[0]
-        b = b + step
-        if np.abs(step).max() < 1e-8:
-            break
-    if not b[2] < 0:
-        return middle, mad or 1.0
-    return float(-b[1] / (2 * b[2])), float(np.sqrt(-1 / (2 * b[2])))
+    mad = mad or 1.0
+    counts, edges = np.histogram(np.clip(z, middle - 4 * mad, middle + 4 * mad), bins=40, range=(middle - 4 * mad, middle + 4 * mad))
+    return _null_of(counts, (edges[1:] + edges[:-1]) / 2, middle, mad)
 
 
 def fdr_sabha(cube: Cube, source=None, group=None, statistic: str = "auto", alpha: float = 0.05, tau: float = 0.5, lam: float = 1.0, neighbors: DataFrame | None = None, min_pi0: float = 0.05, empirical_null: bool = True) -> Cube:
     """Structure-adaptive weights from Storey's null share by group, smoothed over neighbouring groups.
 
-    p mode is all windows. z mode first re-centres z by an empirical null whose
-    fit uses a histogram summary of at most 100,000 values drawn by hash.
-    ``neighbors`` is (a, b) pairs of groups. Adds q, reject, weight and pi0.
+    p mode is all windows. z mode first re-centres z by an empirical null of all
+    values. ``neighbors`` is (a, b) pairs of groups. Adds q, reject, weight and pi0;
+    of several p columns of a fit each has its own, named after the term.
     """
     if statistic == "z" or (statistic == "auto" and "z" in cube.assays and "p" not in cube.assays):
         cube = V.require(cube, ["z"])
         mu, sd = 0.0, 1.0
         if empirical_null:
-            drawn = cube.df.select(X.finite("z").alias("z"), F.xxhash64(*("sample", "subject", "contrast")).alias("h")).where("z is not null").orderBy("h").limit(100_000)
-            mu, sd = efron_null(np.array([r.z for r in drawn.select("z").collect()]))
+            mu, sd = empirical_null(cube.df)
         cube = cube.with_df(cube.df.drop("p").withColumn("p", X.normal_p((F.col("z") - mu) / sd)))
         source = "p"
     cube, pairs = p_columns(cube, source)
-    p, q = pairs[0]
-    cells = _grouped(cube, group, p)
-    pi = cells.where("grp is not null").groupBy(*FAMILY, "grp").agg(F.try_divide(F.count(F.when(F.col("__p") > tau, 1)).cast("double"), (1 - tau) * F.count("__p")).alias("raw"))
-    pi = pi.withColumn("pi", F.least(F.lit(1.0), F.coalesce("raw", F.lit(1.0)))).drop("raw")
-    if neighbors is not None:
-        both = neighbors.select(F.col("a").alias("grp"), F.col("b").alias("near")).union(neighbors.select("b", "a")).distinct()
-        near = both.join(pi.select(*FAMILY, F.col("grp").alias("near"), F.col("pi").alias("other")), "near").groupBy(*FAMILY, "grp").agg(F.avg("other").alias("around"))
-        pi = pi.join(near, [*FAMILY, "grp"], "left").withColumn("pi", F.when(F.col("around").isNotNull(), (F.col("pi") + lam * F.col("around")) / (1 + lam)).otherwise(F.col("pi"))).drop("around")
-    pi = pi.withColumn("pi0", F.least(F.lit(1.0), F.greatest(F.lit(min_pi0), F.col("pi")))).drop("pi")
-    over = Window.partitionBy(*FAMILY)
-    rows = cells.join(pi, [*FAMILY, "grp"], "left").withColumn("w", F.when(F.col("pi0").isNotNull(), 1 / F.col("pi0")).otherwise(1.0))
-    has = F.col("__p").isNotNull()
-    rows = rows.withColumn("weight", F.col("w") * F.count("__p").over(over) / F.sum(F.when(has, F.col("w"))).over(over))
-    rows = rows.withColumn("__pw", F.when(has, F.least(F.lit(1.0), F.col("__p") / F.col("weight"))))
-    rows = step_up(rows, "__p", "__q", ordered="__pw").drop(q).withColumnRenamed("__q", q).withColumn("reject", (F.col(q) <= alpha).cast("double"))
-    return cube.with_df(rows.drop("grp", "__p", "__pw", "w"))
+    own = groups_of(cube, group)
+    both = None if neighbors is None else neighbors.select(F.col("a").alias("grp"), F.col("b").alias("near")).union(neighbors.select("b", "a")).distinct()
+    df = cube.df
+    for p, q in pairs:
+        tail = q.removeprefix("q").removeprefix("_coef")
+        cells = df.join(own, "sample", "left").withColumn("__p", X.finite(F.col(f"`{p}`")))
+        pi = cells.where("grp is not null").groupBy(*FAMILY, "grp").agg(F.try_divide(F.count(F.when(F.col("__p") > tau, 1)).cast("double"), (1 - tau) * F.count("__p")).alias("raw"))
+        pi = pi.withColumn("pi", F.least(F.lit(1.0), F.coalesce("raw", F.lit(1.0)))).drop("raw")
+        if both is not None:
+            near = both.join(pi.select(*FAMILY, F.col("grp").alias("near"), F.col("pi").alias("other")), "near").groupBy(*FAMILY, "grp").agg(F.avg("other").alias("around"))
+            pi = pi.join(near, [*FAMILY, "grp"], "left").withColumn("pi", F.when(F.col("around").isNotNull(), (F.col("pi") + lam * F.col("around")) / (1 + lam)).otherwise(F.col("pi"))).drop("around")
+        pi = pi.withColumn("__pi0", F.least(F.lit(1.0), F.greatest(F.lit(min_pi0), F.col("pi")))).drop("pi")
+        over = Window.partitionBy(*FAMILY)
+        rows = cells.join(pi, [*FAMILY, "grp"], "left").withColumn("__w", F.when(F.col("__pi0").isNotNull(), 1 / F.col("__pi0")).otherwise(1.0))
+        has = F.col("__p").isNotNull()
+        rows = rows.withColumn("__weight", F.col("__w") * F.count("__p").over(over) / F.sum(F.when(has, F.col("__w"))).over(over))
+        rows = rows.withColumn("__pw", F.when(has, F.least(F.lit(1.0), F.col("__p") / F.col("__weight"))))
+        made = {q: F.col("__q"), f"reject{tail}": (F.col("__q") <= alpha).cast("double"), f"weight{tail}": F.col("__weight"), f"pi0{tail}": F.col("__pi0")}
+        df = step_up(rows, "__p", "__q", ordered="__pw").select(*[f"`{c}`" for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+    return cube.with_df(df)
 
 
 def cluster_fdr(clusters: DataFrame, keys=FAMILY) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions import columns as X
 from ..functions import formula as M
 from ..functions import special as S
 from ..registry import Reducer, reducer, reducers
+from . import gram as G
 from . import lmm as L
 from . import permute as P
 from . import verbs as V
@@ -228,9 +229,54 @@ def _regression(cube: Cube, design: M.Design, kind: str, min_subjects: int = 2,
             out.insert(0, "sample", pdf["sample"].to_numpy())
             yield out
 
+    if kind == "ols" and terms[0] == "(Intercept)" and p <= G.MOST_TERMS:
+        return _full(cube, _least_squares(cube, names, x, known, terms, tri, columns, ddl, max(min_subjects, p + 1)))
     return _full(cube, blocks(cube, assays).mapInPandas(run, ddl))
 
 
+def _least_squares(cube: Cube, names, x, known, terms, tri, columns, ddl, least: int) -> DataFrame:
+    """The OLS columns of ``_regression`` from sums that the JVM takes; the design is as long as the subject axis."""
+    xs = [f"__x{i}" for i in range(1, len(terms))]
+    axis = cube.df.sparkSession.createDataFrame([(s, *map(float, row[1:])) for s, row, ok in zip(names, x, known) if ok], "subject string" + "".join(f", {c} double" for c in xs))
+    cells = cube.df.select(*CELL, "subject", X.finite("beta").alias("__y")).join(F.broadcast(axis), "subject")
+
+    def run(batches):
+        for pdf in batches:
+            n, m, v = G.stacked(pdf, len(terms))
+            got = G.solve(n, m, v)
+            se, t, p = G.statistics(got)
+            parts = [got["coef"], se, t, p, got["sigma2"], got["df"], n, *(got["cov"][:, i, j] for i, j in tri)]
+            table = np.column_stack([np.asarray(a, float) for a in parts])
+            table[~(got["good"] & (n >= least))] = np.nan
+            table[:, columns.index("n_obs")] = n
+            out = pd.DataFrame(table, columns=columns).astype(object).where(~np.isnan(table), None)
+            out.insert(0, "contrast", pdf["contrast"].to_numpy())
+            out.insert(0, "sample", pdf["sample"].to_numpy())
+            yield out
+
+    return G.sums(cells, CELL, "__y", xs).mapInPandas(run, ddl)
+
+
+def coef_array(cube: Cube, prefix: str = "coef:") -> DataFrame:
+    """(sample, contrast, term, value): the coefficient assays of a fit, one row for each term."""
+    own = [a for a in cube.assays if a.startswith(prefix)]
+    if not own:
+        raise ValueError(f"no assays begin with {prefix!r}")
+    made = F.explode(F.array(*[F.struct(F.lit(a.removeprefix(prefix)).alias("term"), F.col(f"`{a}`").alias("value")) for a in own])).alias("t")
+    return cube.df.select("sample", "contrast", made).select("sample", "contrast", "t.term", "t.value")
+
+
+def coef_cov_tri(cube: Cube, contrast: str | None = None) -> DataFrame:
+    """(sample, contrast, term_a, term_b, cov): the packed upper triangle of a fit's covariances, of all contrasts or of one."""
+    terms = [a.removeprefix("coef:") for a in cube.assays if a.startswith("coef:")]
+    pairs = [(a, b) for i, a in enumerate(terms) for b in terms[i:] if f"cov:{a}:{b}" in cube.assays]
+    if not pairs:
+        raise ValueError("the fit has no covariances; ask for return_cov='tri'")
+    made = F.explode(F.array(*[F.struct(F.lit(a).alias("term_a"), F.lit(b).alias("term_b"), F.col(f"`cov:{a}:{b}`").alias("cov")) for a, b in pairs])).alias("t")
+    rows = cube.df if contrast is None else cube.df.where(F.col("contrast") == contrast)
+    return rows.select("sample", "contrast", made).select("sample", "contrast", "t.*")
+
+
 def _design(cube: Cube, design, formula):
     if isinstance(design, M.Design):
         return design

@@ -13,6 +13,7 @@ from .functions import formula as M
 from .operators import catalog as G
 from .operators import examine as E
 from .operators import export, maps
+from .operators import frames as N
 from .operators import posthoc as H
 from .operators import reduce as R
 from .operators import verbs as V
@@ -336,15 +337,9 @@ def combine_stouffer(spark, sf):
     return out(R.stouffer(z_cube(spark, sf), p=False), *CELL, ("z", "z", 5), "n_eff")
 
 
-@query("combine_fisher", f"""WITH {CELLS}, {GRID}, {PCELLS}, s AS (SELECT sample, contrast, -2 * sum(ln(p)) AS x, count(*) AS k FROM ps WHERE subject::INT <= 8 GROUP BY ALL)
-SELECT sample, contrast, round(x, 5) AS chi2, 2.0::DOUBLE * k AS df, round(least(1, exp(-x / 2) * list_sum(list_transform(range(k), lambda i: exp(i * ln(x / 2) - lgamma(i + 1))))), 8) AS p, coalesce(k, 0) AS n_eff FROM grid LEFT JOIN s USING (sample, contrast)""")
+@query("combine_fisher", f"""WITH {CELLS}, {GRID}, {PCELLS}, s AS (SELECT sample, contrast, -2 * sum(ln(p)) AS x, count(*) AS k FROM ps GROUP BY ALL)
+SELECT sample, contrast, round(x, 5) AS chi2, 2.0::DOUBLE * k AS df, round(least(1, list_sum(list_transform(range(k), lambda i: exp(i * ln(x / 2) - lgamma(i + 1) - x / 2)))), 8) AS p, coalesce(k, 0) AS n_eff FROM grid LEFT JOIN s USING (sample, contrast)""")
 def combine_fisher(spark, sf):
-    c = p_cube(spark, sf)
-    return out(R.fisher(c.with_df(c.df.where("cast(subject AS int) <= 8"))), *CELL, ("chi2", "chi2", 5), "df", ("p", "p", 8), "n_eff")
-
-
-@query("combine_fisher_whole")
-def combine_fisher_whole(spark, sf):
     return out(R.fisher(p_cube(spark, sf)), *CELL, ("chi2", "chi2", 5), "df", ("p", "p", 8), "n_eff")
 
 
@@ -399,6 +394,42 @@ def joint_test(spark, sf):
     return out(R.joint_test(fit, [{"acct": 1.0}]), *CELL, ("F", "F", 4))
 
 
+@query("coef_array", f"""{_LINE}, f AS (SELECT sample, contrast, regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1 FROM x GROUP BY ALL)
+SELECT sample, contrast, '(Intercept)' AS term, round(b0, 3) AS value FROM f UNION ALL SELECT sample, contrast, 'acct', round(b1, 3) FROM f""")
+def coef_array(spark, sf):
+    return out(R.coef_array(R.reduce(account_cube(spark, sf), "ols:voxelwise", "~ acct")), *CELL, "term", ("value", "value", 3))
+
+
+@query("coef_cov_tri", f"""{_LINE}, f AS (SELECT sample, contrast, (regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) AS s2, regr_sxx(y, x) AS sxx, regr_avgx(y, x) AS mx, count(*) AS n FROM x GROUP BY ALL)
+SELECT sample, contrast, '(Intercept)' AS term_a, '(Intercept)' AS term_b, round(s2 * (1.0 / n + mx * mx / sxx) / 1e6, 5) AS cov FROM f UNION ALL SELECT sample, contrast, '(Intercept)', 'acct', round(-s2 * mx / sxx / 1e6, 5) FROM f
+UNION ALL SELECT sample, contrast, 'acct', 'acct', round(s2 / sxx / 1e6, 5) FROM f""")
+def coef_cov_tri(spark, sf):
+    fit = R.reduce(account_cube(spark, sf), "ols:voxelwise", "~ acct", return_cov="tri")
+    return out(R.coef_cov_tri(fit), *CELL, "term_a", "term_b", ("cov", F.col("cov") / 1e6, 5))
+
+
+def brand_frame(spark, sf):
+    """(frame, observations): suppliers as observations, brand and flag as feature."""
+    c = account_cube(spark, sf)
+    frame = c.df.select(F.col("subject").alias("observation"), F.concat_ws(":", "sample", "contrast").alias("feature"), "beta", F.when(F.col("var") > 0, F.col("var")).alias("variance"))
+    return frame, c.subjects.select(F.col("id").alias("observation"), "acct", (F.col("s_nationkey") % 5).alias("area"))
+
+
+@query("frame_ols", f"""{_LINE}, f AS (SELECT sample || ':' || contrast AS feature, count(*) AS n, regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1, regr_sxx(y, x) AS sxx, regr_avgx(y, x) AS mx, (regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) AS s2 FROM x GROUP BY ALL)
+SELECT feature, '(Intercept)' AS term, round(b0, 3) AS estimate, round(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 3) AS std_error, round(b0 / sqrt(s2 * (1.0 / n + mx * mx / sxx)), 5) AS statistic FROM f
+UNION ALL SELECT feature, 'acct', round(b1, 3), round(sqrt(s2 / sxx), 3), round(b1 / sqrt(s2 / sxx), 5) FROM f""")
+def frame_ols(spark, sf):
+    made = N.fit_group(*brand_frame(spark, sf), "~ acct", method="ols:voxelwise").result_frame()
+    return out(made, "feature", "term", ("estimate", "estimate", 3), ("std_error", "std_error", 3), ("statistic", "statistic", 5))
+
+
+@query("frame_random_intercept")
+def frame_random_intercept(spark, sf):
+    frame, observations = brand_frame(spark, sf)
+    scaled = frame.withColumn("beta", F.col("beta") / 1000).withColumn("variance", F.col("variance") / 1e6)
+    return out(N.fit_group(scaled, observations, "~ acct", group="area").result_frame(), "feature", "term", ("estimate", "estimate", 2))
+
+
 @query("two_sample", f"""WITH {CELLS}, x AS (SELECT sample, contrast, beta AS y, s_nationkey < 12 AS low FROM cells JOIN supplier ON s_suppkey::VARCHAR = subject) SELECT sample, contrast, round(avg(y) FILTER (low) - avg(y) FILTER (NOT low), 3) AS effect FROM x GROUP BY ALL""")
 def two_sample(spark, sf):
     c = brand_cube(spark, sf)
@@ -406,10 +437,9 @@ def two_sample(spark, sf):
     return out(R.two_sample(c, "side", "high", "low").df, *CELL, ("effect", "coef:sidelow", 3))
 
 
-def embedding_cube(spark, sf, first: int | None = None) -> Cube:
-    """Dimensions as samples, all vectors (or the first) as subjects; centred components as the measure."""
-    vectors = read(spark, sf, "embeddings")
-    rows = (vectors if first is None else vectors.where(F.col("vec_id") < first)).select(F.col("vec_id").cast("string").alias("subject"), F.posexplode("embedding").alias("sample", "x"))
+def embedding_cube(spark, sf) -> Cube:
+    """Dimensions as samples, all vectors as subjects; centred components as the measure."""
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("subject"), F.posexplode("embedding").alias("sample", "x"))
     return S.from_table(rows.select(F.col("sample").cast("string").alias("sample"), "subject", F.col("x").cast("double").alias("beta")), dedupe=False)
 
 
@@ -418,28 +448,27 @@ def sign_table(n: int = 64, width: int = 16):
     return [[1.0 if bin((i * 37 + 11) & (j * 29 + 5)).count("1") % 2 == 0 else -1.0 for j in range(width)] for i in range(n)]
 
 
-@query("perm_onesample", """WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE vec_id < 16),
+@query("perm_onesample", """WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS y FROM embeddings),
 f AS (SELECT i, vec_id, CASE WHEN bit_count(((i * 37 + 11) & (k * 29 + 5))::INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM range(64) t(i), (SELECT vec_id, row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS k FROM (SELECT DISTINCT vec_id FROM x))),
 o AS (SELECT d, sum(y) AS t, sum(y * y) AS q, count(*)::DOUBLE AS n FROM x GROUP BY 1), ot AS (SELECT d, q, n, (t / n) / sqrt((q - t * t / n) / (n - 1) / n) AS t FROM o),
 z AS (SELECT i, d, sum(s * y) AS t FROM x JOIN f USING (vec_id) GROUP BY ALL), zt AS (SELECT i, d, ot.t AS obs, (z.t / n) / sqrt((q - z.t * z.t / n) / (n - 1) / n) AS t FROM z JOIN ot USING (d)), m AS (SELECT i, max(abs(t)) AS m FROM zt GROUP BY 1)
 SELECT d::VARCHAR AS sample, round(obs, 6) AS t, round((1 + count(*) FILTER (abs(zt.t) >= abs(obs) - 1e-12 * greatest(1, abs(obs)))) / 65.0, 8) AS p_perm, round((1 + count(*) FILTER (m >= abs(obs) - 1e-12 * greatest(1, abs(obs)))) / 65.0, 8) AS p_fwer FROM zt JOIN m USING (i) GROUP BY d, obs""")
 def perm_onesample(spark, sf):
-    made = R.reduce(embedding_cube(spark, sf, first=16), "perm:onesample", signs=sign_table()).df
-    return out(made, "sample", ("t", "t", 6), ("p_perm", "p_perm", 8), ("p_fwer", "p_fwer", 8))
-
-
-@query("perm_onesample_whole")
-def perm_onesample_whole(spark, sf):
     c = embedding_cube(spark, sf)
     made = R.reduce(c, "perm:onesample", signs=sign_table(width=c.subjects.count())).df
     return out(made, "sample", ("t", "t", 6), ("p_perm", "p_perm", 8), ("p_fwer", "p_fwer", 8))
 
 
-@query("perm_twosample")
+@query("perm_twosample", """WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS y FROM embeddings), o AS (SELECT d, vec_id % 2 = 1 AS g, y FROM x),
+f AS (SELECT i, vec_id, bit_count(((i * 37 + 11) & (k * 29 + 5))::INTEGER) % 2 = 0 AS g FROM range(64) t(i), (SELECT vec_id, row_number() OVER (ORDER BY vec_id::VARCHAR) - 1 AS k FROM (SELECT DISTINCT vec_id FROM x))),
+ot AS (SELECT d, (avg(y) FILTER (g) - avg(y) FILTER (NOT g)) / sqrt(var_samp(y) FILTER (g) / count(*) FILTER (g) + var_samp(y) FILTER (NOT g) / count(*) FILTER (NOT g)) AS obs FROM o GROUP BY 1),
+zt AS (SELECT i, d, (avg(y) FILTER (g) - avg(y) FILTER (NOT g)) / sqrt(var_samp(y) FILTER (g) / count(*) FILTER (g) + var_samp(y) FILTER (NOT g) / count(*) FILTER (NOT g)) AS t FROM x JOIN f USING (vec_id) GROUP BY ALL), m AS (SELECT i, max(abs(t)) AS m FROM zt GROUP BY 1)
+SELECT d::VARCHAR AS sample, round(obs, 6) AS t, round((1 + count(*) FILTER (abs(t) >= abs(obs) - 1e-12 * greatest(1, abs(obs)))) / 65.0, 8) AS p_perm, round((1 + count(*) FILTER (m >= abs(obs) - 1e-12 * greatest(1, abs(obs)))) / 65.0, 8) AS p_fwer FROM zt JOIN ot USING (d) JOIN m USING (i) GROUP BY d, obs""")
 def perm_twosample(spark, sf):
     c = embedding_cube(spark, sf)
     c = c.with_(subjects=c.subjects.withColumn("group", F.col("id").cast("int") % 2))
-    return out(R.reduce(c, "perm:twosample", n_perm=200, seed=3).df, "sample", ("t", "t", 6), ("p_perm", "p_perm", 8), ("p_fwer", "p_fwer", 8))
+    labels = [[(x + 1) / 2 for x in row] for row in sign_table(width=c.subjects.count())]
+    return out(R.reduce(c, "perm:twosample", group_mat=labels).df, "sample", ("t", "t", 6), ("p_perm", "p_perm", 8), ("p_fwer", "p_fwer", 8))
 
 
 def _grid(c: Cube) -> Cube:
@@ -466,25 +495,16 @@ def combine_lancaster(spark, sf):
     return out(R.lancaster(p_cube(spark, sf)), *CELL, ("chi2", "chi2", 4), "df", "n_eff")
 
 
-def repeated_cube(spark, sf, first: int | None = None):
+def repeated_cube(spark, sf):
     c = brand_cube(spark, sf)
-    if first is not None:
-        c = V.subset(c, sample=list(range(1, first + 1)))
     return c.with_df(c.df.withColumn("beta", F.col("beta") / 1000).withColumn("var", F.col("var") / 1e6))
 
 
-@query("lmm_ri", f"""WITH {CELLS}, k AS (SELECT sample FROM (SELECT sample, row_number() OVER (ORDER BY sample) AS r FROM (SELECT DISTINCT sample FROM cells)) WHERE r <= 6),
-c AS (SELECT sample, subject, beta / 1000 AS y FROM cells WHERE sample IN (FROM k)), n AS (SELECT count(DISTINCT subject) AS n, (SELECT count(DISTINCT contrast) FROM cells) AS k FROM cells),
+@query("lmm_ri", f"""WITH {CELLS}, k AS (SELECT DISTINCT sample FROM cells), c AS (SELECT sample, subject, beta / 1000 AS y FROM cells), n AS (SELECT count(DISTINCT subject) AS n, (SELECT count(DISTINCT contrast) FROM cells) AS k FROM cells),
 o AS (SELECT sample FROM c GROUP BY 1 HAVING count(y) = (SELECT n * k FROM n)), m AS (SELECT sample, subject, avg(y) AS m, sum(y * y) - count(*) * avg(y) ** 2 AS within FROM c WHERE sample IN (FROM o) GROUP BY ALL),
 a AS (SELECT sample, avg(m) AS mean, var_samp(m) AS vb, sum(within) AS ssw, count(*) AS n FROM m GROUP BY 1)
 SELECT k.sample, round(mean, 3) AS b0, round(sqrt(CASE WHEN vb * kk > ssw / (a.n * (kk - 1)) THEN vb / a.n ELSE ((a.n - 1) * kk * vb + ssw) / (a.n * kk - 1) / (a.n * kk) END), 3) AS se FROM k LEFT JOIN a ON a.sample = k.sample, (SELECT k AS kk FROM n)""")
 def lmm_ri(spark, sf):
-    made = R.reduce(repeated_cube(spark, sf, first=6), "lmm:ri").df
-    return out(made, "sample", ("b0", "coef:(Intercept)", 3), ("se", "se_coef:(Intercept)", 3))
-
-
-@query("lmm_ri_whole")
-def lmm_ri_whole(spark, sf):
     made = R.reduce(repeated_cube(spark, sf), "lmm:ri").df
     return out(made, "sample", ("b0", "coef:(Intercept)", 3), ("se", "se_coef:(Intercept)", 3))
 
@@ -531,9 +551,10 @@ def grouped_p_cube(spark, sf):
     return c.with_(samples=c.samples.withColumn("parcel", F.substring("id", 7, 1)))
 
 
-@query("fdr_spatial", f"""WITH {CELLS}, {PCELLS}, g AS (SELECT *, substring(sample, 7, 1) AS grp, row_number() OVER (PARTITION BY subject, contrast, substring(sample, 7, 1) ORDER BY p) AS r, count(*) OVER (PARTITION BY subject, contrast, substring(sample, 7, 1)) AS m FROM ps),
-s AS (SELECT subject, contrast, grp, min(p * m / r) AS simes, count(*) AS size FROM g GROUP BY ALL), w AS (SELECT *, count(*) OVER f AS ng, simes / (size / avg(size) OVER f) AS pw FROM s WINDOW f AS (PARTITION BY subject, contrast)),
-k AS (SELECT *, row_number() OVER (PARTITION BY subject, contrast ORDER BY pw, grp) AS r FROM w), q AS (SELECT *, least(1, min(ng * pw / r) OVER (PARTITION BY subject, contrast ORDER BY r DESC)) AS q FROM k)
+@query("fdr_spatial", f"""WITH {CELLS}, {PCELLS}, z AS (SELECT substring(sample, 7, 1) AS grp, count(*) AS size FROM (SELECT DISTINCT sample FROM cells) GROUP BY 1),
+g AS (SELECT *, substring(sample, 7, 1) AS grp, row_number() OVER (PARTITION BY subject, contrast, substring(sample, 7, 1) ORDER BY p) AS r, count(*) OVER (PARTITION BY subject, contrast, substring(sample, 7, 1)) AS m FROM ps),
+s AS (SELECT subject, contrast, grp, min(p * m / r) AS simes FROM g GROUP BY ALL), w AS (SELECT *, simes * (SELECT avg(size) FROM z) / size AS pw FROM s JOIN z USING (grp)),
+k AS (SELECT *, row_number() OVER (PARTITION BY subject, contrast ORDER BY pw, grp) AS r FROM w), q AS (SELECT *, least(1, min((SELECT count(*) FROM z) * pw / r) OVER (PARTITION BY subject, contrast ORDER BY r DESC)) AS q FROM k)
 SELECT sample, subject, contrast, round(q, 10) AS q FROM g JOIN q USING (subject, contrast, grp)""")
 def fdr_spatial(spark, sf):
     return out(H.posthoc(grouped_p_cube(spark, sf), "fdr:spatial").df, *KEYS, ("q", "q", 10))
@@ -567,20 +588,38 @@ def loo_re(spark, sf):
     return out(made, *CELL, "subject", ("tau2_m", F.col("tau2") / 1e6, 5), ("resid", "resid", 6), ("delta_stat", "delta_stat", 5))
 
 
-@query("surprise_summary", f"{_LOO} SELECT subject, contrast, count(resid) AS n, round(sqrt(avg(least(resid * resid, 64))), 6) AS energy, round(avg((abs(resid) > 2.5)::INT), 8) AS tail_extent FROM loo WHERE resid IS NOT NULL GROUP BY ALL")
+_PART = "('0x' || right(md5(sample || '|' || contrast), 7))::BIGINT % 2"
+_SURPRISE = f"""parts AS (SELECT *, {_PART} AS part FROM loo WHERE resid IS NOT NULL),
+half AS (SELECT subject, contrast, part, sqrt(avg(least(resid * resid, 64))) >= 2.5 AND avg((abs(resid) >= 3)::INT) >= 0.01 AS passed FROM parts GROUP BY ALL), halves AS (SELECT subject, contrast, avg(passed::INT) AS stability FROM half GROUP BY ALL),
+sur AS (SELECT subject, contrast, count(*) AS n, sqrt(avg(least(resid * resid, 64))) AS energy, avg((abs(resid) >= 3)::INT) AS tail_extent FROM parts GROUP BY ALL), surprise AS (SELECT * FROM sur JOIN halves USING (subject, contrast))"""
+_AGREE = """p AS (SELECT *, 1 / pv AS pw FROM loo WHERE resid IS NOT NULL), s AS (SELECT subject, contrast, sum(pw) AS sw, sum(pw * y) AS sy, sum(pw * expected) AS se, sum(pw * y * y) AS syy, sum(pw * expected * expected) AS see, sum(pw * y * expected) AS sye,
+  sum(pw * (sign(y) = sign(expected))::INT) AS sg FROM p GROUP BY ALL), v AS (SELECT *, syy - sy * sy / sw AS vy, see - se * se / sw AS ve FROM s),
+agreement AS (SELECT subject, contrast, CASE WHEN ve > 1e-12 AND vy > 1e-12 THEN (sye - sy * se / sw) / sqrt(vy * ve) END AS correlation, CASE WHEN ve <= 1e-12 THEN 'degenerate_expected' WHEN vy <= 1e-12 THEN 'degenerate_observed' ELSE 'available' END AS correlation_status,
+  CASE WHEN see > 1e-12 AND syy > 1e-12 THEN sye / sqrt(syy * see) END AS cosine, CASE WHEN see > 1e-12 THEN sye / see END AS gain, sg / sw AS concordance FROM v)"""
+_INFLUENCE = f"""moved AS (SELECT *, abs(delta_stat) AS d, {_PART} AS part FROM loo WHERE delta_stat IS NOT NULL), ihalf AS (SELECT subject, contrast, part, sqrt(avg(least(d * d, 64))) >= 1 AS passed FROM moved GROUP BY ALL),
+ihalves AS (SELECT subject, contrast, avg(passed::INT) AS stability FROM ihalf GROUP BY ALL), edges AS (SELECT unnest([0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1, 2, 4, 8, 16])::DOUBLE AS edge),
+upto AS (SELECT subject, contrast, edge, count(*) FILTER (d <= edge) AS below, count(*) AS n FROM moved, edges GROUP BY ALL), quant AS (SELECT subject, contrast, min(edge) FILTER (below >= 0.9 * n) AS q90, min(edge) FILTER (below >= 0.95 * n) AS q95, min(edge) FILTER (below >= 0.99 * n) AS q99 FROM upto GROUP BY ALL),
+inf AS (SELECT subject, contrast, count(*) AS n, sqrt(avg(least(d * d, 64))) AS energy, max(d) AS most, count(*) FILTER (d <= 0.01) AS bin0, count(*) FILTER (d > 2 AND d <= 4) AS bin8, count(*) FILTER (d > 16) AS bin11 FROM moved GROUP BY ALL),
+influence AS (SELECT inf.*, coalesce(q90, most) AS q90, coalesce(q95, most) AS q95, coalesce(q99, most) AS q99, stability FROM inf JOIN quant USING (subject, contrast) JOIN ihalves USING (subject, contrast))"""
+_COVERAGE = """share AS (SELECT subject, contrast, count(beta)::DOUBLE / (SELECT count(DISTINCT sample) FROM cells) AS c FROM cells GROUP BY ALL),
+coverage AS (SELECT subject, CASE WHEN count(*) = (SELECT count(DISTINCT contrast) FROM cells) THEN min(c) ELSE 0 END AS coverage FROM share GROUP BY 1)"""
+
+
+@query("surprise_summary", f"{_LOO}, {_SURPRISE} SELECT subject, contrast, n, round(energy, 6) AS energy, round(tail_extent, 8) AS tail_extent, round(stability, 8) AS stability FROM surprise")
 def surprise_summary(spark, sf):
-    return out(E.surprise(E.leave_one_out_fe(brand_cube(spark, sf))), "subject", "contrast", "n", ("energy", "energy", 6), ("tail_extent", "tail_extent", 8))
+    return out(E.surprise(E.leave_one_out_fe(brand_cube(spark, sf))), "subject", "contrast", "n", ("energy", "energy", 6), ("tail_extent", "tail_extent", 8), ("stability", "stability", 8))
 
 
-@query("agreement_summary", f"""{_LOO}, p AS (SELECT *, 1 / pv AS pw FROM loo WHERE expected IS NOT NULL), s AS (SELECT subject, contrast, sum(pw) AS sw, sum(pw * y) AS sy, sum(pw * expected) AS se, sum(pw * y * y) AS syy, sum(pw * expected * expected) AS see, sum(pw * y * expected) AS sye FROM p GROUP BY ALL)
-SELECT subject, contrast, round(sye / sqrt(syy * see), 6) AS cosine, round(sye / see, 6) AS gain FROM s""")
+@query("agreement_summary", f"{_LOO}, {_AGREE} SELECT subject, contrast, round(correlation, 6) AS correlation, correlation_status, round(cosine, 6) AS cosine, round(gain, 6) AS gain, round(concordance, 6) AS concordance FROM agreement")
 def agreement_summary(spark, sf):
-    return out(E.agreement(E.leave_one_out_fe(brand_cube(spark, sf))), "subject", "contrast", ("cosine", "cosine", 6), ("gain", "gain", 6))
+    made = E.agreement(E.leave_one_out_fe(brand_cube(spark, sf)))
+    return out(made, "subject", "contrast", ("correlation", "correlation", 6), "correlation_status", ("cosine", "cosine", 6), ("gain", "gain", 6), ("concordance", "concordance", 6))
 
 
-@query("influence_summary", f"{_LOO} SELECT subject, contrast, round(sqrt(avg(delta_stat * delta_stat)), 6) AS energy, round(max(abs(delta_stat)), 6) AS most, count(*) FILTER (abs(delta_stat) > 1 AND abs(delta_stat) <= 2) AS bin7 FROM loo WHERE delta_stat IS NOT NULL GROUP BY ALL")
+@query("influence_summary", f"{_LOO}, {_INFLUENCE} SELECT subject, contrast, n, round(energy, 6) AS energy, round(most, 6) AS most, bin0, bin8, bin11, round(q90, 6) AS q90, round(q95, 6) AS q95, round(q99, 6) AS q99, round(stability, 8) AS stability FROM influence")
 def influence_summary(spark, sf):
-    return out(E.influence(E.leave_one_out_fe(brand_cube(spark, sf))), "subject", "contrast", ("energy", "influence_energy", 6), ("most", "influence_max", 6), "bin7")
+    made = E.influence(E.leave_one_out_fe(brand_cube(spark, sf)))
+    return out(made, "subject", "contrast", "n", ("energy", "influence_energy", 6), ("most", "influence_max", 6), "bin0", "bin8", "bin11", *((q, q, 6) for q in ("q90", "q95", "q99")), ("stability", "stability", 8))
 
 
 @query("influence_map", f"{_LOO}, m AS (SELECT *, max(abs(delta_stat)) OVER (PARTITION BY sample, contrast) AS top FROM loo WHERE delta_stat IS NOT NULL) SELECT sample, contrast, round(first(top), 6) AS top, min(subject) FILTER (abs(delta_stat) >= top - 1e-12) AS subject, count(*) AS eligible FROM m GROUP BY ALL")
@@ -588,17 +627,24 @@ def influence_map(spark, sf):
     return out(E.influence_map(E.leave_one_out_fe(brand_cube(spark, sf))), *CELL, ("top", "max_influence", 6), "subject", "eligible")
 
 
-@query("review_queue", f"""{_LOO}, e AS (SELECT subject, max(e) AS energy FROM (SELECT subject, contrast, sqrt(avg(least(resid * resid, 64))) AS e FROM loo WHERE resid IS NOT NULL GROUP BY ALL) GROUP BY 1),
-i AS (SELECT subject, max(e) AS influence FROM (SELECT subject, contrast, sqrt(avg(delta_stat * delta_stat)) AS e FROM loo WHERE delta_stat IS NOT NULL GROUP BY ALL) GROUP BY 1), j AS (SELECT subject, energy, influence FROM e JOIN i USING (subject)),
-s AS (SELECT subject, (rank() OVER (ORDER BY energy) - 1)::DOUBLE / (count(*) OVER () - 1) AS r1, (rank() OVER (ORDER BY influence) - 1)::DOUBLE / (count(*) OVER () - 1) AS r2 FROM j)
-SELECT subject, round((r1 + r2) / 2, 8) AS priority, row_number() OVER (ORDER BY (r1 + r2) / 2 DESC, subject) <= 5 AS retained FROM s""")
+@query("review_queue", f"""{_LOO}, {_SURPRISE}, {_AGREE}, {_INFLUENCE}, {_COVERAGE},
+sx AS (SELECT subject, max(energy) AS score, min(struct_pack(contrast := contrast, gain := gain)) FILTER (energy >= 2.5 AND tail_extent >= 0.01 AND stability >= 0.7) AS hit FROM surprise LEFT JOIN agreement USING (subject, contrast) GROUP BY 1),
+ix AS (SELECT subject, max(energy) AS score, min(contrast) FILTER (energy >= 1 AND most >= 2 AND stability >= 0.7) AS hit FROM influence GROUP BY 1),
+aa AS (SELECT coverage.subject, coverage, 1 - coverage AS q, sx.score AS s, ix.score AS i, sx.hit AS shit, ix.hit AS ihit FROM coverage LEFT JOIN sx USING (subject) LEFT JOIN ix USING (subject)),
+rr AS (SELECT *, {', '.join(f"CASE WHEN {c} IS NULL THEN NULL WHEN count({c}) OVER () = 1 THEN 1 ELSE (count({c}) OVER (ORDER BY {c} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 - 1)::DOUBLE / (count({c}) OVER () - 1) END AS p{c}" for c in "qsi")} FROM aa),
+tt AS (SELECT *, greatest(pq, ps, pi) AS priority, CASE WHEN coverage <= 0.8 THEN pq ELSE -2 END AS tq, CASE WHEN shit IS NOT NULL THEN ps ELSE -2 END AS ts, CASE WHEN ihit IS NOT NULL THEN pi ELSE -2 END AS ti FROM rr),
+uu AS (SELECT *, greatest(tq, ts, ti) AS m, row_number() OVER (ORDER BY priority DESC NULLS LAST, subject) AS place FROM tt),
+ww AS (SELECT *, CASE WHEN m = -2 THEN NULL WHEN tq = m THEN 'quality' WHEN ts = m THEN 'surprise' ELSE 'influence' END AS source FROM uu)
+SELECT subject, round(coverage, 8) AS coverage, round(priority, 8) AS priority, CASE WHEN source IS NULL THEN 'none' ELSE 'review' END AS status, source,
+  CASE source WHEN 'quality' THEN 'coverage' WHEN 'surprise' THEN CASE WHEN shit.gain < 0 THEN 'negative gain in ' ELSE 'surprise in ' END || shit.contrast WHEN 'influence' THEN 'influence in ' || ihit END AS reason, source IS NOT NULL OR place <= 5 AS retained FROM ww""")
 def review_queue(spark, sf):
     c = brand_cube(spark, sf)
     loo = E.leave_one_out_fe(c)
-    return out(E.review_queue(E.surprise(loo), E.influence(loo), E.coverage_of(c)), "subject", ("priority", "priority", 8), "retained")
+    made = E.review_queue(E.contrast_table(c, loo), E.influence(loo))
+    return out(made, "subject", ("coverage", "coverage", 8), ("priority", "priority", 8), "status", "source", "reason", "retained")
 
 
-@query("coverage", f"WITH {CELLS}, {VALID} SELECT subject, round(count(*)::DOUBLE / ((SELECT count(DISTINCT sample) FROM cells) * (SELECT count(DISTINCT contrast) FROM cells)), 8) AS coverage FROM valid GROUP BY 1")
+@query("coverage", f"WITH {CELLS}, {_COVERAGE} SELECT subject, round(coverage, 8) AS coverage FROM coverage")
 def coverage(spark, sf):
     return out(E.coverage_of(brand_cube(spark, sf)), "subject", ("coverage", "coverage", 8))
 
