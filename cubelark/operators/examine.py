@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -90,38 +91,84 @@ def leave_one_out_re(cube: Cube, exact: bool = False) -> DataFrame:
     return rows.where("k >= 3").select(*CELL, "subject", "y", tau2.alias("tau2_without"), "k")
 
 
-def leave_one_out_ols(cube: Cube, design) -> DataFrame:
-    """Deletion residuals, leverages and changes of each coefficient of an OLS fit, in NumPy blocks."""
+def leave_one_out_linear(cube: Cube, design, method: str = "ols:voxelwise", min_subjects: int | None = None, leverage: float = 1e-8, degeneracy: float = 1e-12) -> DataFrame:
+    """Each subject against a linear fit without it, in NumPy blocks: OLS, or weighted by known variances.
+
+    Random effects keep the full fit's tau2. A row has the expected effect, the
+    predictive residual and its weight, the leverage, and for each term the change
+    of its coefficient and of its statistic, and the statistic without the subject.
+    A subject that did not enter a fit changes nothing: its row has zeros, the full
+    statistic and no residual.
+    """
+    kind = {"ols:voxelwise": "ols", "meta:fe_reg": "fe", "meta:re_reg": "re"}[method]
     names = cube.ids("subject")
     place = {s: i for i, s in enumerate(design.subjects)}
-    x = np.array([design.matrix[place[s]] for s in names])
-    terms = design.terms
+    x = np.array([design.matrix[place[s]] if s in place else np.full(design.matrix.shape[1], np.nan) for s in names])
+    known = np.isfinite(x).all(1)
+    x = np.where(known[:, None], x, 0.0)
+    p, terms = x.shape[1], design.terms
+    least = max(min_subjects or p + 1, p + 1)
+    assays = ["beta"] if kind == "ols" else ["beta", "var"]
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            y = R.dense(pdf["cells"], len(names), ["beta"])[0]
-            ok = np.isfinite(y)
-            coef, inv, rss, good = R._solve(x, y, ok.astype(float))
+            got = R.dense(pdf["cells"], len(names), assays)
+            y, ok = got[0], np.isfinite(got[0]) & known
+            v = np.zeros_like(y)
+            if kind != "ols":
+                ok &= np.isfinite(got[1]) & (got[1] > 0)
+                v = np.where(ok, got[1], 1.0)
+            w = np.where(ok, 1.0 if kind == "ols" else 1 / np.maximum(v, V.EPS), 0.0)
             n = ok.sum(1)
-            good &= n > x.shape[1] + 1
-            r = np.where(ok, y - coef @ x.T, np.nan)
-            ax = np.einsum("cjk,ik->cij", inv, x)
-            h = np.einsum("cij,ij->ci", ax, x)
             with np.errstate(all="ignore"):
-                keep = (1 - h > 1e-12) & ok & good[:, None]
-                step = r / (1 - h)
-                sse = rss[:, None] - r * step
-                s2 = sse / (n[:, None] - 1 - x.shape[1])
-                resid = r / np.sqrt(s2 * (1 - h))
+                coef, inv, rss, good = R._solve(x, y, w)
+                if kind == "re":
+                    x2 = np.einsum("ci,ij,ik->cjk", w * w, x, x, optimize=True)
+                    trace = w.sum(1) - np.einsum("cjk,ckj->c", inv, x2)
+                    tau2 = np.maximum(0, (rss - (n - p)) / np.where(trace > 0, trace, np.nan))
+                    good &= trace > 0
+                    v = v + np.where(np.isfinite(tau2), tau2, 0.0)[:, None]
+                    w = np.where(ok, 1 / np.maximum(v, V.EPS), 0.0)
+                    coef, inv, rss, more = R._solve(x, y, w)
+                    good &= more
+                good &= n >= least
+                residual = np.where(ok, y - coef @ x.T, 0.0)
+                ax = np.einsum("cjk,ik->cij", inv, x)
+                gram = np.einsum("cij,ij->ci", ax, x)
+                h = w * gram
+                rest = 1 - h
+                step = np.where(rest > leverage, w * residual / rest, np.nan)
                 delta = ax * step[:, :, None]
-            rows = [pdf["sample"].to_numpy().repeat(len(names)), pdf["contrast"].to_numpy().repeat(len(names)), np.tile(names, len(pdf))]
-            out = pd.DataFrame({"sample": rows[0], "contrast": rows[1], "subject": rows[2], "resid": resid.ravel(), "leverage": h.ravel(), **{f"delta:{t}": delta[:, :, j].ravel() for j, t in enumerate(terms)}})
-            yield out[keep.ravel()]
-
-    ddl = "sample string, contrast string, subject string, resid double, leverage double, " + ", ".join(f"`delta:{t}` double" for t in terms)
-    return R.blocks(cube, ["beta"]).mapInPandas(run, ddl)
+                inv_minus = np.einsum("cjj->cj", inv)[:, None] + (w / rest)[:, :, None] * ax**2  # its diagonal
+                scale = (rss / np.maximum(n - p, 1)) if kind == "ols" else np.ones(len(y))
+                full = coef / np.sqrt(np.einsum("cjj->cj", inv) * scale[:, None])
+                expected = y - residual / rest
+                if kind == "ols":
+                    sse = np.maximum(rss[:, None] - residual * residual / rest, 0.0)
+                    minus = np.where(sse > degeneracy, sse / np.maximum(n - 1 - p, 1)[:, None], np.nan)
+                    resid, weight = residual / np.sqrt(minus * rest), rest / minus
+                else:
+                    minus = np.ones_like(y)
+                    spread = v + gram / rest  # x' (A - w x x')^-1 x
+                    resid, weight = (y - expected) / np.sqrt(spread), 1 / spread
+                deleted = (coef[:, None] - delta) / np.sqrt(inv_minus * minus[:, :, None])
+                can = ok & good[:, None] & (rest > leverage) & (n[:, None] - 1 >= least) & np.isfinite(resid)
+            out = ~ok & good[:, None]
+            keep = (can | out).ravel()
+            pick = lambda a, none=np.nan: np.where(can, a, none)
+            table = {"expected": pick(expected), "y": pick(y), "resid": pick(resid), "pred_weight": pick(weight), "leverage": pick(h)}
+            for k, t in enumerate(terms):
+                stat = np.broadcast_to(full[:, k, None], y.shape)
+                table[f"delta_effect:{t}"] = np.where(can, delta[:, :, k], 0.0)
+                table[f"delta_stat:{t}"] = np.where(can, stat - deleted[:, :, k], 0.0)
+                table[f"deleted_stat:{t}"] = np.where(can, deleted[:, :, k], stat)
+            made = pd.DataFrame({"sample": pdf["sample"].to_numpy().repeat(len(names)), "contrast": pdf["contrast"].to_numpy().repeat(len(names)), "subject": np.tile(names, len(pdf)), **{c: a.ravel() for c, a in table.items()}})[keep]
+            yield made.astype(object).where(made.notna(), None)
+
+    measures = ["expected", "y", "resid", "pred_weight", "leverage", *(f"{m}:{t}" for t in terms for m in ("delta_effect", "delta_stat", "deleted_stat"))]
+    return R.blocks(cube, assays).mapInPandas(run, "sample string, contrast string, subject string, " + ", ".join(f"`{c}` double" for c in measures))
 
 
 def _split_share(control: Control, tests) -> Column:
@@ -179,7 +226,7 @@ def influence(loo: DataFrame, control: Control = Control()) -> DataFrame:
     counts = [F.count(F.when(F.col("slot") == i, 1)).alias(f"bin{i}") for i in range(len(BINS) + 1)]
     part = [F.when(F.col("__part") == k, F.lit(True)) for k in range(control.splits)]
     more = [x for k, own in enumerate(part) for x in (F.count(own).alias(f"n{k}"), F.sqrt(F.avg(F.when(own, squared))).alias(f"e{k}"))]
-    rows = loo.where("delta_stat is not null").withColumn("slot", slot).withColumn("__part", split_of(control) if control.splits else F.lit(0))
+    rows = loo.where("delta_stat is not null and resid is not null").withColumn("slot", slot).withColumn("__part", split_of(control) if control.splits else F.lit(0))
     sums = rows.groupBy(*WHO).agg(F.count("*").alias("n"), F.sqrt(F.avg(squared)).alias("influence_energy"), F.max(d).alias("influence_max"), *counts, *more)
 
     def quantile(share):
@@ -297,14 +344,27 @@ def conclusions(cube: Cube, loo: DataFrame, alpha: float = 0.05) -> DataFrame:
     return both.groupBy(*WHO).agg(n(F.col("after") & ~F.col("before")).alias("gained"), n(~F.col("after") & F.col("before")).alias("lost"), n(F.col("after") & F.col("before")).alias("kept"))
 
 
-def examine_group(cube: Cube, method: str = "meta:fe", control: Control = Control(), alpha: float = 0.05) -> dict[str, DataFrame]:
-    """The tables of an examination, lazily: subject maps, group maps, summaries, queue, conclusions."""
+def examine_group(cube: Cube, method: str = "meta:fe", control: Control = Control(), alpha: float = 0.05, formula: str = "~ 1") -> dict[str, DataFrame]:
+    """The tables of an examination, lazily: subject maps, group maps, contrasts, influence, queue, conclusions.
+
+    Linear methods take a formula; their influence table has a row for each term (estimand).
+    """
     own = reducer(method)
-    if own.deletion not in ("closed_form", "tau2_fixed_full"):
+    if own.deletion == "unsupported":
         raise ValueError(f"{own.name} has no leave-one-out form here")
-    loo = leave_one_out_fe(cube) if own.name == "meta:fe" else leave_one_out_re(cube)
-    out = {"subject_maps": loo, "group_maps": own.fun(cube), "contrasts": contrast_table(cube, loo, control), "influence": influence(loo, control), "influence_map": influence_map(loo), "coverage": coverage_of(cube)}
+    out: dict[str, DataFrame] = {"coverage": coverage_of(cube)}
+    if own.uses_design:
+        design = R._design(cube, None, formula)
+        loo = leave_one_out_linear(cube, design, own.name)
+        of = lambda t: loo.withColumn("delta_stat", F.col(f"`delta_stat:{t}`"))
+        tables = [(t, influence(of(t), control).withColumn("estimand", F.lit(t)), influence_map(of(t).where("resid is not null")).withColumn("estimand", F.lit(t))) for t in design.terms]
+        out["influence"], out["influence_map"] = (reduce(DataFrame.unionAll, (x[k] for x in tables)) for k in (1, 2))
+        out["group_maps"] = own.fun(cube, design)
+    else:
+        loo = leave_one_out_fe(cube) if own.name == "meta:fe" else leave_one_out_re(cube)
+        out["influence"], out["influence_map"], out["group_maps"] = influence(loo, control), influence_map(loo), own.fun(cube)
+        if own.name == "meta:fe":
+            out["conclusions"] = conclusions(cube, loo, alpha)
+    out["subject_maps"], out["contrasts"] = loo, contrast_table(cube, loo, control)
     out["queue"] = review_queue(out["contrasts"], out["influence"], control)
-    if own.name == "meta:fe":
-        out["conclusions"] = conclusions(cube, loo, alpha)
     return out

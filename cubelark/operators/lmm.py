@@ -13,6 +13,7 @@ import pandas as pd
 from ..functions import formula as M
 from ..functions import special as S
 
+#: Bounds of the search over the log variance ratio.
 LOW, HIGH = -14.0, 10.0
 
 

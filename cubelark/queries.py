@@ -661,11 +661,32 @@ def geometry(spark, sf):
     return spark.createDataFrame(E.geometry(E.leave_one_out_fe(c), c.ids("subject")))
 
 
-@query("loo_ols")
-def loo_ols(spark, sf):
-    c = account_cube(spark, sf)
-    rows = [x.asDict() for x in c.subjects.orderBy("ord").collect()]
-    return out(E.leave_one_out_ols(c, M.design(rows, "id", "~ acct")), *CELL, "subject", ("resid", "resid", 4), ("leverage", "leverage", 6))
+_DELETE = """t AS (SELECT *, sum(w) OVER f AS s0, sum(w * x) OVER f AS sx, sum(w * x * x) OVER f AS sxx, sum(w * y) OVER f AS sy, sum(w * x * y) OVER f AS sxy, sum(w * y * y) OVER f AS syy, count(*) OVER f AS n FROM v WINDOW f AS (PARTITION BY sample, contrast)),
+m AS (SELECT *, s0 - w AS m0, sx - w * x AS mx, sxx - w * x * x AS mxx, sy - w * y AS my, sxy - w * x * y AS mxy, syy - w * y * y AS myy FROM t), d AS (SELECT *, m0 * mxx - mx * mx AS dm, s0 * sxx - sx * sx AS ds FROM m),
+b AS (SELECT *, (sxx * sy - sx * sxy) / ds AS b0, (s0 * sxy - sx * sy) / ds AS b1, (mxx * my - mx * mxy) / dm AS c0, (m0 * mxy - mx * my) / dm AS c1, w * (sxx - 2 * x * sx + x * x * s0) / ds AS h, (mxx - 2 * x * mx + x * x * m0) / dm AS g FROM d),
+q AS (SELECT *, (syy - b0 * sy - b1 * sxy) / (n - 2) AS k2, (myy - c0 * my - c1 * mxy) / (n - 3) AS k1 FROM b),
+every AS (SELECT sample, contrast, subject FROM (SELECT DISTINCT sample, contrast FROM v), (SELECT DISTINCT subject FROM cells))"""
+_POINTS = f"WITH {CELLS}, x AS (SELECT sample, contrast, subject, beta AS y, s_acctbal / 1000 AS x, var FROM cells JOIN supplier ON s_suppkey::VARCHAR = subject)"
+
+
+def _loo_linear(method):
+    def run(spark, sf):
+        c = account_cube(spark, sf)
+        rows = [x.asDict() for x in c.subjects.orderBy("ord").collect()]
+        made = E.leave_one_out_linear(c, M.design(rows, "id", "~ acct"), method)
+        return out(made, *CELL, "subject", ("resid", "resid", 5), ("leverage", "leverage", 7), ("delta_stat", "delta_stat:acct", 5))
+
+    return run
+
+
+query("loo_ols", f"""{_POINTS}, v AS (SELECT *, 1.0::DOUBLE AS w FROM x WHERE y IS NOT NULL), {_DELETE}
+SELECT sample, contrast, subject, round((y - c0 - c1 * x) * sqrt((1 - h) / k1), 5) AS resid, round(h, 7) AS leverage, round(coalesce(b1 / sqrt(k2 * s0 / ds) - c1 / sqrt(k1 * m0 / dm), 0), 5) AS delta_stat FROM every LEFT JOIN q USING (sample, contrast, subject)""")(_loo_linear("ols:voxelwise"))
+query("loo_fe_reg", f"""{_POINTS}, v AS (SELECT *, 1 / var AS w FROM x WHERE var > 0), {_DELETE}
+SELECT sample, contrast, subject, round((y - c0 - c1 * x) / sqrt(var + g), 5) AS resid, round(h, 7) AS leverage, round(coalesce(b1 / sqrt(s0 / ds) - c1 / sqrt(m0 / dm), 0), 5) AS delta_stat FROM every LEFT JOIN q USING (sample, contrast, subject)""")(_loo_linear("meta:fe_reg"))
+query("loo_re_reg", f"""{_POINTS}, u AS (SELECT *, 1 / var AS w FROM x WHERE var > 0), a AS (SELECT sample, contrast, sum(w) AS s0, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * w) AS t0, sum(w * w * x) AS tx, sum(w * w * x * x) AS txx, count(*) AS k FROM u GROUP BY ALL),
+e AS (SELECT *, s0 * sxx - sx * sx AS det FROM a), o AS (SELECT u.sample, u.contrast, first(k) AS k, first(s0 - (sxx * t0 - 2 * sx * tx + s0 * txx) / det) AS tr, sum(w * (y - (sxx * sy - sx * sxy) / det - (s0 * sxy - sx * sy) / det * x) ** 2) AS q FROM u JOIN e ON u.sample = e.sample AND u.contrast = e.contrast GROUP BY ALL),
+v AS (SELECT u.* EXCLUDE (w, var), var + greatest(0, (q - (k - 2)) / tr) AS var, 1 / (var + greatest(0, (q - (k - 2)) / tr)) AS w FROM u JOIN o USING (sample, contrast)), {_DELETE.replace("q AS (SELECT *, (syy", "z AS (SELECT *, (syy")}
+SELECT sample, contrast, subject, round((y - c0 - c1 * x) / sqrt(var + g), 5) AS resid, round(h, 7) AS leverage, round(coalesce(b1 / sqrt(s0 / ds) - c1 / sqrt(m0 / dm), 0), 5) AS delta_stat FROM every LEFT JOIN z USING (sample, contrast, subject)""")(_loo_linear("meta:re_reg"))
 
 
 # --- catalogs, streams

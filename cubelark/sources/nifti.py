@@ -16,7 +16,8 @@ from .tabular import from_table
 
 #: Data types by code.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
-STATISTICS = ("beta", "effect", "cope", "con", "se", "stderr", "var", "varcope", "t", "tstat", "stat", "df")
+#: Trailing tokens of a file name that tell the statistic.
+STATISTICS = ("beta", "cope", "varcope", "var", "variance", "effect", "se", "stderr", "sterr", "sigma", "std")
 
 
 def parse(raw: bytes) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
@@ -63,13 +64,12 @@ def build(values: np.ndarray, affine: np.ndarray) -> bytes:
 def subject_key(path: str) -> str:
     """The sub-XXX entity of a file name, else the name without extensions and trailing statistic tokens."""
     name = re.sub(r"\.nii(\.gz)?$", "", path.rpartition("/")[2])
-    entity = re.search(r"(?:^|[_-])sub-([A-Za-z0-9]+)", name)
+    entity = re.search(r"sub-[A-Za-z0-9]+", name)
     if entity:
-        return f"sub-{entity[1]}"
-    parts = re.split(r"[_-]", name)
-    while len(parts) > 1 and parts[-1].lower() in STATISTICS:
-        parts.pop()
-    return "_".join(parts)
+        return entity[0]
+    while (cut := re.fullmatch(r"(.*)[_.-]([A-Za-z]+)", name)) and cut[2].lower() in STATISTICS:
+        name = cut[1]
+    return name.rstrip("_.-")
 
 
 def read_images(spark: SparkSession, paths, mask: np.ndarray | None = None) -> DataFrame:

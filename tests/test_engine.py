@@ -93,7 +93,7 @@ def test_images_round_trip(spark, tmp_path):
 
 def test_subject_keys():
     assert nifti.subject_key("/a/b/sub-07_task-x_beta.nii.gz") == "sub-07"
-    assert nifti.subject_key("anna_cope_t.nii") == "anna"
+    assert nifti.subject_key("anna_cope_se.nii") == "anna" and nifti.subject_key("b.ob-var.nii.gz") == "b.ob"
 
 
 # --- verbs
@@ -318,6 +318,56 @@ def test_clusters_and_tfce_by_hand():
     assert permute.tfce(x, near) == pytest.approx(want)
 
 
+def test_the_observed_labelling_is_no_null_value(spark):
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=(4, 8)) + 0.5
+    cube = make(spark, y)
+    drawn = permute.drawn_signs(19, [f"u{i}" for i in range(8)], 2)
+    p = lambda **o: {k: v[0] for k, v in table(R.reduce(cube, "perm:onesample", **o).df, "p_perm").items()}
+    assert p(signs=np.vstack([np.ones(8), drawn])) == p(signs=drawn)
+    assert p(n_perm=19, seed=2, include_observed=True) == p(signs=permute.drawn_signs(19, [f"u{i}" for i in range(8)], 2)[1:])
+    own = np.array([0.0, 1] * 4)
+    two = cube.with_(subjects=cube.subjects.withColumn("group", (F.col("ord") + 1) % 2))
+    mats = permute.drawn_groups(19, own, 1)
+    q = lambda mat: {k: v[0] for k, v in table(R.reduce(two, "perm:twosample", group_mat=mat).df, "p_perm").items()}
+    assert q(np.vstack([own, mats])) == q(mats) and all(round(v * 20, 6) == round(v * 20) for v in q(mats).values())
+
+
+def test_frame_fits(spark):
+    from cubelark.operators import frames
+
+    rng = np.random.default_rng(3)
+    n = 24
+    a, groups = rng.normal(size=n), np.repeat(np.arange(6), 4)
+    y = 1 + 2 * a + rng.normal(size=6)[groups] + rng.normal(size=n) * 0.3
+    v = np.full(n, 0.05)
+    frame = spark.createDataFrame([(f"o{i}", f, float(y[i] * (1 if f == "p" else -1)), float(v[i])) for i in range(n) for f in ("p", "q")] + [("o1", "few", 1.0, 1.0)], "observation string, feature string, beta double, variance double")
+    axis = spark.createDataFrame([(f"o{i}", float(a[i]), int(groups[i])) for i in range(n)], "observation string, a double, g int")
+    x = np.stack([np.ones(n), a], 1)
+    got = {(r.feature, r.term): r for r in frames.fit_group(frame, axis, "~ a", method="ols:voxelwise").result_frame().collect()}
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    s2 = ((y - x @ b) ** 2).sum() / (n - 2)
+    assert got["p", "a"].estimate == pytest.approx(b[1]) and got["p", "a"].std_error == pytest.approx(np.sqrt(s2 * np.linalg.inv(x.T @ x)[1, 1])) and got["few", "a"].estimate is None
+
+    def value(tau2, sigma2):
+        m = np.diag(v + sigma2) + tau2 * (groups[:, None] == groups)
+        inv = np.linalg.inv(m)
+        info = x.T @ inv @ x
+        r = y - x @ np.linalg.solve(info, x.T @ inv @ y)
+        return np.linalg.slogdet(m)[1] + r @ inv @ r + np.linalg.slogdet(info)[1]
+
+    fit = frames.fit_group(frame, axis, "~ a", group="g")
+    got = {(r.feature, r.term): r for r in fit.result_frame().collect()}
+    tau2, sigma2 = got["p", "random_intercept"].estimate, got["p", "residual"].estimate
+    best = value(tau2, sigma2)
+    assert all(best <= value(tau2 * s, sigma2 * t) + 1e-6 for s in (0.9, 1, 1.1) for t in (0.9, 1, 1.1))
+    assert {r.feature: r.log_likelihood for r in fit.diagnostics().collect()}["p"] == pytest.approx(-best / 2)
+    assert got["q", "a"].estimate == pytest.approx(-got["p", "a"].estimate, rel=1e-4) and got["few", "residual"].estimate is None
+    for bad in ({"group": "h"}, {"memory_budget": 10, "group": "g"}, {"method": "meta:fe"}, {"estimate": "no", "group": "g"}):
+        with pytest.raises((ValueError, KeyError)):
+            frames.fit_group(frame, axis, "~ a", **bad)
+
+
 def test_mixed_model_equals_balanced_anova(spark):
     rng = np.random.default_rng(7)
     y = rng.normal(size=(2, 10, 1)) * 1.5 + rng.normal(size=(2, 10, 4)) + 3
@@ -413,10 +463,24 @@ def test_leave_one_out_is_a_refit(spark):
     assert all(exact[f"s{i}", "u0"] == pytest.approx(refit[f"s{i}"][0], abs=1e-9) for i in range(4))
     d = M.design([{"id": f"u{i}", "a": float(i * i)} for i in range(6)], "id", "~ a")
     x = d.matrix
-    rows = {(r.sample, r.subject): r for r in E.leave_one_out_ols(cube, d).collect()}
+    rows = {(r.sample, r.subject): r for r in E.leave_one_out_linear(cube, d).collect()}
     b = np.linalg.lstsq(x, y[0], rcond=None)[0]
     less = np.linalg.lstsq(np.delete(x, 2, 0), np.delete(y[0], 2), rcond=None)[0]
-    assert rows["s0", "u2"]["delta:a"] == pytest.approx(b[1] - less[1])
+    assert rows["s0", "u2"]["delta_effect:a"] == pytest.approx(b[1] - less[1])
+    kept = np.delete(x, 2, 0)
+    for method, stat in (("ols:voxelwise", "t_coef:a"), ("meta:fe_reg", "z_coef:a")):
+        own = {(r.sample, r.subject): r for r in E.leave_one_out_linear(cube, d, method).collect()}
+        without = V.subset(cube, subject=[f"u{k}" for k in range(6) if k != 2])
+        part = M.Design([f"u{k}" for k in range(6) if k != 2], d.terms, kept)
+        fits = [table(R.reduce(c, method, design=m).df, stat) for c, m in ((cube, d), (without, part))]
+        for i in range(4):
+            got = own[f"s{i}", "u2"]
+            assert got["deleted_stat:a"] == pytest.approx(fits[1][f"s{i}"][0]) and got["delta_stat:a"] == pytest.approx(fits[0][f"s{i}"][0] - fits[1][f"s{i}"][0])
+    holes = cube.with_df(cube.df.where("not (sample = 's1' and subject = 'u4')"))
+    zero = [r for r in E.leave_one_out_linear(holes, d).collect() if (r.sample, r.subject) == ("s1", "u4")]
+    assert len(zero) == 1 and zero[0].resid is None and zero[0]["delta_stat:a"] == 0
+    tables = E.examine_group(cube.with_(subjects=cube.subjects.withColumn("a", F.col("ord").cast("double"))), "meta:fe_reg", formula="~ a")
+    assert {r.estimand for r in tables["influence"].collect()} == {"(Intercept)", "a"} and tables["queue"].count() == 6
 
 
 def test_examination_finds_the_odd_subject(spark):
