@@ -75,14 +75,50 @@ def map_assays(cat: DataFrame, rules: dict[str, str], source: str = "basename")
     return cat.withColumn("assay", out)
 
 
+def _lacking(groups: DataFrame, seen: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(group, value): wanted values that a group lacks. Only values that some group lacks meet the groups."""
+    n = groups.count()
+    short = wanted.join(seen.join(groups, "group", "left_semi").groupBy("value").agg(F.count_distinct("group").alias("n")), "value", "left").where(F.coalesce("n", F.lit(0)) < n).select("value")
+    return groups.crossJoin(short).join(seen, ["group", "value"], "left_anti")  # at least one row in each value's column is a finding
+
+
 def validate(cat: DataFrame, by: str, expect: str) -> DataFrame:
     """Issues (group, issue, value): values of ``expect`` that a group lacks against all groups' union, or repeats."""
     seen = cat.where(F.col(by).isNotNull() & F.col(expect).isNotNull()).groupBy(F.col(by).alias("group"), F.col(expect).alias("value")).count()
-    full = seen.select("group").distinct().crossJoin(seen.select("value").distinct())  # groups x expected values: what is checked
-    lacking = full.join(seen, ["group", "value"], "left_anti").select("group", F.lit("missing").alias("issue"), "value")
+    lacking = _lacking(seen.select("group").distinct(), seen, seen.select("value").distinct()).select("group", F.lit("missing").alias("issue"), "value")
     return lacking.unionByName(seen.where("count > 1").select("group", F.lit("repeated").alias("issue"), "value"))
 
 
+def consistency(cat: DataFrame, by: str = "subject", value: str = "basename", expect: list[str] | None = None) -> DataFrame:
+    """Issues (group, issue, value) against a reference: the expected values, else those of the least group.
+
+    ``missing`` are reference values that a group lacks; without ``expect``, ``extra`` are values that the reference lacks.
+    """
+    if by not in cat.columns:
+        raise ValueError(f"no column {by}")
+    seen = cat.where(F.col(by).isNotNull() & F.col(value).isNotNull()).select(F.col(by).cast("string").alias("group"), F.col(value).cast("string").alias("value")).distinct()
+    groups = seen.select("group").distinct()
+    if expect is not None:
+        wanted = cat.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(expect)], "value string")
+        return _lacking(groups, seen, wanted).select("group", F.lit("missing").alias("issue"), "value")
+    first = groups.agg(F.min("group").alias("group"))
+    wanted = seen.join(F.broadcast(first), "group", "left_semi").select("value")
+    extra = seen.join(wanted, "value", "left_anti").select("group", F.lit("extra").alias("issue"), "value")
+    return _lacking(groups, seen, wanted).select("group", F.lit("missing").alias("issue"), "value").unionByName(extra)
+
+
+def subset(cat: DataFrame, condition) -> DataFrame:
+    """The rows for which a condition (SQL text or a column) is true; null counts as false."""
+    return cat.where(condition)
+
+
+def unique(cat: DataFrame, column: str = "subject") -> DataFrame:
+    """The distinct values of a metadata column."""
+    if column not in cat.columns:
+        raise ValueError(f"no column {column} in the catalog")
+    return cat.select(column).distinct()
+
+
 def summary(cat: DataFrame, by: str) -> DataFrame:
     return cat.groupBy(by).agg(F.count("*").alias("files"))
 

@@ -316,6 +316,17 @@ def coverage_of(cube: Cube) -> DataFrame:
     return cube.subjects.select(F.col("id").alias("subject")).join(n, "subject", "left").select("subject", F.coalesce(share, F.lit(0.0)).alias("coverage"))
 
 
+def ranked_regions(loo: DataFrame, labels: DataFrame, subject: str, contrast: str, n: int = 10, delta: str = "delta_stat") -> DataFrame:
+    """(label, mean_abs_residual, max_abs_delta_stat, eligible_n) of one subject's map, the n labels of the greater measure first.
+
+    ``labels`` is (sample, label); samples without a label are left out.
+    """
+    r, d = F.col("resid"), F.col(f"`{delta}`")
+    rows = loo.where((F.col("subject") == subject) & (F.col("contrast") == contrast)).join(labels.where("label is not null and label <> ''").select("sample", "label"), "sample")
+    made = rows.groupBy("label").agg(F.avg(F.abs(r)).alias("mean_abs_residual"), F.max(F.abs(d)).alias("max_abs_delta_stat"), F.count(F.when(r.isNotNull() | d.isNotNull(), 1)).alias("eligible_n"))
+    return made.orderBy(F.greatest("mean_abs_residual", "max_abs_delta_stat").desc_nulls_last(), "label").limit(n)
+
+
 def geometry(loo: DataFrame, subjects: list[str], control: Control = Control(), dimensions: int = 3) -> pd.DataFrame:
     """Subjects in the leading dimensions of their residual maps.
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cube import Cube, axis_of
 from ..functions import columns as X
+from ..registry import maps as registered
 from . import verbs as V
 
 
@@ -32,29 +34,74 @@ class UncertaintyRule:
 
 @dataclass(frozen=True)
 class MapFamily:
-    """A named map: one edge table, or one with a subject column for a map of each subject."""
+    """A named map: one edge table, or one with a subject column for a map of each subject.
+
+    Traits say what the operators keep; they are declared, not checked.
+    """
 
     name: str
     edges: DataFrame
     kind: str = "linear"
+    orthogonal: bool = False
+    mass_preserving: bool = False
+    uncertainty: UncertaintyRule = UncertaintyRule()
+
+    def __post_init__(self):
+        if self.kind not in ("linear", "orthogonal", "affine3d", "deform3d", "ot"):
+            raise ValueError(f"unknown kind of map {self.kind!r}")
 
     @property
     def by_subject(self) -> bool:
         return "subject" in self.edges.columns
 
 
-def _joined(cube: Cube, edges: DataFrame, by: list[str]) -> DataFrame:
-    """Edges with the cells of their sources, one row for each edge, subject and contrast of the axes."""
+def orthogonal_family(name: str, edges: DataFrame, uncertainty: UncertaintyRule = UncertaintyRule()) -> MapFamily:
+    return MapFamily(name, edges, "orthogonal", orthogonal=True, uncertainty=uncertainty)
+
+
+def transport_family(name: str, edges: DataFrame, uncertainty: UncertaintyRule = UncertaintyRule()) -> MapFamily:
+    return MapFamily(name, edges, "ot", mass_preserving=True, uncertainty=uncertainty)
+
+
+def warp_family(spark, name: str, paths: dict[str, str], loader, uncertainty: UncertaintyRule = UncertaintyRule()) -> MapFamily:
+    """A deformation for each subject: ``loader(path)`` gives (target, source, w) rows and runs in tasks, one subject at a time."""
+
+    def run(batches):
+        for pdf in batches:
+            for subject, path in zip(pdf["subject"], pdf["path"]):
+                made = pd.DataFrame(list(loader(path)), columns=["target", "source", "w"])
+                yield pd.DataFrame({"subject": subject, "target": made["target"].astype(str), "source": made["source"].astype(str), "w": made["w"].astype(float)})
+
+    listed = spark.createDataFrame(list(paths.items()), "subject string, path string").repartition("subject")
+    return MapFamily(name, listed.mapInPandas(run, "subject string, target string, source string, w double"), "deform3d", uncertainty=uncertainty)
+
+
+def register_map(family: MapFamily, overwrite: bool = False) -> MapFamily:
+    return registered.register(family.name, family, overwrite)
+
+
+def list_map_families() -> list[str]:
+    return registered.names()
+
+
+def get_map_family(name: str) -> MapFamily | None:
+    return registered.items.get(name)
+
+
+register_alignment, list_alignments, get_alignment = register_map, list_map_families, get_map_family
+
+
+def _joined(cube: Cube, edges: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(edges with the cells of their sources, edges of each target)."""
     edges = edges.where("w <> 0")
-    pairs = F.broadcast(cube.subjects.select(F.col("id").alias("subject"))).crossJoin(F.broadcast(cube.contrasts.select(F.col("id").alias("contrast"))))
-    degree = edges.groupBy("target", *[b for b in by if b == "subject"]).agg(F.count("*").alias("degree"))
+    degree = edges.groupBy("target", *by).agg(F.count("*").alias("degree"))
     cells = edges.join(cube.df, (edges["source"] == cube.df["sample"]) & ((edges["subject"] == cube.df["subject"]) if "subject" in by else F.lit(True)))
-    return cells.drop(edges["subject"]) if "subject" in by else cells, degree, pairs
+    return cells.drop(edges["subject"]) if "subject" in by else cells, degree
 
 
 def _propagate(cube: Cube, edges: DataFrame, rule: UncertaintyRule, by_subject: bool) -> DataFrame:
     by = ["subject"] if by_subject else []
-    cells, degree, _ = _joined(cube, edges, by)
+    cells, degree = _joined(cube, edges, by)
     keys = ["target", "subject", "contrast"]
     beta, var, w = X.finite("beta"), X.finite("var"), F.col("w")
     sums = [F.sum(w * beta).alias("b"), F.count(beta).alias("nb"), F.sum(w * w * var).alias("v"), F.count(var).alias("nv")]
@@ -107,14 +154,17 @@ def map_to(cube: Cube, edges: DataFrame, uncertainty: UncertaintyRule = Uncertai
     return _finish(cube, _propagate(cube, edges, uncertainty, False), edges)
 
 
-def align(cube: Cube, family: MapFamily, uncertainty: UncertaintyRule = UncertaintyRule()) -> Cube:
-    """Move each subject's samples by its own map; anything but cov_provider propagates as independent."""
+def align(cube: Cube, family: MapFamily | str, uncertainty: UncertaintyRule | None = None) -> Cube:
+    """Move each subject's samples by its own map, given or registered; anything but cov_provider propagates as independent."""
+    if isinstance(family, str):
+        family = registered.get(family)
+    uncertainty = uncertainty or family.uncertainty
     cube = V.require(cube, {"beta", "var"} - set(cube.assays))
     return _finish(cube, _propagate(cube, family.edges, uncertainty, family.by_subject), family.edges)
 
 
 def _combine(cube: Cube, edges: DataFrame, how: str) -> Cube:
-    cells, degree, _ = _joined(cube, edges, [])
+    cells, degree = _joined(cube, edges, [])
     keys = ["target", "subject", "contrast"]
     w = F.col("w")
     if how == "stouffer":

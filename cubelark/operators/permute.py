@@ -248,6 +248,24 @@ def tfce(x: np.ndarray, edges: np.ndarray, h: float = 2.0, e: float = 0.5, dh: f
     return out
 
 
+def cluster_table(z: np.ndarray, label: np.ndarray, cut: float, stat: str, null: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """(table, labels) of clusters by mass, then size, then the place of the peak; ids follow that order. ``null``: ascending maxima."""
+    rows = []
+    for own in np.unique(label[label > 0]):
+        at = np.flatnonzero(label == own)
+        peak = at[np.abs(z[at]).argmax()]
+        rows.append((int(own), int(np.sign(z[peak])), len(at), float((np.abs(z[at]) - cut).sum()), float(z[peak]), int(peak)))
+    rows.sort(key=lambda r: (-r[3], -r[2], r[5]))
+    new = np.zeros(len(z), int)
+    for i, r in enumerate(rows):
+        new[label == r[0]] = i + 1
+    table = pd.DataFrame([r[1:] for r in rows], columns=["sign", "size", "mass", "z_peak", "peak_sample"])
+    amount = table["mass" if stat == "mass" else "size"].to_numpy(float)
+    table.insert(4, "p_fwer", (1 + len(null) - np.searchsorted(null, amount - 1e-12)) / (1 + len(null)))
+    table.insert(0, "cluster_id", np.arange(1, len(rows) + 1))
+    return table, new
+
+
 def spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, include_observed=False, spatial="tfce", spatial_stat="z", tfce_H=2.0, tfce_E=0.5, tfce_dh=0.1, connectivity=6, cluster_p=0.001, cluster_threshold=None, cluster_stat="mass", most_cells: int = 20_000_000):
     """Family-wise TFCE or cluster p-values: flips are dealt to tasks, the map of one contrast is sent to all.
 
@@ -262,7 +280,7 @@ def spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, incl
         raise ValueError("the map is larger than most_cells")
     flips = null_rows(signs, lambda: drawn_signs(n_perm, subjects, seed), np.ones(len(subjects)), include_observed)
     near = neighbours(axis[["i", "j", "k"]].to_numpy(int), connectivity)
-    frames = []
+    frames, tables = [], []
     for contrast in cube.ids("contrast"):
         got = cube.df.where(F.col("contrast") == contrast).select("sample", "subject", "beta").toPandas()
         wide = got.pivot(index="sample", columns="subject", values="beta").reindex(index=axis["id"], columns=subjects).to_numpy(float)
@@ -272,9 +290,10 @@ def spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, incl
             z = S.t_to_z(null[0], n - 1) if spatial_stat == "z" else null[0]
             return np.nan_to_num(z), (t, mean, se, n)
 
+        cut = cluster_threshold if cluster_threshold is not None else float(S.norm_isf_log(np.log(cluster_p / (2 if alternative == "two.sided" else 1))))
+
         def enhance(z):
             sides = [z] if alternative == "greater" else [-z] if alternative == "less" else [z, -z]
-            cut = cluster_threshold if cluster_threshold is not None else float(S.norm_isf_log(np.log(cluster_p / len(sides))))
             best, labels = np.zeros(len(z)), np.zeros(len(z), int)
             for side in sides:
                 if spatial == "tfce":
@@ -300,6 +319,12 @@ def spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, incl
         over = len(top) - np.searchsorted(top, observed - 1e-12)
         p = (1 + over) / (1 + len(top))
         name = "tfce" if spatial == "tfce" else "cluster"
+        if spatial == "cluster":
+            table, label = cluster_table(z, label, cut, cluster_stat, top)
+            grid = axis.iloc[table.pop("peak_sample").astype(int)][["id", "i", "j", "k"]].reset_index(drop=True).rename(columns={"id": "peak"})
+            affine = np.array([*cube.space.affine, *([(np.nan,) * 4] * (4 - len(cube.space.affine)))], float)
+            xyz = grid[["i", "j", "k"]].to_numpy(float) @ affine[:3, :3].T + affine[:3, 3]
+            tables.append(pd.concat([table, grid, pd.DataFrame(xyz, columns=["x", "y", "z"])], axis=1).assign(contrast=contrast))
         frame = pd.DataFrame({"sample": axis["id"], "contrast": contrast, "beta": mean, "se": se, "t": t, "z": z, "df": n - 1})
         frame[name if name == "tfce" else "cluster_id"] = observed if name == "tfce" else label.astype(float)
         frame[f"p_{name}_fwer"] = np.where(observed > 0, p, 1.0)
@@ -307,4 +332,9 @@ def spatial_onesample(cube, n_perm, signs, seed, alternative, min_subjects, incl
     table = pd.concat(frames)
     from . import reduce as R
 
-    return R._full(cube, spark.createDataFrame(table.astype(object).where(table.notna(), None), ", ".join(f"{c} {'string' if c in ('sample', 'contrast') else 'double'}" for c in table.columns)))
+    cells = R._full(cube, spark.createDataFrame(table.astype(object).where(table.notna(), None), ", ".join(f"{c} {'string' if c in ('sample', 'contrast') else 'double'}" for c in table.columns)))
+    if not tables:
+        return cells
+    listed = pd.concat(tables).astype(object)
+    ddl = "cluster_id int, sign int, size int, mass double, z_peak double, p_fwer double, peak string, i int, j int, k int, x double, y double, z double, contrast string"
+    return cells, {"clusters": spark.createDataFrame(listed.where(listed.notna(), None).values.tolist(), ddl)}

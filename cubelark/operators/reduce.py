@@ -391,16 +391,16 @@ def _add(name, fun, **more):
 
 
 _VAR = {"requires": ("beta", "var"), "synthetic_variance": "forbid", "weight_mode": "inverse_variance"}
-_add("meta:fe", meta_fe, **_VAR, estimands="intercept", deletion="closed_form")
-_add("meta:re", meta_re, **_VAR, estimands="intercept", deletion="tau2_fixed_full")
+_add("meta:fe", meta_fe, **_VAR, estimands="intercept", deletion="closed_form", provides=("beta", "var", "se", "z", "Q", "I2", "n_eff", "p"))
+_add("meta:re", meta_re, **_VAR, estimands="intercept", deletion="tau2_fixed_full", provides=("beta", "var", "se", "z", "Q", "I2", "tau2", "n_eff", "p"))
 _add("meta:fe_reg", lambda c, d, **o: _regression(c, d, "fe", **o), **_VAR, uses_design=True, estimands="linear", deletion="hat_matrix")
 _add("meta:re_reg", lambda c, d, **o: _regression(c, d, "re", **o), **_VAR, uses_design=True, estimands="linear", deletion="tau2_fixed_full")
-_add("combine:stouffer", stouffer, requires=("z",), weight_mode="evidence")
-_add("combine:fisher", fisher, requires=("p",), weight_mode="evidence")
-_add("combine:lancaster", lancaster, requires=("p",), weight_mode="evidence")
-_add("ttest:welch", welch, estimands="linear")
+_add("combine:stouffer", stouffer, requires=("z",), weight_mode="evidence", provides=("z", "n_eff", "p"))
+_add("combine:fisher", fisher, requires=("p",), weight_mode="evidence", provides=("chi2", "df", "p", "n_eff"))
+_add("combine:lancaster", lancaster, requires=("p",), weight_mode="evidence", provides=("chi2", "df", "p", "n_eff"))
+_add("ttest:welch", welch, estimands="linear", provides=("beta", "var", "se", "t", "df", "n0", "n1", "z", "p"))
 _add("ols:voxelwise", lambda c, d, **o: _regression(c, d, "ols", **o), uses_design=True, estimands="linear", deletion="hat_matrix")
-_add("perm:onesample", P.one_sample, estimands="intercept")
-_add("perm:twosample", P.two_sample, estimands="linear")
+_add("perm:onesample", P.one_sample, estimands="intercept", provides=("beta", "se", "t", "df", "p", "p_perm", "p_fwer"))
+_add("perm:twosample", P.two_sample, estimands="linear", provides=("beta", "se", "t", "df", "p", "p_perm", "p_fwer"))
 for _name, _slope, _known in (("lmm:ri", False, False), ("lmm:ri_slope1", True, False), ("lmm:ri_knownvar", False, True), ("lmm:ri_slope1_knownvar", True, True)):
     _add(_name, (lambda s, k: lambda c, d, **o: L.reduce_lmm(c, d, slope_model=s, known=k, **o))(_slope, _known), requires=("beta", "var") if _known else ("beta",), uses_design=True, estimands="linear", weight_mode="model_specific" if _known else "unweighted", synthetic_variance="forbid" if _known else "allow_effect_only")

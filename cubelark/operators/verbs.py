@@ -241,3 +241,24 @@ def split(cube: Cube, column: str) -> dict:
 def attach_weight(cube: Cube, name: str, table: DataFrame, on) -> Cube:
     """A weight column by any of the keys, for reducers that declare they use one."""
     return cube.with_df(cube.df.join(table.select(*on, F.col(name).cast("double")), list(on), "left"))
+
+
+def use_weight(cube: Cube, name: str) -> dict:
+    """Options that give a reducer an attached weight column; reducers that don't declare custom weights refuse them."""
+    if name not in cube.assays:
+        raise ValueError(f"no weight column {name}")
+    return {"weights": "custom", "custom_weights": name}
+
+
+def world(cube: Cube) -> DataFrame:
+    """The sample axis with world coordinates x, y, z of its grid indices (counted from 0) under the space's affine; null without one."""
+    a = cube.space.affine
+    ijk = [F.col(c) for c in ("i", "j", "k")]
+    at = [sum((c * float(w) for c, w in zip(ijk, row)), F.lit(float(row[3]))) for row in a[:3]] if len(a) >= 3 else [F.lit(None).cast("double")] * 3
+    return cube.samples.select("*", *[c.alias(n) for c, n in zip(at, ("x", "y", "z"))])
+
+
+def grid_index(voxel, dims: tuple[int, int, int]):
+    """(i, j, k) columns of a flat voxel index, the first axis fastest."""
+    v = F.col(voxel) if isinstance(voxel, str) else voxel
+    return (v % dims[0]).cast("int"), (F.floor(v / dims[0]) % dims[1]).cast("int"), F.floor(v / (dims[0] * dims[1])).cast("int")

@@ -35,6 +35,7 @@ class Reducer:
     weight_mode: str = "unweighted"
     synthetic_variance: str = "allow_effect_only"
     deletion: str = "unsupported"
+    provides: tuple[str, ...] = ()
     options: dict = field(default_factory=dict)
 
 
@@ -46,6 +47,7 @@ class Adapter:
     detect: Callable
     read: Callable
     priority: int = 0
+    capabilities: dict = field(default_factory=dict)  # for information; Spark prunes and caches by itself
 
 
 class Registry:
@@ -93,3 +95,9 @@ ALIASES = {"fixed": "meta:fe", "random": "meta:re", "stouffer": "combine:stouffe
 
 def reducer(name: str) -> Reducer:
     return reducers.get(ALIASES.get(name, name))
+
+
+def list_assays(cube=None, reducer_name: str | None = None) -> list[tuple[str, str | None]]:
+    """(assay, role) of a cube, or of what a reducer is declared to give; the role of an unknown assay is None."""
+    names = reducer(reducer_name).provides if reducer_name else cube.assays
+    return [(a, ASSAYS[a].role if a in ASSAYS else None) for a in dict.fromkeys(names)]

@@ -117,3 +117,39 @@ def cube_from_images(spark: SparkSession, assays: dict[str, list[str]], mask=Non
     grid = rows.select(F.col("sample").alias("id"), "voxel", "i", "j", "k").distinct()
     out = from_table(rows, assays={a: a for a in assays}, space=Space("voxel", tuple(int(d) for d in first[0].dims.split(",")), tuple(tuple(r) for r in affines[0].reshape(4, 4).tolist())))
     return out.with_(samples=out.samples.join(grid, "id"))
+
+
+def find_maps(spark: SparkSession, root: str, pattern: str = "**", subject_fun=None, contrast_fun=None) -> DataFrame:
+    """(file, subject, contrast) of the images below a folder; the functions turn a path into a label, else it is null."""
+    from ..operators import catalog
+
+    label = lambda fun: F.lit(None).cast("string") if fun is None else F.udf(fun, "string")("file")  # noqa: E731  a listing, not data
+    found = catalog.list_files(spark, root, pattern).where(F.col("file").rlike(r"\.nii(\.gz)?$"))
+    return found.select("file", label(subject_fun).alias("subject"), label(contrast_fun).alias("contrast")).orderBy("file")
+
+
+def cube_from_maps(maps: DataFrame, mask=None) -> Cube:
+    """A cube of one contrast from a table of map files (file, and subject or contrast labels if known).
+
+    The contrast's label must be one; several are an error, as each is a cube of its
+    own. There are no variances, so the cube has var 1 and says that it is synthetic.
+    """
+    spark = maps.sparkSession
+    rows = maps.collect()  # a row for each file
+    given = {r["contrast"] for r in rows if "contrast" in maps.columns and r["contrast"] is not None}
+    if len(given) > 1:
+        raise ValueError("maps of several contrasts; make a cube of each")
+    cube = cube_from_images(spark, {"beta": [r["file"] for r in rows]}, mask, [next(iter(given), "map")])
+    names = {subject_key(r["file"]): r["subject"] for r in rows if "subject" in maps.columns and r["subject"] is not None}
+    cube = cube.with_df(cube.df.withColumn("var", F.lit(1.0))).with_(meta={**cube.meta, "synthetic_variance": True})
+    if not names:
+        return cube
+    from ..operators import verbs
+
+    return verbs.relabel(cube, "subject", spark.createDataFrame(list(names.items()), "old string, new string"))
+
+
+def cube_from_scalar_maps(spark: SparkSession, files: dict[str, str], contrast: str = "map", mask=None) -> Cube:
+    """``cube_from_maps`` of one file for each subject."""
+    rows = [(path, subject, contrast) for subject, path in files.items()]
+    return cube_from_maps(spark.createDataFrame(rows, "file string, subject string, contrast string"), mask)

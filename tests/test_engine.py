@@ -318,6 +318,47 @@ def test_clusters_and_tfce_by_hand():
     assert permute.tfce(x, near) == pytest.approx(want)
 
 
+def test_cluster_table_by_mass_with_world_coordinates(spark):
+    rng = np.random.default_rng(8)
+    y = rng.normal(size=(24, 12)) * 0.5
+    y[2:6] += 3
+    y[15:17] -= 4
+    cube = make(spark, y)
+    n = F.substring("id", 2, 3).cast("int")
+    affine = ((2.0, 0, 0, 10), (0, 3.0, 0, 20), (0, 0, 4.0, 30), (0, 0, 0, 1))
+    cube = cube.with_(samples=cube.samples.withColumn("i", n).withColumn("j", F.lit(1)).withColumn("k", F.lit(2)), space=Space("voxel", (24, 2, 3), affine))
+    out = R.reduce(cube, "perm:onesample", n_perm=40, seed=1, spatial="cluster", cluster_threshold=3.0)
+    rows = out.attachments["reduce/perm:onesample/clusters"].orderBy("cluster_id").collect()
+    assert [r.mass for r in rows] == sorted((r.mass for r in rows), reverse=True) and {r.sign for r in rows[:2]} == {1, -1}
+    ids = {r["sample"]: r.cluster_id for r in out.df.collect()}
+    assert len({ids[f"s{i}"] for i in range(2, 6)}) == 1 and ids["s2"] != ids["s15"] == ids["s16"] and ids["s0"] == 0
+    assert all((r.x, r.y, r.z) == (10 + 2 * r.i, 23, 38) for r in rows)
+    assert {(r.x, r.i) for r in V.world(cube).collect()} == {(10.0 + 2 * i, i) for i in range(24)}
+    flat = spark.range(12).select(*[c.alias(n) for n, c in zip("ijk", V.grid_index("id", (2, 3, 2)))]).collect()
+    assert [tuple(r) for r in flat] == [tuple(int(x) for x in np.unravel_index(v, (2, 3, 2), order="F")) for v in range(12)]
+
+
+def test_small_registries(spark):
+    from cubelark import registry
+
+    assert ("beta", "location") in registry.list_assays(reducer_name="fixed") and registry.list_assays(make(spark, [[1.0]]))
+    edges = spark.createDataFrame([("t", "s0", 1.0), ("t", "s1", 1.0)], "target string, source string, w double")
+    maps.register_map(maps.transport_family("ot1", edges), overwrite=True)
+    assert "ot1" in maps.list_map_families() and maps.get_map_family("ot1").mass_preserving and maps.get_map_family("none") is None
+    cube = make(spark, [[1.0, 2.0], [3.0, 4.0]], [[1.0, 1.0], [1.0, 1.0]])
+    assert table(maps.align(cube, "ot1").df, "beta")["t"][0] in (4.0, 6.0)
+    warp = maps.warp_family(spark, "w", {"u0": "x", "u1": "y"}, lambda path: [("t", "s0", 1.0 if path == "x" else 2.0)])
+    assert {r.subject: r.beta for r in maps.align(cube, warp).df.collect()} == {"u0": 1.0, "u1": 4.0}
+    with pytest.raises(ValueError):
+        V.use_weight(cube, "no")
+    loo = E.leave_one_out_fe(make(spark, np.arange(12.0).reshape(4, 3) ** 1.5, np.ones((4, 3))))
+    labels = spark.createDataFrame([("s0", "a"), ("s1", "a"), ("s2", "b"), ("s3", None)], "sample string, label string")
+    got = E.ranked_regions(loo, labels, "u2", "c0", 5).collect()
+    own = {r["sample"]: r for r in loo.collect() if r.subject == "u2"}
+    want = {"a": np.mean([abs(own["s0"].resid), abs(own["s1"].resid)]), "b": abs(own["s2"].resid)}
+    assert {r.label: r.mean_abs_residual for r in got} == {k: pytest.approx(v) for k, v in want.items()} and got[0].label == "b"
+
+
 def test_the_observed_labelling_is_no_null_value(spark):
     rng = np.random.default_rng(6)
     y = rng.normal(size=(4, 8)) + 0.5
@@ -510,6 +551,10 @@ def test_catalog(spark, tmp_path):
     assert {r.relpath for r in cat.collect()} == {"sub-01/ses-a/x_beta.nii", "sub-02/x_se.nii"}
     got = {r.basename: (r.sub, r.ses) for r in G.extract_meta(cat, r"sub-(?P<sub>\d+)/(?:ses-(?P<ses>\w+))?").collect()}
     assert got == {"x_beta.nii": ("01", "a"), "x_se.nii": ("02", None)}
+    meta = G.extract_meta(cat, r"sub-(?P<sub>\d+)/")
+    assert {(r.group, r.issue, r.value) for r in G.consistency(meta, "sub").collect()} == {("02", "missing", "x_beta.nii"), ("02", "extra", "x_se.nii")}
+    assert {(r.group, r.value) for r in G.consistency(meta, "sub", expect=["x_se.nii"]).collect()} == {("01", "x_se.nii")}
+    assert G.subset(meta, "sub = '01'").count() == 1 and {r.sub for r in G.unique(meta, "sub").collect()} == {"01", "02"}
     tagged = G.map_assays(G.assign_meta(cat, "stat", r"x_(\w+)\.nii", "$1"), {"beta": "_beta", "se": "_se"})
     assert {(r.stat, r.assay) for r in tagged.collect()} == {("beta", "beta"), ("se", "se")}
     issues = {(r.group, r.issue, r.value) for r in G.validate(G.extract_meta(tagged, r"sub-(?P<sub>\d+)/"), "sub", "assay").collect()}
