@@ -88,13 +88,15 @@ def place(docs: DataFrame, id_col="doc_id", text_col="text", sizes: Sequence[int
 
     Tokens are blank-separated words and one end token, so null and empty texts
     are one token. Pieces of a document are numbered from 0 and ``start`` counts
-    its tokens before the piece. Repeated rows are packed each for itself. The
+    its tokens before the piece. Repeated rows are packed each for itself, and
+    numbered before they are dealt, so that many of them fill many shards. The
     result does not depend on how the rows are partitioned.
     """
     sizes = sorted(set(sizes))
     most = sizes[-1]
     shards = max(1, round(docs.count() / shard_items))
-    items = token_lengths(docs, id_col, text_col).withColumn("shard", F.pmod(F.xxhash64("doc_id", "th"), F.lit(shards)))
+    counted = token_lengths(docs, id_col, text_col).groupBy("doc_id", "th", "n").agg(F.count("*").alias("copies"))
+    items = counted.select("doc_id", "th", "n", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "th", "copy"), F.lit(shards))).drop("copy")
 
     def run(table: pa.Table) -> pa.Table:
         ids, ths, n = (table.column(i).to_pylist() for i in range(3))
