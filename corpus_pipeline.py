@@ -12,23 +12,23 @@ from cubelark.llm import common, decontaminate, minhash, packing, pii, toxicity
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Without documents whose toxicity score is 0.5 or more."""
+    """Without documents whose toxicity score is 0.5 or more; null and empty texts have the bias's score and stay, as do repeated rows."""
     labels = common.read(spark, sf_dir, "labels")
     return toxicity.clean(docs, toxicity.fit(*toxicity.training_rows(docs, labels)))
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document, that of the least id, of each class of near-duplicates."""
+    """One document, that of the least id, of each class of near-duplicates; texts without words and null ids stay."""
     return minhash.keep_one(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    """Without documents in which ten consecutive words of a benchmark item, or all of a shorter one, stand."""
+    """Without documents in which ten consecutive words of a benchmark item, or all of a shorter one, stand; null texts stay."""
     return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark, docs, sf_dir):
-    """All documents, personal data replaced by its kind; n_chars counts the new text."""
+    """All documents, personal data replaced by its kind; n_chars counts the new text. Null texts stay null."""
     out = pii.redact(docs, pii.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -45,7 +45,7 @@ STAGES = [
     ("personal data", redact_personal_data),
     ("packing", pack),
 ]
-#: A trained scorer, signatures and a packer are beyond SQL; tests hold run() against a plain version.
+#: A trained scorer, signatures and a packer are beyond SQL; tests hold each stage against a plain version of its contract and run() against the stages.
 ORACLE_SQL = None
 
 
