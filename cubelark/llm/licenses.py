@@ -285,7 +285,7 @@ polyform-nc | polyform noncommercial license | polyform
 polyform-sb | polyform small business license | polyform
 prosperity-3.0 | prosperity public license | prosperity
 hippocratic-2.1 | hippocratic license | hippocratic
-openrail | open rail ?m? license | rail
+openrail | open ?rail(?: m)? license | rail|openrail
 openrail | bigscience rail license | bigscience
 llama-community | llama 2 community license | llama
 llama-community | llama 3 community license | llama
