@@ -293,7 +293,8 @@ def test_spans_come_from_the_join_of_anchors(spark):
     """Each document in a task of its own: nothing is settled in a chunk, every span comes from anchors that met."""
     rng = random.Random(5)
     shared = prose(rng, 90)
-    rows = [(i, f"{prose(rng, 30)} {shared} {prose(rng, 30)}") for i in range(24)]
+    own = lambda i: prose(rng, 30, [f"d{i}w{k}" for k in range(40)])  # noqa: E731  words of no other document
+    rows = [(i, f"{own(i)} {shared} {own(i)}") for i in range(24)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24, "doc_id")
     anchors, _ = substring._find(50, 16, substring.np.empty(0, substring.np.uint64))
     sent = C.keyed(docs).mapInArrow(anchors, "h long, doc_id long, th long, s int, e int, w binary").collect()
