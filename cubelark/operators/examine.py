@@ -171,6 +171,10 @@ def leave_one_out_linear(cube: Cube, design, method: str = "ols:voxelwise", min_
     return R.blocks(cube, assays).mapInPandas(run, "sample string, contrast string, subject string, " + ", ".join(f"`{c}` double" for c in measures))
 
 
+#: Upper edges of the influence histogram's bins, each with its edge; the last bin is open.
+BINS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
+
+
 def _split_share(control: Control, tests) -> Column:
     """The share of the parts with data that pass; null if no part has any or stability isn't assessed."""
     if not control.splits:
@@ -180,68 +184,81 @@ def _split_share(control: Control, tests) -> Column:
     return F.when(known > 0, passed / known)
 
 
+def _surprise(control: Control):
+    """(aggregates, columns made of them) of ``surprise``."""
+    r = F.col("resid")
+    capped, far = F.least(r * r, F.lit(control.cap**2)), (F.abs(r) >= control.residual).cast("double")
+    own = [F.when(F.col("__part") == k, F.lit(True)) for k in range(control.splits)]
+    sums = [F.count(r).alias("s_n"), F.sqrt(F.avg(capped)).alias("s_e"), F.avg(far).alias("s_t")]
+    sums += [x for k, part in enumerate(own) for x in (F.count(part).alias(f"s_n{k}"), F.sqrt(F.avg(F.when(part, capped))).alias(f"s_e{k}"), F.avg(F.when(part, far)).alias(f"s_t{k}"))]
+    tests = [(F.col(f"s_n{k}"), (F.col(f"s_e{k}") >= control.surprise_energy) & (F.col(f"s_t{k}") >= control.surprise_tail)) for k in range(control.splits)]
+    return sums, [F.col("s_n").alias("n"), F.col("s_e").alias("energy"), F.col("s_t").alias("tail_extent"), _split_share(control, tests).alias("stability")]
+
+
+def _agreement(control: Control):
+    """(aggregates, columns made of them) of ``agreement``."""
+    ok = F.col("expected").isNotNull() & F.col("y").isNotNull() & (F.col("pred_weight") > 0)
+    w, y, e, c = F.when(ok, F.col("pred_weight")), F.col("y"), F.col("expected"), F.col
+    named = {"sw": w, "sy": w * y, "se": w * e, "syy": w * y * y, "see": w * e * e, "sye": w * y * e, "sign": w * (F.signum(y) == F.signum(e)).cast("double")}
+    cov, vy, ve = c("sye") - c("sy") * c("se") / c("sw"), c("syy") - c("sy") * c("sy") / c("sw"), c("see") - c("se") * c("se") / c("sw")
+    low = lambda x: x <= control.degeneracy
+    none = F.when(c("sw").isNull(), "insufficient_samples")
+    status = lambda expected, observed: none.when(low(expected), "degenerate_expected").when(low(observed), "degenerate_observed").otherwise("available")
+    return [F.sum(x).alias(k) for k, x in named.items()], [
+        F.when(~low(ve) & ~low(vy), cov / F.sqrt(vy * ve)).alias("correlation"), status(ve, vy).alias("correlation_status"),
+        F.when(~low(c("see")) & ~low(c("syy")), c("sye") / F.sqrt(c("syy") * c("see"))).alias("cosine"), status(c("see"), c("syy")).alias("cosine_status"),
+        F.when(~low(c("see")), c("sye") / c("see")).alias("gain"), none.when(low(c("see")), "degenerate_expected").otherwise("available").alias("gain_status"), (c("sign") / c("sw")).alias("concordance"),
+    ]
+
+
+def _influence(control: Control, stability: str = "stability", count: str = "n"):
+    """(aggregates, columns made of them) of ``influence``."""
+    d = F.abs("delta_stat")
+    squared, slot = F.least(d * d, F.lit(control.cap**2)), sum(((d > b).cast("int") for b in BINS), F.lit(0))
+    own = [F.when((F.col("__part") == k) & d.isNotNull(), F.lit(True)) for k in range(control.splits)]
+    names = [f"bin{i}" for i in range(len(BINS) + 1)]
+    sums = [F.count(d).alias("i_n"), F.sqrt(F.avg(squared)).alias("influence_energy"), F.max(d).alias("influence_max"), *(F.count(F.when(slot == i, 1)).alias(b) for i, b in enumerate(names))]
+    sums += [x for k, part in enumerate(own) for x in (F.count(part).alias(f"i_n{k}"), F.sqrt(F.avg(F.when(part, squared))).alias(f"i_e{k}"))]
+
+    def quantile(share):
+        upto, out, steps = F.lit(0), F.col("influence_max"), []
+        for b, edge in zip(names, BINS):
+            upto = upto + F.col(b)
+            steps.append((upto >= share * F.col("i_n"), F.lit(edge)))
+        for test, edge in reversed(steps):
+            out = F.when(test, edge).otherwise(out)
+        return F.when(F.col("i_n") > 0, out)
+
+    tests = [(F.col(f"i_n{k}"), F.col(f"i_e{k}") >= control.influence_energy) for k in range(control.splits)]
+    return sums, [F.col("i_n").alias(count), F.col("influence_energy"), F.col("influence_max"), *(F.col(b) for b in names), *(quantile(q / 100).alias(f"q{q}") for q in (90, 95, 99)), _split_share(control, tests).alias(stability)]
+
+
+def _summed(loo: DataFrame, control: Control, *parts) -> DataFrame:
+    """The columns of several summaries by (subject, contrast), from one aggregate over the deletions."""
+    sums, columns = ([x for p in parts for x in p[k]] for k in (0, 1))
+    rows = loo.where("resid is not null").withColumn("__part", split_of(control) if control.splits else F.lit(0))
+    return rows.groupBy(*WHO).agg(*sums).select(*WHO, *columns)
+
+
 def surprise(loo: DataFrame, control: Control = Control()) -> DataFrame:
     """(subject, contrast): root mean capped squared residual, share at or beyond the residual threshold, and stability.
 
     Stability is the share of the sample axis's parts in which both thresholds of a review are met.
     """
-    r, cap = F.col("resid"), F.lit(control.cap**2)
-    capped, far = F.least(r * r, cap), (F.abs(r) >= control.residual).cast("double")
-    part = [F.when(F.col("__part") == k, F.lit(True)) for k in range(control.splits)]
-    more = [x for k, own in enumerate(part) for x in (F.count(own).alias(f"n{k}"), F.sqrt(F.avg(F.when(own, capped))).alias(f"e{k}"), F.avg(F.when(own, far)).alias(f"t{k}"))]
-    rows = loo.where("resid is not null").withColumn("__part", split_of(control) if control.splits else F.lit(0))
-    sums = rows.groupBy(*WHO).agg(F.count("*").alias("n"), F.sqrt(F.avg(capped)).alias("energy"), F.avg(far).alias("tail_extent"), *more)
-    tests = [(F.col(f"n{k}"), (F.col(f"e{k}") >= control.surprise_energy) & (F.col(f"t{k}") >= control.surprise_tail)) for k in range(control.splits)]
-    return sums.select(*WHO, "n", "energy", "tail_extent", _split_share(control, tests).alias("stability"))
+    return _summed(loo, control, _surprise(control))
 
 
 def agreement(loo: DataFrame, control: Control = Control()) -> DataFrame:
     """(subject, contrast): weighted correlation, cosine, gain through the origin and sign concordance with the others' map.
 
-    A status says why a measure is null: the expected or the observed map has no spread (or no size).
+    A status says why a measure is null: too few cells, or the expected or the observed map has no spread (or no size).
     """
-    w, y, e, c = F.col("pred_weight"), F.col("y"), F.col("expected"), F.col
-    sums = loo.where("resid is not null and expected is not null and pred_weight > 0").groupBy(*WHO).agg(
-        F.sum(w).alias("sw"), F.sum(w * y).alias("sy"), F.sum(w * e).alias("se"), F.sum(w * y * y).alias("syy"), F.sum(w * e * e).alias("see"), F.sum(w * y * e).alias("sye"),
-        F.sum(w * (F.signum(y) == F.signum(e)).cast("double")).alias("sign"),
-    )
-    cov, vy, ve = c("sye") - c("sy") * c("se") / c("sw"), c("syy") - c("sy") * c("sy") / c("sw"), c("see") - c("se") * c("se") / c("sw")
-    low = lambda x: x <= control.degeneracy
-    status = lambda expected, observed: F.when(low(expected), "degenerate_expected").when(low(observed), "degenerate_observed").otherwise("available")
-    return sums.select(
-        *WHO, F.when(~low(ve) & ~low(vy), cov / F.sqrt(vy * ve)).alias("correlation"), status(ve, vy).alias("correlation_status"),
-        F.when(~low(c("see")) & ~low(c("syy")), c("sye") / F.sqrt(c("syy") * c("see"))).alias("cosine"), status(c("see"), c("syy")).alias("cosine_status"),
-        F.when(~low(c("see")), c("sye") / c("see")).alias("gain"), F.when(low(c("see")), "degenerate_expected").otherwise("available").alias("gain_status"), (c("sign") / c("sw")).alias("concordance"),
-    )
-
-
-#: Upper edges of the influence histogram's bins, each with its edge; the last bin is open.
-BINS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
+    return _summed(loo, control, _agreement(control))
 
 
 def influence(loo: DataFrame, control: Control = Control()) -> DataFrame:
     """(subject, contrast): root mean capped square and maximum of |delta_stat|, its histogram, quantiles read off it, and stability."""
-    d, cap = F.abs("delta_stat"), F.lit(control.cap**2)
-    squared, slot = F.least(d * d, cap), sum(((d > b).cast("int") for b in BINS), F.lit(0))
-    counts = [F.count(F.when(F.col("slot") == i, 1)).alias(f"bin{i}") for i in range(len(BINS) + 1)]
-    part = [F.when(F.col("__part") == k, F.lit(True)) for k in range(control.splits)]
-    more = [x for k, own in enumerate(part) for x in (F.count(own).alias(f"n{k}"), F.sqrt(F.avg(F.when(own, squared))).alias(f"e{k}"))]
-    rows = loo.where("delta_stat is not null and resid is not null").withColumn("slot", slot).withColumn("__part", split_of(control) if control.splits else F.lit(0))
-    sums = rows.groupBy(*WHO).agg(F.count("*").alias("n"), F.sqrt(F.avg(squared)).alias("influence_energy"), F.max(d).alias("influence_max"), *counts, *more)
-
-    def quantile(share):
-        upto, out = F.lit(0), F.col("influence_max")
-        steps = []
-        for i, edge in enumerate(BINS):
-            upto = upto + F.col(f"bin{i}")
-            steps.append((upto >= share * F.col("n"), F.lit(edge)))
-        for test, edge in reversed(steps):
-            out = F.when(test, edge).otherwise(out)
-        return out
-
-    tests = [(F.col(f"n{k}"), F.col(f"e{k}") >= control.influence_energy) for k in range(control.splits)]
-    names = [f"bin{i}" for i in range(len(BINS) + 1)]
-    return sums.select(*WHO, "n", "influence_energy", "influence_max", *names, *(quantile(q / 100).alias(f"q{q}") for q in (90, 95, 99)), _split_share(control, tests).alias("stability"))
+    return _summed(loo, control, _influence(control))
 
 
 def influence_map(loo: DataFrame) -> DataFrame:
@@ -253,7 +270,7 @@ def influence_map(loo: DataFrame) -> DataFrame:
 
 
 def contrast_table(cube: Cube, loo: DataFrame, control: Control = Control()) -> DataFrame:
-    """(subject, contrast): coverage, mean standard error, surprise and agreement, a row for every pair of the axes.
+    """(subject, contrast): coverage, mean standard error, surprise, agreement and influence, a row for every pair of the axes.
 
     Coverage is the share of all samples with a finite effect.
     """
@@ -261,7 +278,10 @@ def contrast_table(cube: Cube, loo: DataFrame, control: Control = Control()) ->
     beta = X.finite("beta")
     se = F.when(X.finite("var") > 0, F.sqrt("var")) if "var" in cube.assays else F.lit(None).cast("double")
     cells = cube.df.groupBy(*WHO).agg(F.count(beta).alias("n_beta"), F.avg(se).alias("mean_se"))
-    made = surprise(loo, control).join(agreement(loo, control), WHO, "left") if "pred_weight" in loo.columns else surprise(loo, control)
+    parts = [_surprise(control)]
+    parts += [_agreement(control)] if "pred_weight" in loo.columns else []
+    parts += [_influence(control, "influence_stability", "influence_n")] if "delta_stat" in loo.columns else []
+    made = _summed(loo, control, *parts)
     out = grid.join(cells, WHO, "left").join(made, WHO, "left")
     out = out.withColumn("coverage", F.coalesce("n_beta", F.lit(0)) / F.lit(float(cube.size("sample")))).withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("surprise_status", F.when(F.col("n") > 0, "available").otherwise("insufficient_samples")).drop("n_beta")
@@ -272,10 +292,11 @@ def percentile(value: str) -> Column:
     return H.average_rank_share(value, [F.lit(1)])
 
 
-def review_queue(contrasts: DataFrame, influenced: DataFrame, control: Control = Control()) -> DataFrame:
+def review_queue(contrasts: DataFrame, influenced: DataFrame | None = None, control: Control = Control()) -> DataFrame:
     """Subjects by review priority, with what triggers a review, its source and reason, and whether they are retained.
 
-    ``contrasts`` is a ``contrast_table``, ``influenced`` an ``influence`` table. The
+    ``contrasts`` is a ``contrast_table``; ``influenced`` an ``influence`` table of several
+    estimands, else the contrast table's own influence counts. The
     priority is the greatest percentile of quality (1 - coverage), surprise and
     influence. A review needs a criterion met in full: coverage at most its
     threshold; or energy, tail and stability of surprise in one contrast; or energy,
@@ -284,15 +305,20 @@ def review_queue(contrasts: DataFrame, influenced: DataFrame, control: Control =
     under review and the first ``retain`` are retained. One row for each subject, so
     its ranks are one small window.
     """
-    stable = F.col("stability").isNull() | (F.col("stability") >= control.min_stability)
-    surprising = F.coalesce((F.col("energy") >= control.surprise_energy) & (F.col("tail_extent") >= control.surprise_tail) & stable, F.lit(False))
-    influential = F.coalesce((F.col("influence_energy") >= control.influence_energy) & (F.col("influence_max") >= control.influence_max) & stable, F.lit(False))
+    stable = lambda c: F.col(c).isNull() | (F.col(c) >= control.min_stability)
+    surprising = F.coalesce((F.col("energy") >= control.surprise_energy) & (F.col("tail_extent") >= control.surprise_tail) & stable("stability"), F.lit(False))
+    influential = lambda c: F.coalesce((F.col("influence_energy") >= control.influence_energy) & (F.col("influence_max") >= control.influence_max) & stable(c), F.lit(False))
+    moved = lambda c: [F.max("influence_energy").alias("influence_score"), F.min(F.when(influential(c), F.struct("contrast_ord", "contrast"))).alias("__i")]
     gain = F.col("gain") if "gain" in contrasts.columns else F.lit(None).cast("double")
     named = F.struct("contrast_ord", "contrast", gain.alias("gain"))
-    per = contrasts.groupBy("subject").agg(F.min("coverage").alias("coverage"), F.max("energy").alias("surprise_score"), F.min(F.when(surprising, named)).alias("__s"))
-    order = contrasts.select("contrast", "contrast_ord").distinct()
-    own = influenced.join(F.broadcast(order), "contrast").groupBy("subject").agg(F.max("influence_energy").alias("influence_score"), F.min(F.when(influential, F.struct("contrast_ord", "contrast"))).alias("__i"))
-    rows = per.join(own, "subject", "left").withColumn("quality_score", 1 - F.col("coverage"))
+    seen = [F.min("coverage").alias("coverage"), F.max("energy").alias("surprise_score"), F.min(F.when(surprising, named)).alias("__s")]
+    if influenced is None:
+        rows = contrasts.groupBy("subject").agg(*seen, *moved("influence_stability"))
+    else:
+        order = contrasts.select("contrast", "contrast_ord").distinct()
+        own = influenced.join(F.broadcast(order), "contrast").groupBy("subject").agg(*moved("stability"))
+        rows = contrasts.groupBy("subject").agg(*seen).join(own, "subject", "left")
+    rows = rows.withColumn("quality_score", 1 - F.col("coverage"))
     for name in ("quality", "surprise", "influence"):
         rows = rows.withColumn(f"{name}_percentile", percentile(f"{name}_score"))
     rows = rows.withColumn("priority", F.greatest("quality_percentile", "surprise_percentile", "influence_percentile"))
@@ -377,5 +403,5 @@ def examine_group(cube: Cube, method: str = "meta:fe", control: Control = Contro
         if own.name == "meta:fe":
             out["conclusions"] = conclusions(cube, loo, alpha)
     out["subject_maps"], out["contrasts"] = loo, contrast_table(cube, loo, control)
-    out["queue"] = review_queue(out["contrasts"], out["influence"], control)
+    out["queue"] = review_queue(out["contrasts"], out["influence"] if own.uses_design else None, control)
     return out

@@ -639,8 +639,7 @@ SELECT subject, round(coverage, 8) AS coverage, round(priority, 8) AS priority,
   CASE source WHEN 'quality' THEN 'coverage' WHEN 'surprise' THEN CASE WHEN shit.gain < 0 THEN 'negative gain in ' ELSE 'surprise in ' END || shit.contrast WHEN 'influence' THEN 'influence in ' || ihit END AS reason, source IS NOT NULL OR place <= 5 AS retained FROM ww""")
 def review_queue(spark, sf):
     c = brand_cube(spark, sf)
-    loo = E.leave_one_out_fe(c)
-    made = E.review_queue(E.contrast_table(c, loo), E.influence(loo))
+    made = E.review_queue(E.contrast_table(c, E.leave_one_out_fe(c)))
     return out(made, "subject", ("coverage", "coverage", 8), ("priority", "priority", 8), "status", "source", "reason", "retained")
 
 
