@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cubelark.functions import special as SP
+from cubelark.operators import permute as P
 from cubelark.operators import reduce as R
 from cubelark.sources import tabular as T
 
@@ -18,3 +20,67 @@ def test_fisher_of_many_subjects(spark):
     want = SP.chi2_sf(-2 * np.log(p).sum(1), 2.0 * n)
     assert 0.001 < want[0] < 0.999 and want[2] < 1e-12
     assert [got[f"s{i}"] for i in range(3)] == pytest.approx(want, rel=1e-8, abs=1e-12)
+
+
+@pytest.fixture
+def short_batches(spark):
+    """Batches of 7 rows, so that no line of a cube lies in one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def make(spark, y, var=None):
+    """A cube of [sample, subject], two contrasts: the second is the first times 1 + sample / 10; NaN is no cell."""
+    rows = [(f"s{i:02}", f"u{j:03}", c, float(y[i, j] * (1 + i * k / 10)), None if var is None else float(var[i, j])) for i in range(y.shape[0]) for j in range(y.shape[1]) for k, c in enumerate("ab") if np.isfinite(y[i, j])]
+    return T.from_table(spark.createDataFrame(rows, "sample string, subject string, contrast string, beta double" + ", var double").drop(*([] if var is not None else ["var"])), dedupe=False)
+
+
+def twenty():
+    """A function of places for tasks; it fails if asked for more subjects than a batch may have."""
+
+    def flips(places):
+        if len(places) > 16:
+            raise MemoryError("too many subjects at once")
+        return np.where(np.bitwise_count((np.arange(5, 25)[:, None] * 37) & (np.asarray(places)[None] * 29 + 5)) % 2 == 0, 1.0, -1.0)
+
+    return flips
+
+
+def t_maps(y, mat):
+    n = np.isfinite(y).sum(1)
+    z = np.nan_to_num(y)
+    return np.stack([P.t_of_sums(z @ m, (z * z).sum(1), n)[0] for m in mat])
+
+
+def holed(rng, samples, subjects):
+    y = rng.normal(0.3, 1, size=(samples, subjects))
+    y[rng.uniform(size=y.shape) < 0.1] = np.nan
+    return y
+
+
+@pytest.mark.parametrize("spatial", ["cluster"])
+def test_spatial_null_takes_no_cells_to_the_driver(spark, short_batches, monkeypatch, spatial):
+    y = holed(np.random.default_rng(3), 12, 40)
+    y[2:5] += 1
+    monkeypatch.setattr(P, "READ", 16)
+    cube = make(spark, y)
+    cube = cube.with_(samples=cube.samples.withColumn("i", F.col("ord")).withColumn("j", F.lit(0)).withColumn("k", F.lit(0)))
+    got = R.reduce(cube, "perm:onesample", signs=twenty(), spatial=spatial, spatial_stat="t", cluster_threshold=1.0, most_cells=50).df.where("contrast = 'a'").toPandas().sort_values("sample")
+    edges = np.stack([np.arange(11), np.arange(1, 12)], 1)
+
+    def best(t):
+        out = np.zeros(12)
+        for side in (t, -t):
+            if spatial == "tfce":
+                out = np.maximum(out, P.tfce(side, edges))
+                continue
+            label = P.clusters(side, edges, 1.0)
+            for c in range(1, label.max() + 1):
+                out[label == c] = (side[label == c] - 1.0).sum()
+        return out
+
+    everyone = np.concatenate([twenty()(np.arange(a, min(a + 16, 40))) for a in range(0, 40, 16)], 1)
+    null = np.array([best(t).max() for t in t_maps(y, everyone)])
+    own = best(t_maps(y, np.ones((1, 40)))[0])
+    assert got[f"p_{spatial}_fwer"].to_numpy() == pytest.approx(np.where(own > 0, (1 + (null[:, None] >= own - 1e-12).sum(0)) / 21, 1.0))
