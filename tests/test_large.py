@@ -59,7 +59,7 @@ def holed(rng, samples, subjects):
     return y
 
 
-@pytest.mark.parametrize("spatial", ["cluster"])
+@pytest.mark.parametrize("spatial", ["cluster", "tfce"])
 def test_spatial_null_takes_no_cells_to_the_driver(spark, short_batches, monkeypatch, spatial):
     y = holed(np.random.default_rng(3), 12, 40)
     y[2:5] += 1
