@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubelark.functions import special as SP
+from cubelark.operators import examine as E
 from cubelark.operators import permute as P
 from cubelark.operators import reduce as R
 from cubelark.sources import tabular as T
@@ -84,3 +85,22 @@ def test_spatial_null_takes_no_cells_to_the_driver(spark, short_batches, monkeyp
     null = np.array([best(t).max() for t in t_maps(y, everyone)])
     own = best(t_maps(y, np.ones((1, 40)))[0])
     assert got[f"p_{spatial}_fwer"].to_numpy() == pytest.approx(np.where(own > 0, (1 + (null[:, None] >= own - 1e-12).sum(0)) / 21, 1.0))
+
+
+def test_places_of_subjects_are_made_in_tasks(spark, monkeypatch):
+    """The same as a decomposition of the whole sketch; no table goes to the driver."""
+    y = np.random.default_rng(8).normal(size=(15, 60)) * np.linspace(1, 3, 60)
+    cube = make(spark, y, np.ones_like(y))
+    loo = E.leave_one_out_fe(cube)
+    with monkeypatch.context() as m:
+        m.setattr(type(loo), "toPandas", lambda self: pytest.fail("a table went to the driver"))
+        found = E.placed(loo, cube.subjects.select("ord", F.col("id").alias("subject")).union(spark.createDataFrame([(61, "none")], "ord int, subject string")))
+        got = {r.subject: [r.d1, r.d2, r.d3] for r in found.collect()}
+    rows = loo.select("subject", F.greatest(F.least("resid", F.lit(8.0)), F.lit(-8.0)).alias("r"), F.array(*[1 - 2 * F.pmod(F.xxhash64("sample", "contrast", F.lit(i)), F.lit(2)) for i in range(40)]).alias("s")).collect()
+    names = [f"u{j:03}" for j in range(60)] + ["none"]
+    m = np.zeros((61, 40))
+    for r in rows:
+        m[names.index(r.subject)] += r.r * np.array(r.s) / np.sqrt(40)
+    u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
+    u = u[:, :3] * np.sign(u[np.abs(u[:, :3]).argmax(0), range(3)])
+    assert np.array([got[x] for x in names]) == pytest.approx(u * s[:3], abs=1e-9)
