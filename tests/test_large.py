@@ -1,9 +1,12 @@
 """Results and memory where an axis is long."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from cubelark.functions import formula as M
 from cubelark.functions import special as SP
 from cubelark.operators import examine as E
 from cubelark.operators import permute as P
@@ -104,3 +107,24 @@ def test_places_of_subjects_are_made_in_tasks(spark, monkeypatch):
     u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
     u = u[:, :3] * np.sign(u[np.abs(u[:, :3]).argmax(0), range(3)])
     assert np.array([got[x] for x in names]) == pytest.approx(u * s[:3], abs=1e-9)
+
+
+def flat(df):
+    """Whether a step sends plain rows to Python, which batches cut, and no row that holds a whole line."""
+    return not any(isinstance(f.dataType, ArrayType) for f in df.schema)
+
+
+@pytest.mark.parametrize("method", ["meta:re_reg"])
+def test_deletion_reads_lines_in_pieces(spark, short_batches, method):
+    """Lines that many batches carry, in stacks of one line, give what whole lines give."""
+    rng = np.random.default_rng(4)
+    cube = make(spark, holed(rng, 5, 30), rng.uniform(0.5, 2, size=(5, 30)))
+    assert flat(R.blocks(cube, ["beta", "var"]))
+    x = rng.normal(size=30)
+    design = M.Design([f"u{j:03}" for j in range(30)], ["(Intercept)", "x"], np.column_stack([np.ones(30), x]))
+    read = lambda: E.leave_one_out_linear(cube, design, method).toPandas().sort_values(["sample", "contrast", "subject"], ignore_index=True)
+    pieces = read()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    whole = read()
+    assert len(pieces) == 300
+    pd.testing.assert_frame_equal(pieces, whole)
