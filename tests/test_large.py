@@ -128,3 +128,19 @@ def test_deletion_reads_lines_in_pieces(spark, short_batches, method):
     whole = read()
     assert len(pieces) == 300
     pd.testing.assert_frame_equal(pieces, whole)
+
+
+@pytest.mark.parametrize("name", ["perm:twosample"])
+def test_permutations_by_a_function_of_places(spark, short_batches, monkeypatch, name):
+    """A function asked for pieces gives what the whole matrix gives, and the driver has no matrix."""
+    monkeypatch.setattr(P, "READ", 16)
+    cube = make(spark, holed(np.random.default_rng(6), 6, 40))
+    cube = cube.with_(subjects=cube.subjects.withColumn("group", F.col("ord") % 2))
+    of = twenty()
+    if name == "perm:onesample":
+        key, given = "signs", of
+    else:
+        key, given = "group_mat", lambda places: (of(places) + 1) / 2
+    everyone = np.concatenate([given(np.arange(a, min(a + 16, 40))) for a in range(0, 40, 16)], 1)
+    read = lambda null: R.reduce(cube, name, **{key: null}).df.toPandas().sort_values(["sample", "contrast"], ignore_index=True)
+    pd.testing.assert_frame_equal(read(given), read(everyone))
