@@ -114,7 +114,7 @@ def flat(df):
     return not any(isinstance(f.dataType, ArrayType) for f in df.schema)
 
 
-@pytest.mark.parametrize("method", ["meta:re_reg", "meta:fe_reg"])
+@pytest.mark.parametrize("method", ["meta:re_reg", "meta:fe_reg", "ols:voxelwise"])
 def test_deletion_reads_lines_in_pieces(spark, short_batches, method):
     """Lines that many batches carry, in stacks of one line, give what whole lines give."""
     rng = np.random.default_rng(4)
