@@ -130,7 +130,7 @@ def test_deletion_reads_lines_in_pieces(spark, short_batches, method):
     pd.testing.assert_frame_equal(pieces, whole)
 
 
-@pytest.mark.parametrize("name", ["perm:twosample"])
+@pytest.mark.parametrize("name", ["perm:twosample", "perm:onesample"])
 def test_permutations_by_a_function_of_places(spark, short_batches, monkeypatch, name):
     """A function asked for pieces gives what the whole matrix gives, and the driver has no matrix."""
     monkeypatch.setattr(P, "READ", 16)
