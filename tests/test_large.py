@@ -144,3 +144,14 @@ def test_permutations_by_a_function_of_places(spark, short_batches, monkeypatch,
     everyone = np.concatenate([given(np.arange(a, min(a + 16, 40))) for a in range(0, 40, 16)], 1)
     read = lambda null: R.reduce(cube, name, **{key: null}).df.toPandas().sort_values(["sample", "contrast"], ignore_index=True)
     pd.testing.assert_frame_equal(read(given), read(everyone))
+
+
+def test_mixed_models_read_lines_in_pieces(spark, short_batches):
+    rng = np.random.default_rng(2)
+    cube = make(spark, rng.normal(size=(3, 20)), rng.uniform(0.2, 0.5, size=(3, 20)))
+    assert flat(R.blocks(cube, ["beta", "var"], ["sample"]))
+    read = lambda: R.reduce(cube, "lmm:ri_knownvar", "~ 1").df.toPandas().sort_values("sample", ignore_index=True)
+    pieces = read()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert len(pieces) == 3 and pieces["coef:(Intercept)"].notna().all()
+    pd.testing.assert_frame_equal(pieces, read())
