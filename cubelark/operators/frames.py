@@ -20,6 +20,7 @@ from ..functions import formula as M
 from ..functions import special as S
 from . import gram
 from . import lmm as L
+from . import reduce as R
 
 METHODS = ("ols:voxelwise", "lmm:ri_knownvar")
 RESULT = "feature string, result_type string, term string, estimate double, std_error double, statistic double, p_value double, converged boolean, log_likelihood double, sigma2 double, degrees_freedom double, n_obs long"
@@ -174,27 +175,41 @@ def _random_intercept(plan: FramePlan) -> DataFrame:
     spark = plan.frame.sparkSession
     axis = spark.createDataFrame([(o, i) for i, o in enumerate(design.subjects)], "observation string, at int")
     cells = plan.frame.select(F.col("observation").cast("string").alias("observation"), F.col("feature").cast("string").alias("feature"), X.finite(plan.estimate).alias("y"), X.finite(plan.variance).alias("v")).where("y is not null and v is not null")
-    made = cells.join(F.broadcast(axis), "observation").groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("at", "y", "v"))).alias("cells"))  # as wide as the observations
+    made = cells.join(F.broadcast(axis) if len(groups) <= R.SENT else axis, "observation").select("feature", "at", "y", "v").repartition("feature").sortWithinPartitions("feature", "at")
     x, reml = design.matrix, plan.fit == "REML"
 
-    def run(batches):
+    def features(batches):
+        """(feature, at, y, v) of one feature after another, from sorted batches."""
+        name, parts = None, []
         for pdf in batches:
-            rows = []
-            for feature, own in zip(pdf["feature"], pdf["cells"]):
-                at = np.array([c["at"] for c in own])
-                y, v = (np.array([c[k] for c in own], float) for k in ("y", "v"))
-                got = random_intercept(y, v, x[at], groups[at], reml)
-                n = len(y)
-                if got is None:
-                    rows += [[feature, "fixed_effect", t, *[None] * 4, False, None, None, None, n] for t in terms]
-                    rows += [[feature, "variance_component", t, *[None] * 4, False, None, None, None, n] for t in ("random_intercept", "residual")]
-                    continue
-                coef, cov, tau2, sigma2, loglik, df = got
-                se = np.sqrt(np.diag(cov))
-                t = coef / se
-                p = S.t_two_sided(t, np.full(len(t), float(df)))
-                rows += [[feature, "fixed_effect", term, *map(_number, (coef[k], se[k], t[k], p[k])), True, loglik, sigma2, float(df), n] for k, term in enumerate(terms)]
-                rows += [[feature, "variance_component", term, value, None, None, None, True, loglik, sigma2, float(df), n] for term, value in (("random_intercept", tau2), ("residual", sigma2))]
+            if not len(pdf):
+                continue
+            of, cells = pdf["feature"].to_numpy(), [pdf[c].to_numpy() for c in ("at", "y", "v")]
+            first = R.starts([of])
+            for a, b in zip(first, [*first[1:], len(of)]):
+                if parts and of[a] != name:
+                    yield name, *map(np.concatenate, zip(*parts))
+                    parts = []
+                name = of[a]
+                parts.append([c[a:b] for c in cells])
+        if parts:
+            yield name, *map(np.concatenate, zip(*parts))
+
+    def run(batches):
+        for feature, at, y, v in features(batches):
+            got = random_intercept(y, v, x[at], groups[at], reml)
+            n = len(y)
+            if got is None:
+                rows = [[feature, "fixed_effect", t, *[None] * 4, False, None, None, None, n] for t in terms]
+                rows += [[feature, "variance_component", t, *[None] * 4, False, None, None, None, n] for t in ("random_intercept", "residual")]
+                yield _table(rows)
+                continue
+            coef, cov, tau2, sigma2, loglik, df = got
+            se = np.sqrt(np.diag(cov))
+            t = coef / se
+            p = S.t_two_sided(t, np.full(len(t), float(df)))
+            rows = [[feature, "fixed_effect", term, *map(_number, (coef[k], se[k], t[k], p[k])), True, loglik, sigma2, float(df), n] for k, term in enumerate(terms)]
+            rows += [[feature, "variance_component", term, value, None, None, None, True, loglik, sigma2, float(df), n] for term, value in (("random_intercept", tau2), ("residual", sigma2))]
             yield _table(rows)
 
     return made.mapInPandas(run, RESULT)

@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType
 from cubelark.functions import formula as M
 from cubelark.functions import special as SP
 from cubelark.operators import examine as E
+from cubelark.operators import frames as N
 from cubelark.operators import permute as P
 from cubelark.operators import reduce as R
 from cubelark.sources import tabular as T
@@ -146,6 +147,20 @@ def test_permutations_by_a_function_of_places(spark, short_batches, monkeypatch,
     pd.testing.assert_frame_equal(read(given), read(everyone))
 
 
+def test_frame_fits_read_features_in_pieces(spark, short_batches):
+    """One feature after another from rows that batches cut, the same as whole features."""
+    rng = np.random.default_rng(9)
+    rows = [(f"o{j:02}", f"f{i}", float(rng.normal() + j % 3), float(rng.uniform(0.1, 0.4))) for i in range(3) for j in range(30)]
+    frame = spark.createDataFrame(rows, "observation string, feature string, beta double, variance double")
+    who = spark.createDataFrame([(f"o{j:02}", j / 10, j % 3) for j in range(30)], "observation string, x double, area int")
+    read = lambda: N.fit_group(frame, who, "~ x", group="area").rows.toPandas().sort_values(["feature", "result_type", "term"], ignore_index=True)
+    pieces = read()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert len(pieces) == 12 and pieces.n_obs.eq(30).all()
+    pd.testing.assert_frame_equal(pieces, read())
+    assert "collect_list" not in N.fit_group(frame, who, "~ x", group="area").rows._jdf.queryExecution().toString()
+
+
 def test_mixed_models_read_lines_in_pieces(spark, short_batches):
     rng = np.random.default_rng(2)
     cube = make(spark, rng.normal(size=(3, 20)), rng.uniform(0.2, 0.5, size=(3, 20)))
